@@ -1,0 +1,40 @@
+"""The registered queries of the operators for training data, and their SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.llm import mainbody, quality, repeated_lines
+from corpusloom.plans.session import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.junk_pages(quality.page_quality(table(spark, d, "textdf"), table(spark, d, "nlpdocs")))
+
+
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.page_quality(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.boilerplate_found(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.repeated_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found)}
+ORACLES = {
+    "p3_found": r"""
+        WITH l AS (
+            SELECT DISTINCT page_id, pos, siteindex, i::INT AS line_no,
+                   regexp_replace(lower(string_split(text, chr(10))[i]), '[^\p{L}\p{M}]+', '', 'g') AS k
+            FROM (SELECT DISTINCT page_id, pos, siteindex, text FROM textdf
+                  WHERE docelttype IS DISTINCT FROM 'Document' AND text IS NOT NULL) AS t,
+                 unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+        n AS (SELECT siteindex, count(DISTINCT page_id) AS pages FROM nlpdocs GROUP BY siteindex),
+        f AS (SELECT siteindex, k FROM l JOIN n USING (siteindex) WHERE k <> ''
+              GROUP BY siteindex, k, pages HAVING count(DISTINCT page_id) >= 4 AND count(DISTINCT page_id) * 8 >= pages)
+        SELECT page_id, pos, line_no FROM l JOIN f USING (siteindex, k)""",
+}
