@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mainbody, quality, repeated_lines
+from corpusloom.llm import mainbody, quality, repeated_lines, sentences
 from corpusloom.plans.session import table
 
 
@@ -24,7 +24,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of the annotated blocks; the operator itself takes any block."""
+    wanted = table(spark, d, "annotated_blocks").select("page_id", "pos").distinct()
+    blocks = table(spark, d, "textdf").select("page_id", "pos", "text").where("text IS NOT NULL").join(wanted, ["page_id", "pos"], "left_semi")
+    words = sentences.lattice_dictionary(table(spark, d, "vocabulary"))
+    return sentences.block_sentences(blocks.dropDuplicates(["page_id", "pos"]), words)
+
+
+def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every TextBlock."""
+    words = sentences.lattice_dictionary(table(spark, d, "vocabulary"))
+    return sentences.block_sentences(sentences.text_blocks(table(spark, d, "textdf")), words)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p7_found, p7_sentences)}
 ORACLES = {
     "p3_found": r"""
         WITH l AS (
