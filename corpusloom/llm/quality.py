@@ -30,13 +30,15 @@ MIN_LETTER_SHARE = 0.6
 MAX_MEAN_WORD = 14.0
 MIN_COMMON_SHARE = 0.04
 MIN_PUNCTUATED_SHARE = 0.2
+#: Reasons that make a body that isn't prose junk rather than a list or a table.
+JUNK = ("broken_text", "code", "keywords", "long_words")
 #: Function words of the spaced languages that prose can't do without.
 COMMON_WORDS = (
     "the and of to in is for de la le les et des que que est pour der die das und ist für von "
     "el los las y por un una il di che e per non lo в и на не что с по для"
 )
 
-_FIELDS = ("visible", "letters", "symbols", "digits", "broken", "prose", "words", "sentences", "lines", "short", "punctuated", "bullets", "common")
+_FIELDS = ("visible", "letters", "symbols", "digits", "broken", "prose", "words", "sentences", "lines", "short", "punctuated", "bullets", "common", "code_lines", "listed")
 
 
 def _among(cp: np.ndarray, chars: str) -> np.ndarray:
@@ -81,7 +83,9 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     stops = per_line(sentence)
     low = (cp >= 0x80) & (cp <= 0xBF)
     broken = per_line((cp == 0xFFFD) | ((cp >= 0x80) & (cp <= 0x9F)) | (_among(cp, "ÃÂÐÑãäåæçèéïâ") & _shift(low, -1)))
-    code = per_line(_among(cp, "{}<>\\|^~_=#@$[]") | ((cp == ord("0")) & _shift(cp == ord("x"), -1)))
+    hexed = per_line((cp == ord("0")) & _shift(cp == ord("x"), -1))
+    code = per_line(_among(cp, "{}<>\\|^~_=#@$[]")) + hexed
+    listed = per_line((cp == ord(",")) & _shift(space, -1))
     commas = per_line(cp == ord(","))
     w0, w1 = chars.runs(alnum, bounds)
     word_start = np.zeros(len(cp), bool)
@@ -111,6 +115,7 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
         "visible": visible, "letters": letters, "symbols": symbols, "digits": digits, "broken": broken, "prose": np.where(prose, visible, 0),
         "words": words, "sentences": np.where(prose, np.maximum(stops, 1), 0), "lines": full, "short": full & (ends_at - starts < SHORT_LINE),
         "punctuated": full & (stops > 0), "bullets": bullet, "common": common,
+        "code_lines": full & ((code * 25 > visible) | (hexed > 0)), "listed": listed,
     }
     n = len(bounds) - 1
     return {k: np.bincount(row, weights=v, minlength=n).astype(np.int32) for k, v in by_line.items()}
@@ -132,7 +137,11 @@ def text_stats(texts: pa.Array) -> pa.Array:
 
 def page_quality(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """One row for each page of nlpdocs: its statistics, shares and the failed rules."""
-    body = main_body(textdf, nlpdocs, (text_stats(F.col("text")).alias("st"),))
+    return quality_of(main_body(textdf, nlpdocs, (text_stats(F.col("text")).alias("st"),)), nlpdocs)
+
+
+def quality_of(body: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+    """The same of the rows of main_body with their statistics ``st``."""
     body = body.where(~F.col("boiler") & ~F.col("is_doc") & (F.col("cmd") == "Text"))
     sums = body.groupBy("page_id").agg(
         *(F.sum(F.col("st")[f]).alias(f) for f in _FIELDS),
@@ -164,11 +173,13 @@ def page_quality(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
         "symbols": F.col("symbol_share") > MAX_SYMBOL_SHARE,
         "short_lines": thin & (F.col("short_share") > 0.8),
         "unpunctuated": thin & (F.col("punctuated_share") < MIN_PUNCTUATED_SHARE),
+        "code": thin & (F.col("code_lines") * 2 > F.col("lines")),
+        "keywords": thin & (F.col("listed") * 4 >= F.col("words")),
         "no_common_words": thin & (F.col("common_share") < MIN_COMMON_SHARE),
         "long_words": thin & (F.col("mean_word") > MAX_MEAN_WORD),
     }
     failed = F.filter(F.array(*(F.when((F.col("visible") > 0) & r, F.lit(name)) for name, r in rules.items())), lambda x: x.isNotNull())
-    return df.withColumn("reasons", failed)
+    return df.withColumn("reasons", failed).withColumn("junk", thin & F.arrays_overlap("reasons", F.array(*map(F.lit, JUNK))))
 
 
 def junk_pages(quality: DataFrame) -> DataFrame:

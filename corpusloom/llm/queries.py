@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mainbody, quality, repeated_lines, sentences
+from corpusloom.llm import mainbody, near_duplicates, quality, repeated_lines, sentences
 from corpusloom.plans.session import table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(near_duplicates.page_words(table(spark, d, "textdf"), table(spark, d, "nlpdocs")))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(near_duplicates.page_words(table(spark, d, "textdf"), table(spark, d, "nlpdocs")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of the annotated blocks; the operator itself takes any block."""
     wanted = table(spark, d, "annotated_blocks").select("page_id", "pos").distinct()
@@ -38,7 +46,7 @@ def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.block_sentences(sentences.text_blocks(table(spark, d, "textdf")), words)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p7_found, p7_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p6_found, p6_groups, p7_found, p7_sentences)}
 ORACLES = {
     "p3_found": r"""
         WITH l AS (
