@@ -32,6 +32,9 @@ SHORT = 160
 BROADCAST_ROWS = 200_000
 
 
+_OWN = set("page_id pos siteindex kind cmd level has_text is_doc pdf outside in_section top_key label_key leaf_key slot_key head_key body_key".split())
+
+
 def norm(c: Column) -> Column:
     """Letters in lower case; all else is one space."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}]+", " "))
@@ -53,7 +56,10 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     take part in it: what is needed of them is computed in the scan, and so are
     the aliased columns ``carry``."""
     t = F.col("text")
-    short = F.when(F.length(t) <= SHORT, t)
+    # only headings and the first leaves of sections stand for a subtree, only blocks carry labels
+    level = F.coalesce(F.col("nestinglevel").cast("int"), F.lit(2))
+    head = F.when((level <= 2) & (F.length(t) <= SHORT), t)
+    short = F.when((level == 2) & ~F.coalesce(F.col("docelttype") == "ListItem", F.lit(False)), head)
     cased = F.regexp_replace(short, r"(?<=\S\s{1,3})\p{Lu}[\p{L}\p{M}.’']*", "X")
     slots = (
         F.when(short.rlike(r"[,，]\s*[^,，]+$"), F.concat(F.lit("… "), F.regexp_extract(short, r"[,，]\s*([^,，]+)$", 1)))
@@ -67,11 +73,12 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
         "siteindex",
         F.col("docelttype").alias("kind"),
         F.col("doceltcmd").alias("cmd"),
-        F.coalesce(F.col("nestinglevel").cast("int"), F.lit(2)).alias("level"),
+        level.alias("level"),
         t.isNotNull().alias("has_text"),
         F.coalesce(F.length(t) > SHORT, F.lit(False)).alias("long"),
-        norm(short).alias("n"),
+        norm(head).alias("n"),
         norm(slots).alias("slots"),
+        F.when(F.col("doceltcmd") == "Uri", is_pdf(t)).alias("uri_pdf"),
         F.when(
             (F.col("doceltcmd") == "Text") & ~short.rlike(r"[.!?。！？]\s*$"),
             norm(F.regexp_extract(short, r"^\s*([\p{L}\p{M} ’']{2,40}?)\s*[:：]", 1)),
@@ -103,6 +110,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
         .withColumn("top", top)
         .withColumn("first", F.coalesce(first & (F.col("level") == 2) & (F.col("cmd") == "Text"), F.lit(False)))
         .withColumn("top", F.last("top", ignorenulls=True).over(upto))
+        .withColumn("pdf", F.coalesce(F.last("uri_pdf", ignorenulls=True).over(upto), F.lit(False)))
         .where(~F.col("again"))
     )
     in_section = F.coalesce(F.col("top.section"), F.lit(False))
@@ -120,7 +128,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
             "head_key": F.when((F.col("level") == 1) & ~F.col("is_doc") & F.col("has_text"), _h("head", F.col("n"))),
             "body_key": F.when((F.col("level") == 1) & in_section, F.col("top.key")),
         }
-    ).drop("again", "n", "slots", "label", "long", "title", "top", "first")
+    ).drop("again", "n", "slots", "label", "long", "title", "top", "first", "uri_pdf")
 
 
 def recurring(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -151,12 +159,13 @@ def main_body(textdf: DataFrame, nlpdocs: DataFrame, carry: tuple[Column, ...] =
     has_text, is_doc, pdf, boiler and the columns ``carry``.
 
     ``boiler`` is true on rows outside the main body of their web page, headings
-    of deleted subtrees included.  Rows of PDF pages are always body."""
-    rec = settle(recurring(element_rows(textdf), nlpdocs))
+    of deleted subtrees included.  Rows of PDF pages (those whose Uri row ends in
+    ``.pdf``) are always body."""
+    rows = settle(element_rows(textdf, carry))
+    rec = settle(recurring(rows, nlpdocs))
     small = rec.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda d: d)
-    rows = element_rows(textdf, carry)
-    carried = rows.columns[rows.columns.index("has_text") + 1 : rows.columns.index("is_doc")]
+    carried = [c for c in rows.columns if c not in _OWN]
     for key in ("top_key", "leaf_key", "slot_key", "label_key"):
         r = rec.select(F.col("siteindex").alias("_s"), F.col("key").alias("_k"), F.lit(True).alias(f"{key}_rec"))
         rows = rows.join(hint(r), (rows["siteindex"] == r["_s"]) & (rows[key] == r["_k"]), "left").drop("_s", "_k")
@@ -164,8 +173,6 @@ def main_body(textdf: DataFrame, nlpdocs: DataFrame, carry: tuple[Column, ...] =
     heads = rec.where("head").select(F.col("key").alias("label_key"), F.lit(True).alias("anywhere_rec")).distinct()
     rows = rows.join(hint(heads), "label_key", "left")
     rec_of = lambda k: F.coalesce(F.col(f"{k}_rec"), F.lit(False))
-    pdf = nlpdocs.where(is_pdf(F.col("uri"))).select("page_id", F.lit(True).alias("pdf")).distinct()
-    rows = rows.join(pdf, "page_id", "left").withColumn("pdf", F.coalesce("pdf", F.lit(False)))
     boiler = F.col("outside") | (
         F.col("in_section") & (rec_of("top_key") | rec_of("label_key") | rec_of("anywhere") | rec_of("leaf_key") | rec_of("slot_key"))
     )

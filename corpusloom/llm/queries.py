@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mainbody, near_duplicates, quality, repeated_lines, sentences
-from corpusloom.plans.session import table
+from corpusloom.llm import language, mainbody, near_duplicates, quality, repeated_lines, sentences
+from corpusloom.plans.session import settle, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_found(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "nlpdocs")
+    return language.page_languages(settle(language.page_lines(table(spark, d, "textdf"), docs)), docs)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(near_duplicates.page_words(table(spark, d, "textdf"), table(spark, d, "nlpdocs")))
 
@@ -46,7 +55,7 @@ def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.block_sentences(sentences.text_blocks(table(spark, d, "textdf")), words)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p6_found, p6_groups, p7_found, p7_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences)}
 ORACLES = {
     "p3_found": r"""
         WITH l AS (
