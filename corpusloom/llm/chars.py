@@ -46,6 +46,26 @@ def lower_table() -> np.ndarray:
     return table
 
 
+#: Texts are worked on in chunks of about so many bytes, or one at a time if longer.
+CHUNK_BYTES = 2_000_000
+
+
+def in_chunks(arr: pa.Array, work) -> pa.Array:
+    """work(part) over consecutive parts of bounded size, put together."""
+    n = len(arr)
+    size = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(size)
+    if not n or total[-1] <= CHUNK_BYTES:
+        return work(arr)
+    parts, a = [], 0
+    while a < n:
+        base = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, base + CHUNK_BYTES, side="right")))
+        parts.append(work(arr.slice(a, b - a)))
+        a = b
+    return pa.concat_arrays(parts)
+
+
 def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts one after another, and the n + 1 bounds of the texts."""
     arr = arr.cast(pa.large_string()) if not pa.types.is_large_string(arr.type) else arr

@@ -33,8 +33,8 @@ from corpusloom.plans.session import settle
 
 LANGUAGES = ("fr", "en", "de", "es", "it", "ru", "ja", "zh", "th")
 #: The classifier's sample: pages, rows of all, words a language; bytes of a word run at once.
-SAMPLE_PAGES, SAMPLE_ROWS, SAMPLE_WORDS, PIECE = 3_000, 12_000, 6_000, 24
-TRAIN_STEPS = 350
+SAMPLE_PAGES, SAMPLE_ROWS, SAMPLE_WORDS, PIECE = 3_000, 12_000, 8_000, 24
+TRAIN_STEPS = 700
 LONG_LINE = 40
 #: How far behind a line's best language the page's must lie, in quarters.
 MARGIN = 16
@@ -159,7 +159,7 @@ def line_scores(model: ByteGRU):
     key = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> pa.Array:
-        return batch_lines(model, key, texts)
+        return chars.in_chunks(texts, lambda part: batch_lines(model, key, part))
 
     return F.arrow_udf(run, T.ArrayType(_LINE))
 
@@ -176,14 +176,15 @@ def training_words(rows: list[tuple[str, str]], per_language: int = SAMPLE_WORDS
     words: list[str] = []
     labels: list[int] = []
     for i, lang in enumerate(LANGUAGES):
-        texts = [t for t, l in rows if l == lang]
-        if not texts:
-            continue
-        cp, bounds = chars.code_points(pa.array([t.lower() for t in texts], pa.large_string()))
-        a, b = word_spans(cp, bounds)
-        for k in rng.choice(len(a), min(per_language, len(a)), replace=False) if len(a) else []:
-            words.append(cp[a[k] : b[k]].astype("<u4").tobytes().decode("utf-32-le", "replace"))
-            labels.append(i)
+        for furniture in (False, True):  # half of the words from short texts
+            texts = sorted(t for t, known in rows if known == lang and (len(t) < 60) == furniture)
+            if not texts:
+                continue
+            cp, bounds = chars.code_points(pa.array([t.lower() for t in texts], pa.large_string()))
+            a, b = word_spans(cp, bounds)
+            for k in rng.choice(len(a), min(per_language // 2, len(a)), replace=False) if len(a) else []:
+                words.append(cp[a[k] : b[k]].astype("<u4").tobytes().decode("utf-32-le", "replace"))
+                labels.append(i)
     return words, np.array(labels, np.int64)
 
 
@@ -202,13 +203,19 @@ def fit(rows: list[tuple[str, str]], steps: int = TRAIN_STEPS) -> ByteGRU:
 
 
 def sample_rows(textdf: DataFrame, nlpdocs: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS labelled text blocks of about SAMPLE_PAGES pages, the same in every run."""
-    pages = nlpdocs.select("page_id", label_code(F.col("lang")).alias("label")).where("label IS NOT NULL")
+    """At most 2 x SAMPLE_ROWS labelled texts of about SAMPLE_PAGES pages, the same in every run:
+    running text under its page's label, page furniture under the label most pages of the site have."""
+    label = label_code(F.col("lang")).alias("label")
+    pages = nlpdocs.select("page_id", "siteindex", label).where("label IS NOT NULL")
+    sites = pages.groupBy("siteindex", "label").count().groupBy("siteindex").agg(F.max_by("label", F.struct("count", "label")).alias("label"))
     every = max(1, nlpdocs.count() // SAMPLE_PAGES)
     picked = F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0
-    text = textdf.where(picked & (F.col("docelttype") == "TextBlock") & F.length("text").between(60, 600)).select("page_id", "text")
-    rows = text.join(pages.where(picked), "page_id").select("text", "label")
-    return [(r.text, r.label) for r in rows.limit(SAMPLE_ROWS).collect()]
+    own = textdf.where(picked & (F.col("docelttype") == "TextBlock") & F.length("text").between(60, 600)).select("page_id", "text")
+    long = own.join(pages.where(picked), "page_id").select("text", "label").limit(SAMPLE_ROWS)
+    shared = textdf.where(picked & (F.col("nestinglevel") <= 2) & (F.col("docelttype") != "Document") & F.length("text").between(3, 200))
+    short = shared.where("nestinglevel = 1 OR docelttype = 'ListItem'").select("siteindex", "text")
+    short = short.join(sites, "siteindex").select("text", "label").limit(SAMPLE_ROWS)
+    return [(r.text, r.label) for r in long.unionByName(short).collect()]
 
 
 def page_lines(textdf: DataFrame, nlpdocs: DataFrame, model: ByteGRU | None = None) -> DataFrame:

@@ -131,8 +131,11 @@ _STRUCT = T.StructType([T.StructField(f, T.IntegerType()) for f in _FIELDS])
 
 @F.arrow_udf(_STRUCT)
 def text_stats(texts: pa.Array) -> pa.Array:
-    stats = batch_stats(texts)
-    return pa.StructArray.from_arrays([pa.array(stats[f]) for f in _FIELDS], list(_FIELDS))
+    def work(part: pa.Array) -> pa.Array:
+        stats = batch_stats(part)
+        return pa.StructArray.from_arrays([pa.array(stats[f]) for f in _FIELDS], list(_FIELDS))
+
+    return chars.in_chunks(texts, work)
 
 
 def page_quality(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:

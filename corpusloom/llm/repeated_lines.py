@@ -66,7 +66,7 @@ def batch_lines(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(_LINES)
 def line_templates(texts: pa.Array) -> pa.Array:
-    return batch_lines(texts)
+    return chars.in_chunks(texts, batch_lines)
 
 
 def text_lines(textdf: DataFrame) -> DataFrame:
