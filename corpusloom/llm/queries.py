@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, mainbody, near_duplicates, quality, repeated_lines, repetition, sentences
+from corpusloom.llm import language, leaks, mainbody, near_duplicates, quality, repeated_lines, repetition, sentences
 from corpusloom.plans.session import settle, table
 
 
@@ -55,6 +55,15 @@ def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.block_sentences(sentences.text_blocks(table(spark, d, "textdf")), words)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.verbatim_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Verbatim leaks and paraphrases."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -63,7 +72,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p9_found, p9_leaks, p10_found, p10_shares)}
 ORACLES = {
     "p3_found": r"""
         WITH l AS (
