@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, leaks, mainbody, near_duplicates, quality, repeated_lines, repetition, sentences
+from corpusloom.llm import language, leaks, mainbody, near_duplicates, quality, repeated_lines, repetition, scan_noise, sentences
 from corpusloom.plans.session import settle, table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.scan_noise(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired_blocks(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_found(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
@@ -72,7 +80,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p4_repaired, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p9_found, p9_leaks, p10_found, p10_shares)}
 ORACLES = {
     "p3_found": r"""
         WITH l AS (
