@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, leaks, mainbody, near_duplicates, quality, repeated_lines, repetition, scan_noise, sentences
+from corpusloom.llm import language, leaks, mainbody, near_duplicates, quality, repeated_lines, repetition, scan_noise, sentences, token_ids
 from corpusloom.plans.session import settle, table
 
 
@@ -63,6 +63,15 @@ def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.block_sentences(sentences.text_blocks(table(spark, d, "textdf")), words)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids.token_ids(table(spark, d, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text) decoded again from the ids."""
+    return token_ids.decode_ids(token_ids.token_ids(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.verbatim_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -80,8 +89,9 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p4_repaired, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p4_repaired, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
 ORACLES = {
+    "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_found": r"""
         WITH l AS (
             SELECT DISTINCT page_id, pos, siteindex, i::INT AS line_no,
