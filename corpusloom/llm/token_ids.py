@@ -83,37 +83,49 @@ def _bucket(a: int, b: int) -> int:
     return (a * 40_503 + b * 7) % _BUCKETS
 
 
-def merged(ranks: Ranks, a: Column, b: Column) -> Column:
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def merged(pairs: Column, a: Column, b: Column) -> Column:
     """The symbol that two symbols merge into, which is also the merge's rank; _NONE if they don't."""
     key = a.cast("bigint") * 65536 + b
     at = F.pmod(a.cast("bigint") * 40_503 + b * 7, F.lit(_BUCKETS)).cast("int") + 1
     none = F.lit(_NONE).cast("bigint")
-    return F.aggregate(F.element_at(ranks.pairs, at), none, lambda found, x: F.when(F.shiftright(x, 20) == key, x.bitwiseAND(F.lit(_NONE - 1))).otherwise(found))
+    return F.aggregate(F.element_at(pairs, at), none, lambda found, x: F.when(F.shiftright(x, 20) == key, x.bitwiseAND(F.lit(_NONE - 1))).otherwise(found))
 
 
 def fold_merges(ranks: Ranks, chunk: Column) -> Column:
     """The ids of a chunk (its bytes as characters up to U+00FF)."""
+    return bound(ranks.pairs, lambda pairs: _fold(pairs, ranks.byte_ids, chunk))
+
+
+def _fold(pairs: Column, byte_ids: list[int], chunk: Column) -> Column:
     digits = F.hex(F.encode(chunk, "ISO-8859-1"))
     n = F.length(chunk)
-    ids = F.from_json(F.lit(json.dumps(ranks.byte_ids)), "array<bigint>")
+    ids = F.from_json(F.lit(json.dumps(byte_ids)), "array<bigint>")
     byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
     symbols = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(ids, byte(i) + 1))
-    pair = lambda s, i: merged(ranks, F.element_at(s, i), F.element_at(s, i + 1))
-    start = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(symbols, i))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+
+    def ranked(s: Column) -> Column:
+        pair = lambda i: merged(pairs, F.element_at(s, i), F.element_at(s, i + 1))
+        r = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), pair)).otherwise(none)
+        return F.struct(s.alias("s"), r.alias("r"))
 
     def step(state: Column) -> Column:
         s, r, least = state["s"], state["r"], F.array_min(state["r"])
         i = F.array_position(r, least).cast("int")  # the leftmost pair of the least rank; its symbols are i and i + 1
         size = F.size(s)
         left, right = F.slice(s, F.lit(1), i - 1), F.slice(s, i + 2, F.greatest(size - i - 1, F.lit(0)))
-        before = F.when(i > 1, F.array(merged(ranks, F.element_at(s, i - 1), least))).otherwise(F.array().cast("array<bigint>"))
-        after = F.when(i + 1 < size, F.array(merged(ranks, least, F.element_at(s, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+        before = F.when(i > 1, F.array(merged(pairs, F.element_at(s, i - 1), least))).otherwise(none)
+        after = F.when(i + 1 < size, F.array(merged(pairs, least, F.element_at(s, i + 2)))).otherwise(none)
         next_s = F.concat(left, F.array(least), right)
         next_r = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.greatest(size - i - 2, F.lit(0))))
         return F.when(F.coalesce(least < _NONE, F.lit(False)), F.struct(next_s.alias("s"), next_r.alias("r"))).otherwise(state)
 
-    state = F.struct(symbols.alias("s"), start.alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), state, lambda x, _: step(x), lambda x: x["s"])
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), bound(symbols, ranked), lambda x, _: step(x), lambda x: x["s"])
     return folded.cast("array<int>")
 
 
@@ -134,33 +146,43 @@ def encode_words(words: DataFrame, ranks: Ranks) -> DataFrame:
     return joined.select("word", "n", F.flatten("p.ids").alias("ids"))
 
 
+def frequent_table(words: DataFrame) -> Column:
+    """The most frequent words and their ids, each in the slot of its hash; of two for one slot the more frequent.
+
+    What the driver gets is bounded by FREQUENT rows of words a corpus repeats."""
+    slot = F.pmod(F.xxhash64("word"), F.lit(_BUCKETS)).alias("slot")
+    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids", slot).collect()
+    keys: list[str | None] = [None] * _BUCKETS
+    ids: list[list[int] | None] = [None] * _BUCKETS
+    for r in top:
+        if keys[r.slot] is None:
+            keys[r.slot], ids[r.slot] = r.word, list(r.ids)
+    return F.from_json(F.lit(json.dumps({"k": keys, "i": ids})), "struct<k:array<string>,i:array<array<int>>>")
+
+
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids): the token ids of every document, without special tokens."""
     ranks = Ranks(path or default_path())
-    docs = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs = documents.select("doc_id", "text")
+    if docs.count() > docs.select("doc_id").distinct().count():
+        docs = docs.dropDuplicates(["doc_id"])
+    docs = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     counts = documents.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     words = settle(encode_words(counts, ranks))
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids", F.pmod(F.xxhash64("word"), F.lit(_BUCKETS)).alias("b")).collect()
-    buckets: list[list[dict]] = [[] for _ in range(_BUCKETS)]
-    for r in top:
-        buckets[r.b].append({"w": r.word, "i": list(r.ids)})
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<w:string,i:array<int>>>>")
-
-    def frequent(w: Column) -> Column:
-        bucket = F.element_at(table, F.pmod(F.xxhash64(w), F.lit(_BUCKETS)).cast("int") + 1)
-        return F.get(F.filter(bucket, lambda x: x["w"] == w), F.lit(0))["i"]
-
-    items = F.transform(
-        words_of(F.col("text")),
-        lambda w, i: F.struct(i.alias("at"), frequent(w).alias("ids"), w.alias("word")),
-    )
-    docs = docs.select("doc_id", items.alias("items"))
-    missing = F.filter("items", lambda x: x["ids"].isNull())
-    rare = docs.select("doc_id", F.inline(F.transform(missing, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word")))))
-    rare = rare.join(words.select("word", "ids"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("at", "ids")).alias("more"))
-    known = F.transform(F.filter("items", lambda x: x["ids"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), x["ids"].alias("ids")))
-    all_ = F.when(F.col("more").isNull(), known).otherwise(F.array_sort(F.concat(known, F.col("more"))))
-    return docs.join(rare, "doc_id", "left").select("doc_id", F.flatten(all_["ids"]).alias("ids"))
+    table = frequent_table(words)
+    empty = F.array().cast("array<int>")
+
+    def ids_of(t: Column, w: Column) -> Column:  # null if the word isn't in the table
+        slot = F.pmod(F.xxhash64(w), F.lit(_BUCKETS)).cast("int") + 1
+        return F.when(F.element_at(t["k"], slot) == w, F.element_at(t["i"], slot))
+
+    missing = bound(table, lambda t: F.transform("words", lambda w, i: F.when(ids_of(t, w).isNull(), F.struct(i.alias("at"), w.alias("word")))))
+    known = bound(table, lambda t: F.transform("words", lambda w, i: F.struct(i.alias("at"), F.coalesce(ids_of(t, w), empty).alias("ids"))))
+    rare = docs.select("doc_id", F.inline(F.array_compact(missing)))
+    rare = rare.join(words.select("word", "ids"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("more"))
+    found = docs.join(rare, "doc_id", "left").select("doc_id", "more", known.alias("known"))
+    all_ = F.when(F.col("more").isNull(), F.col("known")).otherwise(F.sort_array(F.concat("known", "more")))
+    return found.select("doc_id", F.flatten(all_["ids"]).alias("ids"))
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
