@@ -96,7 +96,7 @@ def parsed_timestamp(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The plain sentencizer: a terminator ends a sentence where space follows."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?…])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?…])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 # Universal tags and the fragments of a lexicon's tag that mean them; the first that is contained decides.

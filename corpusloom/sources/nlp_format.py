@@ -54,7 +54,7 @@ def parse_documents(files: DataFrame, strict: bool = True) -> DataFrame:
     )
     none = F.lit(None).cast("string")
     title = F.nullif(F.trim(F.substring_index("rest", ">>", 1)), F.lit(""))
-    items = F.filter(F.transform(F.split(F.regexp_extract("rest", r"^.*?>>(.*)$", 1), r"\|\|"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.regexp_extract("rest", r"^.*?>>(.*)$", 1), r"\|\|"), lambda x: F.trim(x)), lambda x: x != "")
     short = F.concat(
         F.array(row(F.col("kind"), F.lit("Start"), F.col("at"), title)),
         F.transform(items, lambda x: row(F.lit("ListItem"), F.lit("Text"), F.col("at") + 1, x)),

@@ -36,7 +36,7 @@ def read_request_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_inflections(spark: SparkSession, path: str) -> DataFrame:
     """(token, tag) of the first lexicon: tab-separated after fifteen lines of preamble and a header line."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     header = lines.where("n = 15").select(F.split("line", "\t").alias("h")).first()
     columns = list(header.h) if header else []
     at = lambda name: columns.index(name) + 1 if name in columns else 0
@@ -50,7 +50,7 @@ def read_tagged_forms(spark: SparkSession, path: str) -> DataFrame:
     """(token, tag) of the second lexicon: form and tag in the third and fourth of its columns or the first two.
 
     The file has no header; its first line is taken for one and lost.  Lines with too few cells are skipped."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     cells = F.split("line", "\t")
     rows = lines.where("n > 0").select(cells.alias("c")).where(F.size("c") >= 2)
     wide = F.size("c") >= 5
