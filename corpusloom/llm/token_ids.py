@@ -166,7 +166,7 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     docs = documents.select("doc_id", "text")
     if docs.count() > docs.select("doc_id").distinct().count():
         docs = docs.dropDuplicates(["doc_id"])
-    docs = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    split = words_of(F.col("text"))  # after the shuffle by document: a text is smaller than its words
     counts = documents.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     words = settle(encode_words(counts, ranks))
     table = frequent_table(words)
@@ -176,8 +176,8 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
         slot = F.pmod(F.xxhash64(w), F.lit(_BUCKETS)).cast("int") + 1
         return F.when(F.element_at(t["k"], slot) == w, F.element_at(t["i"], slot))
 
-    missing = bound(table, lambda t: F.transform("words", lambda w, i: F.when(ids_of(t, w).isNull(), F.struct(i.alias("at"), w.alias("word")))))
-    known = bound(table, lambda t: F.transform("words", lambda w, i: F.struct(i.alias("at"), F.coalesce(ids_of(t, w), empty).alias("ids"))))
+    missing = bound(table, lambda t: F.transform(split, lambda w, i: F.when(ids_of(t, w).isNull(), F.struct(i.alias("at"), w.alias("word")))))
+    known = bound(table, lambda t: F.transform(split, lambda w, i: F.struct(i.alias("at"), F.coalesce(ids_of(t, w), empty).alias("ids"))))
     rare = docs.select("doc_id", F.inline(F.array_compact(missing)))
     rare = rare.join(words.select("word", "ids"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("more"))
     found = docs.join(rare, "doc_id", "left").select("doc_id", "more", known.alias("known"))
