@@ -5,9 +5,9 @@ pattern; only distinct words are encoded.  A word is an array of byte symbols
 (cut where no token of the vocabulary crosses), over which a higher-order fold
 applies merge after merge by the rank map, a literal hash table of arrays.
 
-The most frequent FREQUENT words and their ids are a literal table as well, so
-that they are looked up in place; all other words are joined.  A word outside
-the table has at most one FREQUENT-th of all occurrences, so no join key is hot.
+The words with at least one FREQUENT-th of all occurrences, of which there can't be
+more than FREQUENT, and their ids are a literal table as well, so that they are
+looked up in place; all other words are joined, and none of them is hot.
 
 Defined ids: a null or empty text has the empty list; blank texts have the ids
 of their white space.  A doc_id counts once (repeated rows are one document);
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.session import settle
 
-#: Words encoded in place.
-FREQUENT = 16_384
+#: A word with one in so many occurrences is encoded in place.
+FREQUENT = 262_144
+_SEEDS = 16
 _BUCKETS = 131_072
 _NONE = 1 << 20  # the rank of what can't be merged
 #: The word pattern of the tokenizer, for Java: letters, digits and space as in Unicode.
@@ -139,25 +140,37 @@ def encode_words(words: DataFrame, ranks: Ranks) -> DataFrame:
     parts = F.when(F.octet_length("word") == F.length("word"), F.array(latin)).otherwise(
         F.split(F.regexp_replace(latin, F.lit(ranks.cuts), F.lit(_CUT)), _CUT)
     )
-    rows = settle(words.select("word", "n", F.posexplode(parts).alias("at", "chunk")))
+    rows = settle(words).select("word", "n", F.posexplode(parts).alias("at", "chunk"))
     chunks = rows.select("chunk").distinct()
     known = chunks.select("chunk", fold_merges(ranks, F.col("chunk")).alias("ids"))
     joined = rows.join(known, "chunk").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
     return joined.select("word", "n", F.flatten("p.ids").alias("ids"))
 
 
-def frequent_table(words: DataFrame) -> Column:
-    """The most frequent words and their ids, each in the slot of its hash; of two for one slot the more frequent.
+def slot_of(word: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(_BUCKETS)).cast("int")
 
-    What the driver gets is bounded by FREQUENT rows of words a corpus repeats."""
-    slot = F.pmod(F.xxhash64("word"), F.lit(_BUCKETS)).alias("slot")
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids", slot).collect()
+
+def frequent_table(words: DataFrame) -> tuple[Column, int]:
+    """The frequent words and their ids, each in the slot of its hash, and the hash's seed.
+
+    Of two words for one slot the more frequent has it; the seed is the one that leaves the least
+    occurrences without a slot.  The driver gets at most FREQUENT words."""
+    total = words.agg(F.sum("n").alias("n")).collect()[0].n or 0
+    often = words.where(F.col("n") * FREQUENT >= total).select("word", "n", "ids", F.array(*(slot_of(F.col("word"), s) for s in range(_SEEDS))).alias("slots"))
+    rows = sorted(often.collect(), key=lambda r: (-r.n, r.word))
+    lost = []
+    for seed in range(_SEEDS):
+        taken: set[int] = set()
+        lost.append(sum(r.n for r in rows if r.slots[seed] in taken or taken.add(r.slots[seed])))
+    seed = lost.index(min(lost))
     keys: list[str | None] = [None] * _BUCKETS
     ids: list[list[int] | None] = [None] * _BUCKETS
-    for r in top:
-        if keys[r.slot] is None:
-            keys[r.slot], ids[r.slot] = r.word, list(r.ids)
-    return F.from_json(F.lit(json.dumps({"k": keys, "i": ids})), "struct<k:array<string>,i:array<array<int>>>")
+    for r in rows:
+        slot = r.slots[seed]
+        if keys[slot] is None:
+            keys[slot], ids[slot] = r.word, list(r.ids)
+    return F.from_json(F.lit(json.dumps({"k": keys, "i": ids})), "struct<k:array<string>,i:array<array<int>>>"), seed
 
 
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -169,11 +182,11 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     split = words_of(F.col("text"))  # after the shuffle by document: a text is smaller than its words
     counts = documents.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     words = settle(encode_words(counts, ranks))
-    table = frequent_table(words)
+    table, seed = frequent_table(words)
     empty = F.array().cast("array<int>")
 
     def ids_of(t: Column, w: Column) -> Column:  # null if the word isn't in the table
-        slot = F.pmod(F.xxhash64(w), F.lit(_BUCKETS)).cast("int") + 1
+        slot = slot_of(w, seed) + 1
         return F.when(F.element_at(t["k"], slot) == w, F.element_at(t["i"], slot))
 
     missing = bound(table, lambda t: F.transform(split, lambda w, i: F.when(ids_of(t, w).isNull(), F.struct(i.alias("at"), w.alias("word")))))
