@@ -183,19 +183,19 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     counts = documents.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     words = settle(encode_words(counts, ranks))
     table, seed = frequent_table(words)
-    empty = F.array().cast("array<int>")
 
     def ids_of(t: Column, w: Column) -> Column:  # null if the word isn't in the table
         slot = slot_of(w, seed) + 1
         return F.when(F.element_at(t["k"], slot) == w, F.element_at(t["i"], slot))
 
     missing = bound(table, lambda t: F.transform(split, lambda w, i: F.when(ids_of(t, w).isNull(), F.struct(i.alias("at"), w.alias("word")))))
-    known = bound(table, lambda t: F.transform(split, lambda w, i: F.struct(i.alias("at"), F.coalesce(ids_of(t, w), empty).alias("ids"))))
     rare = docs.select("doc_id", F.inline(F.array_compact(missing)))
-    rare = rare.join(words.select("word", "ids"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("more"))
-    found = docs.join(rare, "doc_id", "left").select("doc_id", "more", known.alias("known"))
-    all_ = F.when(F.col("more").isNull(), F.col("known")).otherwise(F.sort_array(F.concat("known", "more")))
-    return found.select("doc_id", F.flatten(all_["ids"]).alias("ids"))
+    rare = rare.join(words.select("word", "ids"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("m"))
+    rare = rare.select("doc_id", F.col("m.at").alias("more_at"), F.col("m.ids").alias("more_ids"))
+    found = docs.join(rare, "doc_id", "left")
+    joined = lambda i: F.element_at("more_ids", F.array_position("more_at", i).cast("int"))
+    ids = bound(table, lambda t: F.transform(split, lambda w, i: F.coalesce(ids_of(t, w), joined(i))))
+    return found.select("doc_id", F.flatten(ids).alias("ids"))
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
