@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,5 +56,23 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context, so that they needn't have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(archive := f"{folder}/corpusloom_package.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent).as_posix())
+    path = list(sys.path)
+    sc.addPyFile(archive)
+    sys.path[:] = path  # the driver has the package itself
+    sc._corpusloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
