@@ -34,7 +34,7 @@ from corpusloom.plans.session import settle
 LANGUAGES = ("fr", "en", "de", "es", "it", "ru", "ja", "zh", "th")
 #: The classifier's sample: pages, rows of all, words a language; bytes of a word run at once.
 SAMPLE_PAGES, SAMPLE_ROWS, SAMPLE_WORDS, PIECE = 3_000, 12_000, 8_000, 24
-TRAIN_STEPS = 700
+TRAIN_STEPS, HIDDEN = 1_200, 32
 LONG_LINE = 40
 #: How far behind a line's best language the page's must lie, in quarters.
 MARGIN = 16
@@ -190,7 +190,7 @@ def training_words(rows: list[tuple[str, str]], per_language: int = SAMPLE_WORDS
 
 def fit(rows: list[tuple[str, str]], steps: int = TRAIN_STEPS) -> ByteGRU:
     """The network fitted on labelled texts."""
-    model = ByteGRU(len(LANGUAGES))
+    model = ByteGRU(len(LANGUAGES), hidden=HIDDEN)
     words, labels = training_words(rows)
     if words:
         ids, owner = byte_ids(words)
@@ -211,10 +211,10 @@ def sample_rows(textdf: DataFrame, nlpdocs: DataFrame) -> list[tuple[str, str]]:
     every = max(1, nlpdocs.count() // SAMPLE_PAGES)
     picked = F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0
     own = textdf.where(picked & (F.col("docelttype") == "TextBlock") & F.length("text").between(60, 600)).select("page_id", "text")
-    long = own.join(pages.where(picked), "page_id").select("text", "label").limit(SAMPLE_ROWS)
+    long = own.join(pages.where(picked), "page_id").select("text", "label").orderBy(F.xxhash64("text"), "label").limit(SAMPLE_ROWS)
     shared = textdf.where(picked & (F.col("nestinglevel") <= 2) & (F.col("docelttype") != "Document") & F.length("text").between(3, 200))
     short = shared.where("nestinglevel = 1 OR docelttype = 'ListItem'").select("siteindex", "text")
-    short = short.join(sites, "siteindex").select("text", "label").limit(SAMPLE_ROWS)
+    short = short.join(sites, "siteindex").select("text", "label").orderBy(F.xxhash64("text"), "label").limit(SAMPLE_ROWS)
     return [(r.text, r.label) for r in long.unionByName(short).collect()]
 
 
