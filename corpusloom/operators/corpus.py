@@ -204,3 +204,29 @@ def unigram_segments(texts: DataFrame, pieces: dict[str, float]) -> DataFrame:
         return pa.array(out, pa.list_(pa.string()))
 
     return texts.select("doc_id", F.arrow_udf(run, T.ArrayType(T.StringType()))("text").alias("segments"))
+
+
+def dataset_samples(lines: DataFrame, urls: DataFrame, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """urls(dataset, url) of the listed datasets lines(dataset), at most n of each, drawn by a seeded hash (a sampling operator)."""
+    chosen = urls.join(lines.select("dataset").distinct(), "dataset", "left_semi")
+    w = Window.partitionBy("dataset").orderBy(F.xxhash64("url", F.lit(seed)), "url")
+    return chosen.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def write_csv(df: DataFrame, folder: str, separator: str = ";") -> None:
+    """A table as lines with a header."""
+    df.write.mode("overwrite").option("sep", separator).option("header", True).csv(folder)
+
+
+def cached_table(df_of, spark, path: str) -> DataFrame:
+    """The table at a path; if there is none, what df_of() gives is written there first."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        df_of().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def piece_counts(pieces: DataFrame) -> DataFrame:
+    """(piece, count) of unigram pieces(piece, logprob): probabilities in millionths."""
+    return pieces.select("piece", F.round(F.exp("logprob") * 1e6, 3).alias("count"))

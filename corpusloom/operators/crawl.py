@@ -258,3 +258,85 @@ def frontier_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 20) ->
             break
         known = known.unionByName(level)
     return known
+
+
+def should_crawl_links(content: Column, internal: Column, depth: Column, max_depth: int = 100) -> Column:
+    """(allowed, reason) of following a fetched page's links."""
+    no = lambda why: F.struct(F.lit(False).alias("allowed"), F.lit(why).alias("reason"))
+    return (
+        F.when(F.coalesce(F.trim(content), F.lit("")) == "", no("no content"))
+        .when(~F.coalesce(internal, F.lit(False)), no("external"))
+        .when(F.coalesce(depth, F.lit(0)) >= max_depth, no("too deep"))
+        .otherwise(F.struct(F.lit(True).alias("allowed"), F.lit(None).cast("string").alias("reason")))
+    )
+
+
+def is_internal(url: Column, root: Column, first_root: Column, scope: Column) -> Column:
+    """Inside the scope of the current root, or of the root before a redirect."""
+    return F.coalesce(urls.in_scope(url, root, scope), F.lit(False)) | F.coalesce(urls.in_scope(url, first_root, scope), F.lit(False))
+
+
+def capped_links(links: DataFrame, most: int) -> DataFrame:
+    """The first links(page, pos, url) of every page, as many as the crawl's setting allows; a setting of 0 allows all."""
+    if not most:
+        return links
+    w = Window.partitionBy("page").orderBy("pos")
+    return links.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def still_allowed(frontier: DataFrame, rules: DataFrame) -> DataFrame:
+    """frontier(url, host) without what rules(host, patterns) forbid since a change of settings."""
+    kept = frontier.join(rules.select("host", "patterns"), "host", "left")
+    return kept.where(robots_allowed(F.col("url"), F.col("patterns"))).drop("patterns")
+
+
+def next_batch(frontier: DataFrame, size: int) -> DataFrame:
+    """The next entries of a frontier(url, crawl_depth, seq), first in first out within a depth (a report of fixed size)."""
+    return frontier.orderBy("crawl_depth", "seq").limit(size)
+
+
+def retry_times(log: DataFrame, minimum_ms: int = 5_000, max_retries: int = 3) -> DataFrame:
+    """(request_id, retry_ms): when failed requests may be tried again: after their own delay, at least the minimum."""
+    again = log.where(should_recrawl(F.col("error_message"), F.col("retry_count"), max_retries) & F.col("clock").isNotNull())
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(clock AS TIMESTAMP_NTZ))")
+    own = F.when(~F.isnan("retry_after_s"), F.col("retry_after_s") * 1000)
+    return again.select("request_id", (ms + F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(float(minimum_ms))).cast("bigint")).alias("retry_ms"))
+
+
+def rechecked_errors(log: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(url, logged, fresh) of requests that failed, beside a fresh status of the same address; null if there is none."""
+    failed = log.where(F.col("status_code").isNotNull() & (F.col("status_code") != "OK")).select("url", F.col("status_code").alias("logged")).distinct()
+    return failed.join(fresh.select("url", F.col("status_code").alias("fresh")), "url", "left")
+
+
+def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
+    """(host, patterns, delay, sitemaps) for one agent: its own group, else that of *."""
+    mine = rules.where((F.col("agent") == agent.lower()) | (F.col("agent") == "*"))
+    best = mine.groupBy("host").agg(F.max_by(F.struct("patterns", "delay", "sitemaps"), F.col("agent") != "*").alias("r"))
+    return best.select("host", "r.*")
+
+
+def with_excludes(rules: DataFrame, excludes: DataFrame, agent: str = "bingbot") -> DataFrame:
+    """agent_rules of hosts with extra patterns excludes(host, pattern) of the crawl's settings."""
+    extra = excludes.where(F.col("pattern").isNotNull()).groupBy("host").agg(F.array_sort(F.collect_set("pattern")).alias("extra"))
+    both = agent_rules(rules, agent).join(extra, "host", "full")
+    none = F.array().cast("array<string>")
+    return both.select("host", F.array_union(F.coalesce("patterns", none), F.coalesce("extra", none)).alias("patterns"), "delay", "sitemaps")
+
+
+def allowed_under_root(url: Column, root: Column, patterns: Column) -> Column:
+    """URLs outside the root of a robots file aren't its business; http and https are one."""
+    plain = lambda c: F.regexp_replace(c, "^https?://", "")
+    return F.when(~F.startswith(plain(url), plain(root)), True).otherwise(robots_allowed(url, patterns))
+
+
+def observed_crawl(log: DataFrame, observation) -> DataFrame:
+    """The log with its progress counted while it is used: requests, pages, errors, bytes, latest time."""
+    return log.observe(
+        observation,
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.col("status_code") == "OK").alias("pages"),
+        F.count_if(F.col("error_message").isNotNull()).alias("errors"),
+        F.sum("content_size_bytes").alias("bytes"),
+        F.max("clock").alias("latest"),
+    )

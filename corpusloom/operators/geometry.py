@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.session import settle
+
 # Thresholds of the detection stages.
 WORD_MIN_SCORE, WORD_NMS_IOU, CHAR_MIN_SCORE, CHAR_NMS_IOU, MIN_NEIGHBOURS = 0.95, 0.15, 0.25, 0.3, 1
 KEEP_SCORE, LEXICON_SCORE, OTHER_SCORE = 0.98, 0.80, 0.90
@@ -236,3 +238,88 @@ def capture_quality(files: DataFrame) -> DataFrame:
         ).alias("valid"),
     )
     return g
+
+
+def clipped_point(x: Column, y: Column, width: int, height: int) -> tuple[Column, Column]:
+    """A point rounded (halves to even) and kept inside the image."""
+    keep = lambda c, n: F.least(F.greatest(F.bround(c), F.lit(0)), F.lit(n - 1)).cast("int")
+    return keep(x, width), keep(y, height)
+
+
+def resized(width: Column, height: Column, longest: int, multiple: int) -> tuple[Column, Column]:
+    """Width and height scaled so that the longer is ``longest``, both to a multiple."""
+    scale = F.lit(float(longest)) / F.greatest(width, height)
+    to = lambda c: (F.round(c * scale / multiple) * multiple).cast("int")
+    return to(width), to(height)
+
+
+def viewport_width(draw: Column, shares: list[tuple[int, float]]) -> Column:
+    """The width for a draw in [0, 100) by the widths' shares in percent, in their order; the last for the rest."""
+    out, below = None, 0.0
+    for width, share in shares:
+        below += share
+        out = F.when(draw < below, width) if out is None else out.when(draw < below, width)
+    return out.otherwise(shares[-1][0])
+
+
+def input_label(placeholder: Column, value: Column, kind: Column) -> Column:
+    """What a form input shows: its placeholder, else its value; buttons show their value."""
+    text = F.nullif(F.trim(value), F.lit(""))
+    return F.when(F.lower(kind).isin("submit", "button"), text).otherwise(F.coalesce(F.nullif(placeholder, F.lit("")), text))
+
+
+def pruned_tree(nodes: DataFrame) -> DataFrame:
+    """nodes(page_id, node_id, parent_id, text) without those that have no text and one child; children move up.
+
+    A kept node's parent is its nearest kept ancestor: the pruned chains are followed by doubling, a round each."""
+    children = nodes.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"))
+    marked = nodes.join(children, ["page_id", "node_id"], "left")
+    drop = (F.coalesce("children", F.lit(0)) == 1) & (F.coalesce(F.trim("text"), F.lit("")) == "") & F.col("parent_id").isNotNull()
+    marked = marked.withColumn("dropped", drop).select("page_id", "node_id", "parent_id", "text", "dropped")
+    marked = settle(marked)
+    up = marked.where("dropped").select("page_id", F.col("node_id").alias("via"), F.col("parent_id").alias("above"))
+    while not up.isEmpty():
+        moves = up.select("page_id", F.col("via").alias("parent_id"), "above")
+        step = marked.join(moves, ["page_id", "parent_id"], "left").select("page_id", "node_id", F.coalesce("above", "parent_id").alias("parent_id"), "text", "dropped")
+        twice = up.withColumnRenamed("above", "middle").join(up.select("page_id", F.col("via").alias("middle"), "above"), ["page_id", "middle"])
+        marked = settle(step)
+        up = settle(twice.select("page_id", "via", "above"))
+    return marked.where("NOT dropped").drop("dropped")
+
+
+def dense_boxes(maps: DataFrame, stride: int = 4, min_score: float = WORD_MIN_SCORE) -> DataFrame:
+    """(image, box, score) of dense maps(image, width, scores, geometry): every cell above the minimum is a box turned by its angle.
+
+    geometry has for each cell the distances to the box's top, right, bottom and left side, and the angle."""
+    cells = maps.select("image", "width", F.posexplode(F.arrays_zip("scores", "geometry")).alias("at", "c")).where(F.col("c.scores") > min_score)
+    cx, cy = (F.col("at") % F.col("width")) * stride, F.floor(F.col("at") / F.col("width")) * stride
+    top, right, bottom, left, angle = (F.col("c.geometry")[i] for i in range(5))
+    corners = ((-left, -top), (right, -top), (right, bottom), (-left, bottom))
+    points = [v for dx, dy in corners for v in rotated(cx, cy, cx + dx, cy + dy, angle)]
+    return cells.select("image", F.array(*(p.cast("double") for p in points)).alias("box"), F.col("c.scores").cast("double").alias("score"))
+
+
+def merged_with_classes(boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, iou_threshold: float, min_score: float) -> tuple[np.ndarray, ...]:
+    """Suppression that averages the class scores of a box's neighbours as it does their corners."""
+    order, alive, out = np.argsort(-scores, kind="stable"), np.ones(len(scores), bool), []
+    for i in order:
+        if alive[i]:
+            near = [j for j in order if alive[j] and (j == i or polygon_iou(boxes[i].reshape(-1, 2), boxes[j].reshape(-1, 2)) > iou_threshold)]
+            w = np.maximum(scores[near] - min_score, 1e-6)[:, None]
+            out.append(((boxes[near] * w).sum(0) / w.sum(), scores[i], (classes[near] * w).sum(0) / w.sum()))
+            alive[near] = False
+    return tuple(np.array(x) for x in zip(*out)) if out else (np.zeros((0, 8)), np.zeros(0), np.zeros((0, classes.shape[1])))
+
+
+def softened_scores(boxes: np.ndarray, scores: np.ndarray, sigma: float = 0.5, min_score: float = 0.001) -> np.ndarray:
+    """Soft suppression: a box's score falls with its overlap with better boxes instead of going at once."""
+    scores, left = scores.astype(float).copy(), set(range(len(scores)))
+    while left:
+        best = max(left, key=lambda i: (scores[i], -i))
+        left.discard(best)
+        for j in list(left):
+            o = polygon_iou(boxes[best].reshape(-1, 2), boxes[j].reshape(-1, 2))
+            scores[j] *= float(np.exp(-o * o / sigma))
+            if scores[j] < min_score:
+                left.discard(j)
+    return scores

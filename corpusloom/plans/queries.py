@@ -508,7 +508,7 @@ def format_round_trip(spark: SparkSession, d: str) -> DataFrame:
     once = _once(spark, d)
     rows = once.join(once.where("docelttype IS NULL").select("page_id").distinct(), "page_id", "left_anti")
     rows = rows.where("doceltcmd <> 'Text' OR (text IS NOT NULL AND trim(text) <> '')")
-    files = nlp_format.render_documents(rows.select(F.col("page_id").cast("string").alias("doc"), "pos", "docelttype", "doceltcmd", "nestinglevel", F.trim("text").alias("text")))
+    files = nlp_format.render_documents(rows.select(F.col("page_id").cast("string").alias("doc"), "pos", "docelttype", "doceltcmd", "nestinglevel", F.trim("text").alias("text")), compact=False)
     back = nlp_format.parse_documents(files).where("NOT (docelttype = 'Document' AND doceltcmd IN ('Start', 'End'))")
     return back.groupBy("doceltcmd", "docelttype").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length(F.trim("text")), F.lit(0))).alias("characters"))
 
@@ -661,3 +661,89 @@ def stream_running_totals(spark: SparkSession, d: str) -> DataFrame:
     stream = streams.running_totals(streams.read_log(spark, f"{d}/requests.parquet"))
     updates = streams.appended_updates(stream)
     return updates.groupBy("siteindex").agg(F.max("pages").alias("pages"), F.max("errors").alias("errors"), F.max("bytes").alias("bytes"))
+
+
+# more of the crawl
+
+
+@query(
+    f"""SELECT request_id, (epoch_us(clock) // 1000 + greatest(coalesce(CASE WHEN isnan(retry_after_s) THEN NULL ELSE retry_after_s END * 1000, 0), 5000)::BIGINT)::BIGINT AS retry_ms
+        FROM {_R} WHERE error_message IS NOT NULL AND coalesce(retry_count, 0) < 3 AND clock IS NOT NULL"""
+)
+def retry_times(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.retry_times(_requests(spark, d))
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT url, status_code AS logged FROM {_R} WHERE status_code IS NOT NULL AND status_code <> 'OK' AND url IS NOT NULL),
+             l AS (SELECT url, arg_max(status_code, request_id) AS fresh FROM {_R} WHERE url IS NOT NULL AND status_code IS NOT NULL GROUP BY url)
+        SELECT f.url, f.logged, l.fresh FROM f LEFT JOIN l USING (url)"""
+)
+def errors_rechecked(spark: SparkSession, d: str) -> DataFrame:
+    """Failed addresses beside their latest status in the log."""
+    log = _requests(spark, d).where("url IS NOT NULL")
+    fresh = log.where("status_code IS NOT NULL").groupBy("url").agg(F.max_by("status_code", "request_id").alias("status_code"))
+    return crawl.rechecked_errors(log, fresh)
+
+
+@query(
+    f"""SELECT parent_url, url FROM (SELECT parent_url, url, row_number() OVER (PARTITION BY parent_url ORDER BY pos) AS n
+        FROM (SELECT parent_url, url, min(request_id) AS pos FROM {_R} WHERE parent_url IS NOT NULL AND url IS NOT NULL GROUP BY ALL)) WHERE n <= 5"""
+)
+def links_capped_per_page(spark: SparkSession, d: str) -> DataFrame:
+    links = _requests(spark, d).where("parent_url IS NOT NULL AND url IS NOT NULL").groupBy(F.col("parent_url").alias("page"), "url").agg(F.min("request_id").alias("pos"))
+    return crawl.capped_links(links, 5).select(F.col("page").alias("parent_url"), "url")
+
+
+@query(
+    f"""SELECT request_id, url FROM {_R} WHERE url IS NOT NULL ORDER BY crawl_depth NULLS FIRST, request_id LIMIT 50"""
+)
+def frontier_next_batch(spark: SparkSession, d: str) -> DataFrame:
+    rows = _requests(spark, d).where("url IS NOT NULL").withColumn("seq", F.col("request_id"))
+    return crawl.next_batch(rows, 50).select("request_id", "url")
+
+
+@query(
+    f"""SELECT request_id, CASE WHEN coalesce(content_size_bytes, 0) = 0 THEN 'no content' WHEN NOT coalesce({_SCOPED.replace('n.uri', 'n.url')}, false) THEN 'external'
+        WHEN coalesce(crawl_depth, 0) >= 4 THEN 'too deep' END AS reason FROM {_R} n JOIN websites w USING (siteindex)"""
+)
+def should_crawl_links_reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = _requests(spark, d).join(table(spark, d, "websites"), "siteindex")
+    content = F.when(F.coalesce("content_size_bytes", F.lit(0)) > 0, "x")
+    internal = crawl.is_internal(F.col("url"), F.col("rooturl"), F.col("rooturl"), F.col("scope"))
+    return rows.select("request_id", crawl.should_crawl_links(content, internal, F.col("crawl_depth"), 4)["reason"].alias("reason"))
+
+
+@query(
+    rf"""SELECT uri FROM (SELECT uri, {_HOST.format('uri')} AS host, excludeurls FROM nlpdocs JOIN websites USING (siteindex))
+        WHERE excludeurls IS NULL OR NOT regexp_matches({_PATH.format('uri')} || coalesce(regexp_extract(uri, '(\?[^#]*)', 1), ''), '^' || replace(regexp_replace(excludeurls, '([.?+])', '\\\1', 'g'), '*', '.*'))"""
+)
+def frontier_refiltered(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses still allowed by the exclude patterns of their site."""
+    sites = table(spark, d, "websites")
+    pages = table(spark, d, "nlpdocs").select(F.col("uri").alias("url"), F.col("siteindex").alias("host"))
+    rules = sites.select(F.col("siteindex").alias("host"), F.when(F.col("excludeurls").isNotNull(), F.array("excludeurls")).alias("patterns"))
+    return crawl.still_allowed(pages, rules).select(F.col("url").alias("uri"))
+
+
+@query(
+    """SELECT lang AS dataset, uri AS url FROM (SELECT lang, uri, row_number() OVER (PARTITION BY lang ORDER BY uri) AS n FROM (SELECT DISTINCT lang, uri FROM documents WHERE uri IS NOT NULL AND lang IS NOT NULL)) WHERE n >= 1"""
+)
+def dataset_url_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses by dataset (the documents' labels), with a sample size above any list's length."""
+    listed = table(spark, d, "documents").where("uri IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").alias("dataset"), F.col("uri").alias("url")).distinct()
+    return corpus.dataset_samples(listed.select("dataset"), listed, n=2_000_000_000)
+
+
+@query("SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN 0 ELSE least(round_even(c_acctbal, 0), 4999) END)::INT AS x FROM customer")
+def points_clipped(spark: SparkSession, d: str) -> DataFrame:
+    x, _ = geometry.clipped_point(F.col("c_acctbal"), F.lit(0.0), 5000, 1)
+    return table(spark, d, "customer").select("c_custkey", x.alias("x"))
+
+
+@query(
+    "SELECT p_partkey, (round(p_size * (2280.0::DOUBLE / greatest(p_size, p_retailprice)) / 32) * 32)::INT AS w, (round(p_retailprice * (2280.0::DOUBLE / greatest(p_size, p_retailprice)) / 32) * 32)::INT AS h FROM part"
+)
+def sizes_scaled(spark: SparkSession, d: str) -> DataFrame:
+    w, h = geometry.resized(F.col("p_size"), F.col("p_retailprice"), 2280, 32)
+    return table(spark, d, "part").select("p_partkey", w.alias("w"), h.alias("h"))

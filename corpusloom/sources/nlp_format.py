@@ -92,14 +92,16 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     return parse_documents(files.select(F.col("_metadata.file_path").alias("doc"), "value"))
 
 
-def render_documents(rows: DataFrame) -> DataFrame:
+def render_documents(rows: DataFrame, compact: bool = True) -> DataFrame:
     """(doc, value): the lines of every document's element rows (doc, pos, docelttype, doceltcmd, nestinglevel, text).
 
-    Lists of nothing but one-line items take one line."""
+    Lists of nothing but one-line items take one line.  ``compact`` writes as little as the format allows: untitled
+    groups without content go, and lists of short items are put in the one-line form; without it every row has its line."""
     w = Window.partitionBy("doc").orderBy("pos")
     one_line = F.replace(F.col("text"), F.lit("\n"), F.lit("\\n"))
     text, kind, cmd, level = one_line, F.col("docelttype"), F.col("doceltcmd"), F.col("nestinglevel").cast("int")
     rows = rows.dropDuplicates(["doc", "pos"])
+    rows = _with_end_titles(_compacted(rows) if compact else rows)
     opens = F.when((cmd == "Start") & kind.isin("List", "NavigationList"), 1).otherwise(0)
     rows = rows.withColumn("_l", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("doc", "_l")
@@ -128,6 +130,42 @@ def render_documents(rows: DataFrame) -> DataFrame:
     return lines.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("value"))
 
 
+def _compacted(rows: DataFrame) -> DataFrame:
+    """Rows without untitled groups that have no content (navigation lists stay), and with the items of lists of
+    nothing but short items as single rows."""
+    w = Window.partitionBy("doc").orderBy("pos")
+    group = F.col("docelttype").isin("Section", "List", "Table", "ListItem", "TableHeader", "TableCell")
+    start, end = F.col("doceltcmd") == "Start", F.col("doceltcmd") == "End"
+    same = F.coalesce(F.lead("docelttype").over(w) == F.col("docelttype"), F.lit(False))
+    opens_empty = group & start & (F.coalesce(F.col("text"), F.lit("")) == "") & same & F.coalesce(F.lead(end).over(w), F.lit(False))
+    rows = rows.withColumn("_e", opens_empty).withColumn("_e", F.col("_e") | F.coalesce(F.lag("_e").over(w), F.lit(False))).where(~F.col("_e")).drop("_e")
+    # an item of one short block is a one-line item if all of its list's are
+    item = lambda c, by: F.coalesce(F.lag(c, by).over(w), F.lit("")) if by > 0 else F.coalesce(F.lead(c, -by).over(w), F.lit(""))
+    single = (
+        (F.col("docelttype") == "TextBlock") & (F.length("text") < 50) & (item("docelttype", 1) == "ListItem") & (item("doceltcmd", 1) == "Start")
+        & (item("docelttype", -1) == "ListItem") & (item("doceltcmd", -1) == "End")
+    )
+    opens = F.when((F.col("doceltcmd") == "Start") & F.col("docelttype").isin("List", "NavigationList"), 1).otherwise(0)
+    rows = rows.withColumn("_s", single).withColumn("_g", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    shell = (F.col("docelttype") == "ListItem") & F.col("doceltcmd").isin("Start", "End")
+    closes = F.min(F.when((F.col("doceltcmd") == "End") & F.col("docelttype").isin("List", "NavigationList"), F.col("pos"))).over(Window.partitionBy("doc", "_g"))
+    rows = rows.withColumn("_c", closes)
+    within = (F.col("_g") > 0) & (F.col("pos") < F.col("_c"))
+    list_row = F.col("docelttype").isin("List", "NavigationList")
+    fine = F.min(F.when(within, F.col("_s") | shell | list_row | ((F.col("docelttype") == "ListItem") & (F.col("doceltcmd") == "Text"))).otherwise(True)).over(Window.partitionBy("doc", "_g"))
+    items = F.count_if(within & shell).over(Window.partitionBy("doc", "_g")) == 2 * F.count_if(within & F.col("_s")).over(Window.partitionBy("doc", "_g"))
+    rows = rows.withColumn("_f", fine & items & within)
+    rows = rows.where(~(F.col("_f") & shell)).withColumn("docelttype", F.when(F.col("_f") & F.col("_s"), "ListItem").otherwise(F.col("docelttype")))
+    return rows.drop("_s", "_g", "_c", "_f")
+
+
+def _with_end_titles(rows: DataFrame) -> DataFrame:
+    start, end = F.col("doceltcmd") == "Start", F.col("doceltcmd") == "End"
+    titled = Window.partitionBy("doc", "nestinglevel", "docelttype").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(start, F.struct(F.col("text").alias("t"))), ignorenulls=True).over(titled)["t"]
+    return rows.withColumn("text", F.when(end & (F.col("docelttype") != "Document"), last).otherwise(F.col("text")))
+
+
 def write_documents(rows: DataFrame, folder: str) -> None:
     """One line-oriented text file for each partition of documents, each document a record of its own file name column."""
     render_documents(rows).write.partitionBy("doc").text(folder)

@@ -68,3 +68,26 @@ def test_empty(spark):
     df = spark.createDataFrame([], nlp_format.SCHEMA)
     assert nlp_format.parse_documents(nlp_format.render_documents(df)).count() == 0
     assert F is not None
+
+
+def rendered(spark, html, compact=True):
+    from corpusloom.html.convert import convert_page
+
+    rows = [("f", i, *r) for i, r in enumerate(convert_page(html, "u"))]
+    return nlp_format.render_documents(spark.createDataFrame(rows, nlp_format.SCHEMA), compact).first().value.split("\n")
+
+
+def test_short_lists_take_one_line(spark):
+    assert rendered(spark, "<title>t</title><ol><li>a</li><li>b</li></ol>")[2:] == ["## 1 List Items >> a || b"]
+    long = rendered(spark, f"<ol><li>a</li><li>{'x' * 60}</li></ol>")
+    assert long[2] == "## 1 List Start " and long[-1] == "## 1 List End"
+
+
+def test_empty_groups_go_but_navigation_stays(spark):
+    assert rendered(spark, "<ol></ol><p>x</p>")[2:] == ["x"]
+    assert rendered(spark, "<ul><li><a href=a></a></li></ul>")[2] == "## 1 NavigationList Items >> "
+
+
+def test_end_carries_the_title(spark):
+    lines = rendered(spark, f"<h1>{'t' * 60}</h1><p>x</p>")
+    assert lines[-1] == "## 1 Section End <<" + "t" * 47 + "...>>"

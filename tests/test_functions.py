@@ -79,3 +79,24 @@ def test_text_functions(spark):
     assert one(spark, tx.capitalised(t), t="abC dE") == "AbC DE"
     assert one(spark, F.size(tx.tokens(t)), t=None) == 0
     assert one(spark, tx.tag_union(F.col("t"), F.col("u")), t="B|A", u=None) == "A|B"
+
+
+def test_agents_and_excludes(spark):
+    rules = crawl.robots_rules(spark.createDataFrame([("h", "User-agent: *\nDisallow: /s\nUser-agent: bingbot\nDisallow: /b"), ("i", "User-agent: *\nDisallow: /s")], "host string, content string"))
+    extra = spark.createDataFrame([("h", "/x"), ("k", "/y")], "host string, pattern string")
+    got = {r.host: r.patterns for r in crawl.with_excludes(rules, extra).collect()}
+    assert got == {"h": ["/b", "/x"], "i": ["/s"], "k": ["/y"]}
+
+
+def test_outside_the_root_all_is_allowed(spark):
+    allowed = crawl.allowed_under_root(F.col("u"), F.col("r"), F.array(F.lit("/a")))
+    assert one(spark, allowed, u="http://h/a/x", r="https://h/") is False
+    assert one(spark, allowed, u="https://other/a", r="https://h/") is True
+
+
+def test_observed(spark, small):
+    from pyspark.sql import Observation
+
+    o = Observation("crawl")
+    n = crawl.observed_crawl(spark.read.parquet(f"{small}/requests.parquet"), o).count()
+    assert o.get["requests"] == n

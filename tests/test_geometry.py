@@ -47,3 +47,30 @@ def test_geometry_json(spark):
 def test_box_columns(spark):
     r = spark.range(1).select(g.valid_box(F.lit(-1.0), F.lit(2.5), F.lit(0.0), F.lit(3.4)).alias("b")).first().b
     assert tuple(r) == (0, 3, 8, 3)
+
+
+def test_pruned_tree(spark):
+    rows = [(1, 1, None, None), (1, 2, 1, ""), (1, 3, 2, None), (1, 4, 3, "a"), (1, 5, 3, "b")]
+    out = g.pruned_tree(spark.createDataFrame(rows, "page_id long, node_id long, parent_id long, text string"))
+    assert sorted((r.node_id, r.parent_id or 0) for r in out.collect()) == [(1, 0), (3, 1), (4, 3), (5, 3)]
+
+
+def test_dense_boxes(spark):
+    maps = spark.createDataFrame([(7, 2, [0.1, 0.99], [[0.0] * 5, [1.0, 2.0, 3.0, 4.0, 0.0]])], "image long, width int, scores array<double>, geometry array<array<double>>")
+    r = g.dense_boxes(maps).collect()
+    assert len(r) == 1 and r[0].box == [0.0, -1.0, 6.0, -1.0, 6.0, 3.0, 0.0, 3.0]
+
+
+def test_class_scores_and_soft_suppression():
+    boxes = np.stack([square(0, 0).ravel(), square(0.1, 0).ravel(), square(9, 9).ravel()])
+    kept, scores, classes = g.merged_with_classes(boxes, np.array([0.9, 0.8, 0.7]), np.eye(3), 0.3, 0.0)
+    assert len(kept) == 2 and classes[0].sum() == pytest.approx(1.0) and scores[0] == 0.9
+    soft = g.softened_scores(boxes, np.array([0.9, 0.8, 0.7]))
+    assert soft[0] == 0.9 and soft[1] < 0.3 and soft[2] == pytest.approx(0.7)
+
+
+def test_labels_and_viewports(spark):
+    df = spark.createDataFrame([("p", "v", "text"), ("", " v ", "text"), ("p", "v", "submit")], "a string, b string, c string")
+    assert [r[0] for r in df.select(g.input_label(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["p", "v", "v"]
+    r = spark.range(1).select(g.viewport_width(F.lit(55.0), [(1920, 50.0), (1366, 30.0), (1280, 20.0)]).alias("w")).first()
+    assert r.w == 1366
