@@ -33,8 +33,8 @@ from corpusloom.plans.session import settle
 
 LANGUAGES = ("fr", "en", "de", "es", "it", "ru", "ja", "zh", "th")
 #: The classifier's sample: pages, rows of all, words a language; bytes of a word run at once.
-SAMPLE_PAGES, SAMPLE_ROWS, SAMPLE_WORDS, PIECE = 3_000, 12_000, 8_000, 24
-TRAIN_STEPS, HIDDEN = 1_200, 32
+SAMPLE_PAGES, SAMPLE_ROWS, SAMPLE_WORDS, PIECE = 3_000, 12_000, 8_000, 16
+TRAIN_STEPS, HIDDEN = 1_000, 32
 LONG_LINE = 40
 #: How far behind a line's best language the page's must lie, in quarters.
 MARGIN = 16
