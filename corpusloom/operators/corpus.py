@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
+from corpusloom.operators.running import running
 
 MIN_WORDS = 5
 
@@ -72,15 +73,9 @@ def charset(vocab: DataFrame) -> DataFrame:
 def cumulative_percent(counts: DataFrame, key: str) -> DataFrame:
     """counts(key, cnt) with the running share of all occurrences, most frequent first, ties by key.
 
-    Equal counts are summed first; the running sum is over the distinct counts, and a key's place
-    among its equals adds whole multiples: no global sort of the keys takes place."""
-    levels = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("keys"))
-    w = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum(F.col("cnt") * F.col("keys")).over(Window.partitionBy())
-    levels = levels.select("cnt", F.coalesce(F.sum(F.col("cnt") * F.col("keys")).over(w), F.lit(0)).alias("above"), total.alias("total"))
-    place = F.row_number().over(Window.partitionBy("cnt").orderBy(key))
-    ranked = counts.withColumn("place", place).join(levels, "cnt")
-    return ranked.select(key, "cnt", (100.0 * (F.col("above") + F.col("place") * F.col("cnt")) / F.col("total")).alias("percent"))
+    The running sum is over range partitions, so that the many words of one count are split."""
+    rows = running(counts, [], [F.desc("cnt"), F.col(key)], {"_sum": F.col("cnt")})
+    return rows.select(key, "cnt", (100.0 * F.col("_sum") / counts.agg(F.sum("cnt")).scalar()).alias("percent"))
 
 
 @F.arrow_udf(T.StringType())

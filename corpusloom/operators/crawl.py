@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
+from corpusloom.operators.running import moving_mean, running
 from corpusloom.plans.session import settle
 
 # The status labels of the report, in its order.
@@ -116,31 +117,26 @@ def novelty(blocks: DataFrame) -> DataFrame:
 
 def moving_novelty(ratios: DataFrame, window: int = 1000) -> DataFrame:
     """Mean ratio of the last documents of each site, this one included."""
-    w = Window.partitionBy("site").orderBy("doc").rowsBetween(-(window - 1), 0)
-    return ratios.select("site", "doc", F.avg("ratio").over(w).alias("moving_ratio"))
+    return moving_mean(ratios.select("site", "doc", "ratio"), ["site"], [F.col("doc")], "ratio", window, "moving_ratio").select("site", "doc", "moving_ratio")
 
 
 def first_stop(log: DataFrame, sites: DataFrame, max_errors: int = 20, window: int = 1000) -> DataFrame:
     """The first request of a site at which a stop condition holds, and which.
 
     Conditions in their order: pages, errors, unique text below the site's minimum."""
-    w = Window.partitionBy("siteindex").orderBy("clock", "request_id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumns(
-        {
-            "seq": F.row_number().over(w),
-            "pages": F.sum(F.when(F.col("status_code") == "OK", 1).otherwise(0)).over(upto),
-            "errors": F.sum(F.when(F.col("error_message").isNotNull(), 1).otherwise(0)).over(upto),
-            "unique_mean": F.avg("unique_text_blocks_pct").over(w.rowsBetween(-(window - 1), 0)),
-        }
-    ).join(sites.select("siteindex", "maxpagecount", "minuniquetext"), "siteindex")
+    order = [F.col("clock"), F.col("request_id")]
+    log = log.select("siteindex", "clock", "request_id", "status_code", "error_message", "unique_text_blocks_pct")
+    rows = moving_mean(log, ["siteindex"], order, "unique_text_blocks_pct", window, "unique_mean").drop("_i")
+    ok, bad = F.coalesce(F.col("status_code") == "OK", F.lit(False)).cast("long"), F.col("error_message").isNotNull().cast("long")
+    rows = running(rows, ["siteindex"], order, {"pages": ok, "errors": bad}, seq="seq").join(sites.select("siteindex", "maxpagecount", "minuniquetext"), "siteindex")
     reason = (
         F.when(F.col("pages") >= F.col("maxpagecount"), "pages")
         .when(F.col("errors") > max_errors, "errors")
         .when((F.col("seq") >= 10) & (F.col("unique_mean") * 100 < F.col("minuniquetext")), "unique")
     )
     hits = rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
-    return hits.groupBy("siteindex").agg(F.min(F.struct("seq", "reason", "request_id")).alias("f")).select("siteindex", "f.seq", "f.reason", "f.request_id")
+    first = hits.groupBy("siteindex").agg(F.min(F.struct("seq", "reason", "request_id")).alias("f"))
+    return first.select("siteindex", F.col("f.seq").cast("int").alias("seq"), "f.reason", "f.request_id")
 
 
 def should_crawl(url: Column, root: Column, scope: Column, depth: Column, redirects: Column, max_depth: int = 100, max_redirects: int = 7) -> Column:
@@ -179,11 +175,11 @@ def rate_limited_starts(log: DataFrame, delay_ms: int = 100) -> DataFrame:
 
     start(i) = max over j <= i of clock(j) + (i - j) * delay, a running maximum."""
     step = delay_ms + RATE_MARGIN_MS
-    w = Window.partitionBy("siteindex").orderBy("clock", "request_id")
     ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(clock AS TIMESTAMP_NTZ))")
-    n = F.row_number().over(w)
-    base = F.max(F.col("ms") - F.col("n") * step).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return log.select("siteindex", "request_id", "clock", ms.alias("ms"), n.alias("n")).select("siteindex", "request_id", (base + F.col("n") * step).alias("start_ms"))
+    order = [F.col("clock"), F.col("request_id")]
+    placed = running(log.select("siteindex", "request_id", "clock", ms.alias("ms")), ["siteindex"], order, seq="n")
+    rows = running(placed, ["siteindex"], order, maxima={"base": F.col("ms") - F.col("n") * step})
+    return rows.select("siteindex", "request_id", (F.col("base") + F.col("n") * step).alias("start_ms"))
 
 
 # robots rules

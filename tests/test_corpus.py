@@ -69,3 +69,21 @@ def test_lexicon_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("!\tPUNCT\nmaison\tNOUN\nx\n")
     assert [tuple(r) for r in tables.read_inflections(spark, str(tmp_path / "a.txt")).collect()] == [("maison", "NOUN")]
     assert [tuple(r) for r in tables.read_tagged_forms(spark, str(tmp_path / "b.txt")).collect()] == [("maison", "NOUN")]
+
+
+def test_running_over_split_keys(spark):
+    from corpusloom.operators.running import moving_mean, running
+
+    rows = [("a" if i % 3 else None, i, float(i % 7) if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(7)
+    got = {r.i: (r.s, r.m, r.n) for r in running(df, ["k"], [F.col("i")], {"s": F.col("v")}, {"m": F.col("v")}, "n").collect()}
+    means = {r.i: r.mean for r in moving_mean(df, ["k"], [F.col("i")], "v", 10, "mean").collect()}
+    for key in ("a", None):
+        seen = []
+        for k, i, v in rows:
+            if k == key:
+                seen.append(v)
+                real = [x for x in seen if x is not None]
+                last = [x for x in seen[-10:] if x is not None]
+                assert got[i] == (sum(real), max(real, default=None), len(seen))
+                assert (means[i] is None and not last) or abs(means[i] - sum(last) / len(last)) < 1e-9
