@@ -246,7 +246,8 @@ def line_language(packed: Column) -> Column:
 def language_found(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """(page_id, pos, line_no, lang): pages without their right label, at 0, 0, and long lines in
     another language than their page's."""
-    rows = settle(page_lines(textdf, nlpdocs))
+    rows = page_lines(textdf, nlpdocs).where(F.col("has_text") & ~F.col("is_doc"))
+    rows = settle(rows.select("page_id", "pos", "kind", "cmd", "level", "is_doc", "boiler", "st", "lines"))
     pages = settle(page_languages(rows, nlpdocs))
     wrong = pages.where(~label_code(F.col("label")).eqNullSafe(F.col("lang")))
     zero = F.lit(0).cast("int")

@@ -155,13 +155,14 @@ def recurring(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def main_body(textdf: DataFrame, nlpdocs: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """Rows of textdf, each once: page_id, pos, siteindex, kind, cmd, level,
-    has_text, is_doc, pdf, boiler and the columns ``carry``.
+    """Rows of textdf with text, each once, and the openings of sections: page_id, pos,
+    siteindex, kind, cmd, level, has_text, is_doc, pdf, boiler and the columns ``carry``.
 
     ``boiler`` is true on rows outside the main body of their web page, headings
     of deleted subtrees included.  Rows of PDF pages (those whose Uri row ends in
     ``.pdf``) are always body."""
-    rows = settle(element_rows(textdf, carry))
+    rows = element_rows(textdf, carry)
+    rows = settle(rows.where(F.col("has_text") | F.col("body_key").isNotNull()))
     rec = settle(recurring(rows, nlpdocs))
     small = rec.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda d: d)
