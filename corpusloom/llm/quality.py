@@ -84,7 +84,7 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     low = (cp >= 0x80) & (cp <= 0xBF)
     broken = per_line((cp == 0xFFFD) | ((cp >= 0x80) & (cp <= 0x9F)) | (_among(cp, "ÃÂÐÑãäåæçèéïâ") & _shift(low, -1)))
     hexed = per_line((cp == ord("0")) & _shift(cp == ord("x"), -1))
-    code = per_line(_among(cp, "{}<>\\|^~_=#@$[]")) + hexed
+    code = per_line(_among(cp, "{}<>\\^~_=#@$[]")) + hexed
     listed = per_line((cp == ord(",")) & _shift(space, -1))
     commas = per_line(cp == ord(","))
     w0, w1 = chars.runs(alnum, bounds)
