@@ -19,9 +19,14 @@ from corpusloom.operators.running import running
 MIN_WORDS = 5
 
 
-def once(textdf: DataFrame) -> DataFrame:
-    """Every element row once: repeats of (page_id, pos) are dropped with one shuffle by page."""
-    return textdf.dropDuplicates(["page_id", "pos"])
+COLUMNS = ("siteindex", "docelttype", "doceltcmd", "nestinglevel", "text")
+
+
+def once(textdf: DataFrame, *columns: str) -> DataFrame:
+    """Every element row once, with the columns asked for (all of the stream's by default).
+
+    Repeats are exact, so that whole rows are keys of a hash aggregate, without a sort."""
+    return textdf.select("page_id", "pos", *(columns or COLUMNS)).distinct()
 
 
 def interesting(textdf: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ def _textdf(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "textdf")
 
 
-def _once(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.once(_textdf(spark, d))
+def _once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return corpus.once(_textdf(spark, d), *columns)
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT docelttype, doceltcmd, count(*) AS n FROM {_T} GROUP BY docelttype, doceltcmd")
 def element_type_counts(spark: SparkSession, d: str) -> DataFrame:
     """Elements by kind and command."""
-    return _once(spark, d).groupBy("docelttype", "doceltcmd").agg(F.count(F.lit(1)).alias("n"))
+    return _once(spark, d, "docelttype", "doceltcmd").groupBy("docelttype", "doceltcmd").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(DISTINCT page_id) AS documents FROM textdf WHERE docelttype = 'Document' AND doceltcmd = 'Start'")
@@ -74,7 +74,7 @@ def document_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, pos, text FROM {_T} WHERE {_INTERESTING}")
 def blocks_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.interesting(_once(spark, d)).select("page_id", "pos", "text")
+    return corpus.interesting(_once(spark, d, "docelttype", "doceltcmd", "text")).select("page_id", "pos", "text")
 
 
 @query(f"SELECT siteindex, page_id, pos, md5(text) AS text_md5 FROM {_BLOCKS}")
@@ -142,18 +142,18 @@ def separator_chars(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, pos, text FROM {_T} WHERE docelttype IS DISTINCT FROM 'Document' AND doceltcmd IN ('Start', 'Text') AND text <> ''")
 def text_strings(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.text_strings(_once(spark, d))
+    return corpus.text_strings(_once(spark, d, "docelttype", "doceltcmd", "text"))
 
 
 @query(f"SELECT page_id, pos, text AS title FROM {_T} WHERE docelttype = 'Section' AND doceltcmd = 'Start' AND text IS NOT NULL")
 def section_titles(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d).where("docelttype = 'Section' AND doceltcmd = 'Start' AND text IS NOT NULL")
+    rows = _once(spark, d, "docelttype", "doceltcmd", "text").where("docelttype = 'Section' AND doceltcmd = 'Start' AND text IS NOT NULL")
     return rows.select("page_id", "pos", F.col("text").alias("title"))
 
 
 @query(f"SELECT docelttype, count(*) AS n FROM {_T} WHERE doceltcmd = 'Text' AND length(text) < 50 GROUP BY docelttype")
 def short_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d).where((F.col("doceltcmd") == "Text") & tx.is_short(F.col("text")))
+    rows = _once(spark, d, "docelttype", "doceltcmd", "text").where((F.col("doceltcmd") == "Text") & tx.is_short(F.col("text")))
     return rows.groupBy("docelttype").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -168,7 +168,7 @@ def nav_list_items(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("page_id").orderBy("pos")
     step = F.when(F.col("docelttype") == "NavigationList", F.when(F.col("doceltcmd") == "Start", 1).when(F.col("doceltcmd") == "End", -1)).otherwise(0)
-    rows = _once(spark, d).withColumn("depth", F.sum(step).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    rows = _once(spark, d, "docelttype", "doceltcmd", "text").withColumn("depth", F.sum(step).over(w.rangeBetween(Window.unboundedPreceding, 0)))
     items = rows.where("depth > 0 AND docelttype = 'ListItem' AND doceltcmd = 'Text'")
     return items.groupBy(F.col("text").alias("item")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -182,20 +182,20 @@ _LIMARK = "le budget"
         FROM {_T} WHERE strpos(text, '{_LIMARK}') > 0"""
 )
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d).where(F.col("text").contains(_LIMARK))
+    rows = _once(spark, d, "text").where(F.col("text").contains(_LIMARK))
     return rows.select("page_id", "pos", tx.context_window(F.col("text"), _LIMARK).alias("context"))
 
 
 @query(rf"SELECT page_id, pos FROM {_T} WHERE regexp_matches(text, '(^|[^\p{{L}}\p{{N}}])(école|budget)($|[^\p{{L}}\p{{N}}])')")
 def word_boundary_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d).where(F.col("text").rlike(r"(^|[^\p{L}\p{N}])(école|budget)($|[^\p{L}\p{N}])")).select("page_id", "pos")
+    return _once(spark, d, "text").where(F.col("text").rlike(r"(^|[^\p{L}\p{N}])(école|budget)($|[^\p{L}\p{N}])")).select("page_id", "pos")
 
 
 @query()
 def separator_before_after(spark: SparkSession, d: str) -> DataFrame:
     """How the hyphen is cut: own token or not, with its neighbours, most frequent first counted."""
     s = corpus.separator_neighbours(F.col("text"), "-")
-    rows = corpus.interesting(_once(spark, d)).where(F.col("text").contains("-")).select(s.alias("s")).where("s IS NOT NULL")
+    rows = corpus.interesting(_once(spark, d, "docelttype", "doceltcmd", "text")).where(F.col("text").contains("-")).select(s.alias("s")).where("s IS NOT NULL")
     return rows.groupBy("s.own", "s.before", "s.after").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -204,7 +204,7 @@ def separator_before_after(spark: SparkSession, d: str) -> DataFrame:
          FROM {_T} t, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i) WHERE doceltcmd = 'Text' AND trim(string_split(text, chr(10))[i]) <> ''"""
 )
 def block_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d).where("doceltcmd = 'Text'").select("page_id", "pos", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    rows = _once(spark, d, "doceltcmd", "text").where("doceltcmd = 'Text'").select("page_id", "pos", F.posexplode(F.split("text", "\n")).alias("i", "l"))
     return rows.select("page_id", "pos", (F.col("i") + 1).alias("line"), F.trim("l").alias("sentence_line")).where("sentence_line <> ''")
 
 
@@ -323,7 +323,7 @@ def crawl_by_authority(spark: SparkSession, d: str) -> DataFrame:
         FROM websites LEFT JOIN l USING (siteindex) LEFT JOIN p USING (siteindex) LEFT JOIN t USING (siteindex)"""
 )
 def site_load_report(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.site_report(_once(spark, d), table(spark, d, "nlpdocs"), _requests(spark, d), table(spark, d, "websites"))
+    return crawl.site_report(_once(spark, d, "siteindex", "text"), table(spark, d, "nlpdocs"), _requests(spark, d), table(spark, d, "websites"))
 
 
 _NOVELTY = f"""(WITH b AS (SELECT siteindex AS site, page_id AS doc, pos, text FROM {_T} WHERE {_INTERESTING}),
@@ -334,7 +334,7 @@ _NOVELTY = f"""(WITH b AS (SELECT siteindex AS site, page_id AS doc, pos, text F
 
 
 def _novelty(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.interesting(_once(spark, d)).select(F.col("siteindex").alias("site"), F.col("page_id").alias("doc"), "pos", "text")
+    rows = corpus.interesting(_once(spark, d, "siteindex", "text")).select(F.col("siteindex").alias("site"), F.col("page_id").alias("doc"), "pos", "text")
     return crawl.novelty(rows)
 
 
@@ -505,7 +505,7 @@ def format_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The stream written as structured text and read again: rows and characters by kind.
 
     What the format has no line for is left out on both sides: pages with elements of no kind, blocks without text."""
-    once = _once(spark, d)
+    once = _once(spark, d, "docelttype", "doceltcmd", "nestinglevel", "text")
     rows = once.join(once.where("docelttype IS NULL").select("page_id").distinct(), "page_id", "left_anti")
     rows = rows.where("doceltcmd <> 'Text' OR (text IS NOT NULL AND trim(text) <> '')")
     files = nlp_format.render_documents(rows.select(F.col("page_id").cast("string").alias("doc"), "pos", "docelttype", "doceltcmd", "nestinglevel", F.trim("text").alias("text")), compact=False)
