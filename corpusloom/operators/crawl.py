@@ -336,3 +336,32 @@ def observed_crawl(log: DataFrame, observation) -> DataFrame:
         F.sum("content_size_bytes").alias("bytes"),
         F.max("clock").alias("latest"),
     )
+
+
+def bloom_size(n: int, p: float) -> tuple[int, int]:
+    """Bits and hashes of a Bloom filter of n entries with false positive probability p."""
+    import math
+
+    bits = max(1, math.ceil(n * math.log(p) / math.log(1 / 2 ** math.log(2))))
+    return bits, max(1, round(math.log(2) * bits / max(n, 1)))
+
+
+def _bloom_bits(url: Column, bits: int, hashes: int) -> Column:
+    """The bit numbers of an entry by double hashing."""
+    a, b = F.xxhash64(url), F.xxhash64(url, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.shiftrightunsigned(a, 2) + i * F.shiftrightunsigned(b, 16), F.lit(bits)))
+
+
+def bloom_filter(known: DataFrame, n: int = 2_000_001, p: float = 0.001) -> DataFrame:
+    """(bit) set by known(url): an approximate set of fixed size for any number of entries."""
+    bits, hashes = bloom_size(n, p)
+    return known.where("url IS NOT NULL").select(F.explode(_bloom_bits(F.col("url"), bits, hashes)).alias("bit")).distinct()
+
+
+def maybe_known(links: DataFrame, filter_bits: DataFrame, n: int = 2_000_001, p: float = 0.001) -> DataFrame:
+    """(url) of the links all of whose bits are set: every known one, and of the others about one in 1/p."""
+    bits, hashes = bloom_size(n, p)
+    probes = links.where("url IS NOT NULL").select("url").distinct().select("url", F.explode(F.array_distinct(_bloom_bits(F.col("url"), bits, hashes))).alias("bit"))
+    need = probes.groupBy("url").agg(F.count(F.lit(1)).alias("need"))
+    hit = probes.join(filter_bits, "bit", "left_semi").groupBy("url").agg(F.count(F.lit(1)).alias("hit"))
+    return need.join(hit, "url").where("hit = need").select("url")

@@ -119,13 +119,13 @@ def chars_to_words(chars: DataFrame, words: DataFrame) -> DataFrame:
     return best.select("image", "char_id", (-F.col("b.m")).alias("word_id"), F.col("b.overlap").alias("overlap"))
 
 
-def decoded_words(chars: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(image, word_id, text, score): characters in order of x, each the class of the greatest score, and their mean greatest score."""
+def decoded_words(chars: DataFrame, assigned: DataFrame, alphabet: str) -> DataFrame:
+    """(image, word_id, text, score): characters in order of x, each the class of the greatest score in the alphabet, and their mean greatest score."""
     rows = chars.join(assigned, ["image", "char_id"])
     top = F.array_max("scores")
     rows = rows.select("image", "word_id", "x", "char_id", top.alias("top"), F.array_position("scores", top).alias("cls"))
     letters = F.sort_array(F.collect_list(F.struct("x", "char_id", "cls")))
-    text = F.array_join(F.transform(letters, lambda s: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz"), s["cls"].cast("int"), F.lit(1))), "")
+    text = F.array_join(F.transform(letters, lambda s: F.substring(F.lit(alphabet), s["cls"].cast("int"), F.lit(1))), "")
     return rows.groupBy("image", "word_id").agg(text.alias("text"), F.avg("top").alias("score"))
 
 

@@ -747,3 +747,10 @@ def points_clipped(spark: SparkSession, d: str) -> DataFrame:
 def sizes_scaled(spark: SparkSession, d: str) -> DataFrame:
     w, h = geometry.resized(F.col("p_size"), F.col("p_retailprice"), 2280, 32)
     return table(spark, d, "part").select("p_partkey", w.alias("w"), h.alias("h"))
+
+
+@query()
+def links_maybe_known(spark: SparkSession, d: str) -> DataFrame:
+    """Requested addresses a Bloom filter of the corpus's pages takes for known."""
+    plain = lambda df, c: df.where(F.col(c).isNotNull()).select(urls.without_fragment(F.col(c)).alias("url"))
+    return crawl.maybe_known(plain(_requests(spark, d), "url"), crawl.bloom_filter(plain(table(spark, d, "nlpdocs"), "uri")))

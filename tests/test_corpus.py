@@ -87,3 +87,11 @@ def test_running_over_split_keys(spark):
                 last = [x for x in seen[-10:] if x is not None]
                 assert got[i] == (sum(real), max(real, default=None), len(seen))
                 assert (means[i] is None and not last) or abs(means[i] - sum(last) / len(last)) < 1e-9
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    known = spark.createDataFrame([(f"https://h/{i}",) for i in range(300)] + [(None,)], "url string")
+    links = spark.createDataFrame([(f"https://h/{i}",) for i in range(200, 1300)] + [(None,)], "url string")
+    got = {r.url for r in crawl.maybe_known(links, crawl.bloom_filter(known, 300, 0.01), 300, 0.01).collect()}
+    assert {f"https://h/{i}" for i in range(200, 300)} <= got and len(got) < 100 + 60
+    assert crawl.bloom_size(1000, 0.01) == (9586, 7)

@@ -74,3 +74,12 @@ def test_labels_and_viewports(spark):
     assert [r[0] for r in df.select(g.input_label(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["p", "v", "v"]
     r = spark.range(1).select(g.viewport_width(F.lit(55.0), [(1920, 50.0), (1366, 30.0), (1280, 20.0)]).alias("w")).first()
     assert r.w == 1366
+
+
+def test_characters_to_corrected_words(spark):
+    words = spark.createDataFrame([(1, 10, 0, 0, 40, 10), (1, 11, 100, 0, 40, 10)], "image long, word_id long, x long, y long, w long, h long")
+    letters = [(1, i, x, 0, 8, 10, [1.0 if c == a else 0.1 for a in "CAT"]) for i, (x, c) in enumerate([(22, "T"), (2, "C"), (12, "A"), (105, "A"), (300, "C")])]
+    chars = spark.createDataFrame(letters, "image long, char_id long, x long, y long, w long, h long, scores array<double>")
+    assigned = g.chars_to_words(chars, words)
+    got = {r.word_id: (r.text, r.score) for r in g.decoded_words(chars, assigned, "CAT").collect()}
+    assert got == {10: ("CAT", 1.0), 11: ("A", 1.0)}
