@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import TITLE_LIMIT, escaped_block, unescaped_block
 
+# Fixed values of the format.
 PROPERTY = "## NLPTextDocument "
 KINDS = "Section|NavigationList|List|ListItem|Table|TableHeader|TableCell"
 _DELIMITER = rf"^## (\d+) ({KINDS}) (Start|End|Items) ?(.*)$"
