@@ -192,7 +192,8 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     rare = docs.select("doc_id", F.inline(F.array_compact(missing)))
     rare = rare.join(words.select("word", "ids"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("m"))
     rare = rare.select("doc_id", F.col("m.at").alias("more_at"), F.col("m.ids").alias("more_ids"))
-    found = docs.join(rare, "doc_id", "left")
+    rare = rare.withColumnRenamed("doc_id", "_doc")
+    found = docs.join(rare, docs["doc_id"].eqNullSafe(rare["_doc"]), "left")  # a null doc_id is a document as well
     joined = lambda i: F.element_at("more_ids", F.array_position("more_at", i).cast("int"))
     ids = bound(table, lambda t: F.transform(split, lambda w, i: F.coalesce(ids_of(t, w), joined(i))))
     return found.select("doc_id", F.flatten(ids).alias("ids"))

@@ -32,6 +32,17 @@ def test_token_ids_equal_the_library(spark):
     assert {r.doc_id: r.text for r in token_ids.decode_ids(encoded).collect()} == {i: x or "" for i, x in enumerate(ODD)}
 
 
+def test_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "Hello again, unusual wordage"), (1, "Hello")], "doc_id long, text string")
+    t = Tokenizer.from_file(token_ids.default_path())
+    want = t.encode("Hello again, unusual wordage", add_special_tokens=False).ids
+    assert {r.doc_id: r.ids for r in token_ids.token_ids(df).collect()}[None] == want
+    item = " ".join(f"word{i}" for i in range(14))
+    e = spark.createDataFrame([(1, item), (None, item)], "item_id long, text string")
+    d = spark.createDataFrame([(None, item), (2, item)], "doc_id long, text string")
+    assert [tuple(r) for r in leaks.verbatim_leaks(d, e).collect()] == [(2, 1)]
+
+
 def test_token_ids_of_nothing(spark):
     assert token_ids.token_ids(docs(spark, [])).count() == 0
 
