@@ -90,7 +90,15 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p4_repaired, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
+_FOLDED = r"regexp_extract_all(strip_accents(lower(regexp_replace(text, '\p{M}', '', 'g'))), '[\p{L}\p{N}]+')"
+_GRAMS = "SELECT {0}, array_to_string(list_slice(w, i, i + 11), ' ') AS g FROM (SELECT {0}, " + _FOLDED + " AS w FROM {1} WHERE text IS NOT NULL), unnest(range(1, len(w) - 10)) u(i)"
 ORACLES = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.replace('{0}', 'doc_id').replace('{1}', 'documents')}) JOIN ({_GRAMS.replace('{0}', 'item_id').replace('{1}', 'eval_items')}) USING (g)",
+    "p10_found": r"""
+        WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, substr(t, i, 30) ORDER BY i) AS n FROM t, unnest(range(1, length(t) - 28)) u(i)),
+        c AS (SELECT doc_id, count(DISTINCT k) AS n FROM w, unnest(range(i, i + 30)) v(k) WHERE n > 1 GROUP BY doc_id)
+        SELECT doc_id FROM c JOIN t USING (doc_id) WHERE n >= 0.3 * length(t)""",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_found": r"""
         WITH l AS (
