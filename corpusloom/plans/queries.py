@@ -215,13 +215,13 @@ def block_lines(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH lex AS (SELECT word AS token, string_agg(DISTINCT leffftags, '|' ORDER BY leffftags) AS tags FROM vocabulary WHERE leffftags IS NOT NULL GROUP BY word)
         SELECT v.word, coalesce(a.tags, b.tags, CASE WHEN try_cast(replace(v.word, ',', '.') AS DOUBLE) IS NOT NULL THEN 'Number' END) AS tags
         FROM {_VOCAB} v LEFT JOIN lex a ON a.token = v.word LEFT JOIN lex b ON b.token = lower(v.word)
-        WHERE regexp_matches(v.word, '^[0-9a-zA-ZÀ-ÿ]+$') AND NOT regexp_matches(lower(v.word), '^(nan|inf|infinity|[0-9]+[edf][0-9]*)$')"""
+        WHERE regexp_matches(v.word, '^[0-9a-zA-ZÀ-ÿ]+$') AND NOT regexp_matches(lower(v.word), '^(nan|inf|infinity|[0-9]+[edf][0-9]*[df]?)$')"""
 )
 def lexicon_tags_left_join(spark: SparkSession, d: str) -> DataFrame:
     """Tags of the corpus's words; words of other than Latin letters and digits, and those only one of two engines reads as numbers, are left out."""
     lex = table(spark, d, "vocabulary").select(F.col("word").alias("token"), F.col("leffftags").alias("tag"))
     words = corpus.vocabulary(_blocks(spark, d)).select("word")
-    words = words.where(F.col("word").rlike("^[0-9a-zA-ZÀ-ÿ]+$") & ~F.lower("word").rlike("^(nan|inf|infinity|[0-9]+[edf][0-9]*)$"))
+    words = words.where(F.col("word").rlike("^[0-9a-zA-ZÀ-ÿ]+$") & ~F.lower("word").rlike("^(nan|inf|infinity|[0-9]+[edf][0-9]*[df]?)$"))
     return corpus.lexicon_tags(words, corpus.tag_sets(lex)).select("word", "tags")
 
 
@@ -667,7 +667,7 @@ def stream_running_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT request_id, (epoch_us(clock) // 1000 + greatest(coalesce(CASE WHEN isnan(retry_after_s) THEN NULL ELSE retry_after_s END * 1000, 0), 5000)::BIGINT)::BIGINT AS retry_ms
+    f"""SELECT request_id, (epoch_us(clock) // 1000 + trunc(greatest(coalesce(CASE WHEN isnan(retry_after_s) THEN NULL ELSE retry_after_s END * 1000, 0), 5000))::BIGINT)::BIGINT AS retry_ms
         FROM {_R} WHERE error_message IS NOT NULL AND coalesce(retry_count, 0) < 3 AND clock IS NOT NULL"""
 )
 def retry_times(spark: SparkSession, d: str) -> DataFrame:
