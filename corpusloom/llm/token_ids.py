@@ -28,6 +28,7 @@ from corpusloom.plans.session import settle
 #: A word with one in so many occurrences is encoded in place.
 FREQUENT = 262_144
 _SEEDS = 16
+_NO_ID = -(2**63)
 _BUCKETS = 131_072
 _NONE = 1 << 20  # the rank of what can't be merged
 #: The word pattern of the tokenizer, for Java: letters, digits and space as in Unicode.
@@ -179,6 +180,7 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     docs = documents.select("doc_id", "text")
     if docs.count() > docs.select("doc_id").distinct().count():
         docs = docs.dropDuplicates(["doc_id"])
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID)))  # a null doc_id is a document as well
     split = words_of(F.col("text"))  # after the shuffle by document: a text is smaller than its words
     counts = documents.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     words = settle(encode_words(counts, ranks))
@@ -189,11 +191,10 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
         return F.when(F.element_at(t["k"], slot) == w, F.element_at(t["i"], slot))
 
     missing = bound(table, lambda t: F.transform(split, lambda w, i: F.when(ids_of(t, w).isNull(), F.struct(i.alias("at"), w.alias("word")))))
-    rare = docs.select("doc_id", F.inline(F.array_compact(missing)))
-    rare = rare.join(words.select("word", "ids"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("m"))
-    rare = rare.select("doc_id", F.col("m.at").alias("more_at"), F.col("m.ids").alias("more_ids"))
-    rare = rare.withColumnRenamed("doc_id", "_doc")
-    found = docs.join(rare, docs["doc_id"].eqNullSafe(rare["_doc"]), "left")  # a null doc_id is a document as well
+    rare = docs.select("key", F.inline(F.array_compact(missing)))
+    rare = rare.join(words.select("word", "ids"), "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("m"))
+    rare = rare.select("key", F.col("m.at").alias("more_at"), F.col("m.ids").alias("more_ids"))
+    found = docs.join(rare, "key", "left")
     joined = lambda i: F.element_at("more_ids", F.array_position("more_at", i).cast("int"))
     ids = bound(table, lambda t: F.transform(split, lambda w, i: F.coalesce(ids_of(t, w), joined(i))))
     return found.select("doc_id", F.flatten(ids).alias("ids"))
