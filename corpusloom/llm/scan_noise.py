@@ -3,7 +3,7 @@
 A PDF page whose blocks keep their line breaks is a scan.  Running headers and
 page numbers are told from the form and place of a block, split words from the
 mark at the line's end.  Misread characters: a noisy channel.  Every word of a
-scan that isn't frequent in the rest of the corpus, and in scripts without
+scan, however often it occurs in the rest of the corpus, and in scripts without
 spaces every short window around a confusable character, has as candidates what
 it could have been before one or two confusions; confusion probability times
 corpus likelihood (word counts mixed with a character 4-gram model of all words)
@@ -45,7 +45,6 @@ WIDE_CONFUSIONS = (
 )
 CHANNEL = 4.0  # minus the log probability of a confusion
 MARGIN = 0.7
-FREQUENT = 5  # a word with so many occurrences isn't looked at
 MAX_EDITS, MAX_WORD = 2, 28
 _BINS = 1 << 18
 
@@ -248,8 +247,8 @@ def corrections(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     """(unit, candidate, gain): the best reading of every unit of tokens(unit) that was probably misread."""
     model = char_model(counts)
     total = float(counts.agg(F.sum("n").alias("n")).collect()[0].n or 1)
-    rare = tokens.distinct().join(counts, "unit", "left").where(F.coalesce("n", F.lit(0)) < FREQUENT)
-    pairs = rare.select("unit", "n", F.inline(unit_candidates("unit")))
+    seen = tokens.distinct().join(counts, "unit", "left")
+    pairs = seen.select("unit", "n", F.inline(unit_candidates("unit")))
     pairs = pairs.join(counts.select(F.col("unit").alias("candidate"), F.col("n").alias("m")), "candidate", "left")
     scored = pairs.select("unit", "candidate", "edits", "n", "m").mapInArrow(_score(model, total), "unit string, candidate string, gain double")
     best = scored.groupBy("unit").agg(F.max(F.struct("gain", "candidate")).alias("b"))

@@ -1,5 +1,6 @@
 """Operators over the element stream: hand-made pages, edge cases, brute force on the smallest tables."""
 
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -126,6 +127,15 @@ def test_scan_candidates():
     assert scan_noise.viterbi([[("a", 0.0), ("b", 1.0)], [("c", 0.0)]], {("a", "c"): 2.0}) == ["a", "c"]
 
 
+def test_frequent_misreadings(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abdeghiklmnoprstuvwz", k=rng.randint(3, 9))): 20 for _ in range(3000)}
+    words |= {"the": 100_000, "tbe": 10, "house": 400, "horse": 300}
+    counts = spark.createDataFrame(list(words.items()), "unit string, n long")
+    tokens = spark.createDataFrame([("tbe",), ("the",), ("house",), ("horse",)], "unit string")
+    assert [(r.unit, r.candidate) for r in scan_noise.corrections(tokens, counts).collect()] == [("tbe", "the")]
+
+
 WORD = re.compile(r"[^\W_]+")
 
 
