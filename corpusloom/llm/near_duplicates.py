@@ -3,12 +3,12 @@
 LSH forest.  A record is the set of its runs of three consecutive words; its
 signature has the least values of SIGNATURE hash functions over the set.
 Exact copies of a set are one class from here on and never compared.  A tree of
-the forest is the list of all classes sorted by a sequence of signature values;
-in this order the neighbours with the longest common prefix are candidates, so
-that the depth compared adapts to how crowded a region is: sparse regions
-compare at MIN_DEPTH values, crowded ones only those that agree on more.  The
-sort is a range partitioning, which splits regions of any size.  Candidates
-whose signatures agree enough are compared exactly.
+the forest orders the classes by DEPTH signature values; all classes that agree
+on a tree's values are candidates, however many they are: a crowded run of equal
+values is cut into salted blocks of about BLOCK classes, and every block meets
+every other in a task of its own.  Candidates whose signatures as a whole agree
+enough are compared exactly.  What is missed are pairs that agree in no tree,
+(1 - s^DEPTH)^TREES of the pairs of similarity s: 0.06 % at 0.5.
 
 A record without three words has no set and no partner; null texts count as
 no text; repeated rows count once; empty tables give empty results.
@@ -30,15 +30,24 @@ from corpusloom.plans.session import settle
 
 SIMILARITY = 0.5
 RUN = 3
-TREES, MIN_DEPTH, MAX_DEPTH, SIGNATURE = 24, 3, 6, 72
-NEIGHBOURS = 16
-#: Share of equal signature values from which candidates are compared exactly.
-SKETCH_SIMILARITY = 0.32
+TREES, DEPTH = 56, 3
+SIGNATURE = TREES * DEPTH
+#: Classes in a block of a crowded run.
+BLOCK = 512
+#: The table of crowded runs is broadcast up to this many rows, else joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: One in so many classes is looked at to find the crowded runs; this only decides how the work is cut.
+SAMPLE = 16
+#: Estimated similarity from which candidates are compared exactly, five standard deviations below 0.5.
+SKETCH_SIMILARITY = 0.3
+#: Runs that are hashed at once.
+CHUNK = 16_384
+#: Pairs in a batch that leaves the Python worker.
+PAIRS = 500_000
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
-_ORDERS = np.array([[(MIN_DEPTH * t + i * (1 if i < MIN_DEPTH else 7)) % SIGNATURE for i in range(MAX_DEPTH)] for t in range(TREES)])
 
 
 def batch_words(texts: pa.Array) -> pa.Array:
@@ -90,7 +99,15 @@ def sign(words: pa.ListArray) -> pa.Array:
     if len(x):
         starts = begin[:-1][full]
         with np.errstate(over="ignore"):
-            least = np.stack([np.minimum.reduceat(((x * a + b) >> np.uint64(32)).astype(np.uint32), starts) for a, b in zip(_A, _B)], axis=1)
+            least = np.empty((len(starts), SIGNATURE), np.uint32)
+            cut = np.unique(np.searchsorted(starts, np.arange(0, len(x), CHUNK)))  # parts that stay in the processor's cache
+            for p, q in zip(cut, [*cut[1:], len(starts)]):
+                part = x[starts[p] : starts[q] if q < len(starts) else len(x)]
+                for i, (a, b) in enumerate(zip(_A, _B)):
+                    h = part * a
+                    h += b
+                    h >>= np.uint64(32)
+                    least[p:q, i] = np.minimum.reduceat(h, starts[p:q] - starts[p])
             y = (x + np.uint64(0x1234567)) * np.uint64(0x9E3779B97F4A7C15)
             y = (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             hashes[full] = np.add.reduceat(y ^ (y >> np.uint64(32)), starts).view(np.int64)
@@ -115,57 +132,93 @@ def page_words(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of every tree and its values."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, SIGNATURE, 4)
-        low = sig[:, :, 3]
-        sketch = ((low[:, 0::2] << 4) | (low[:, 1::2] & 15)).astype(np.uint8)
-        keys = np.empty((n, TREES, 1 + 4 * MAX_DEPTH), np.uint8)
-        keys[:, :, 0] = np.arange(TREES)
-        keys[:, :, 1:] = sig[:, _ORDERS.ravel()].reshape(n, TREES, 4 * MAX_DEPTH)
+        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u4").reshape(n, TREES, DEPTH).astype(np.uint64)
+        key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (n, TREES))
+        with np.errstate(over="ignore"):
+            for i in range(DEPTH):
+                key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sig[:, :, i] * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), TREES)
-        both = np.concatenate([keys.reshape(n * TREES, -1), np.repeat(sketch, TREES, axis=0)], axis=1)
-        width = 1 + 4 * MAX_DEPTH
-        fixed = lambda a: pa.array([r.tobytes() for r in np.ascontiguousarray(a)], pa.binary())
-        yield pa.RecordBatch.from_arrays([fixed(both[:, :width]), pa.array(ids), fixed(both[:, width:])], ["key", "id", "sketch"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among sorted rows: up to NEIGHBOURS places away, MIN_DEPTH values in common, like sketches."""
-    width, prefix, half = 1 + 4 * MAX_DEPTH, 1 + 4 * MIN_DEPTH, SIGNATURE // 2
-    keys, ids, sketches = np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros((0, half), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of the rows of a cell, which are next to each other; two sides 0 and 1 only meet each other."""
+
+    def pairs(cells: np.ndarray, ids: np.ndarray, sides: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right, held = [], [], 0
+        at, j = np.arange(len(ids)), 0
+        while len(at):
+            j += 1
+            at = at[at + j < len(ids)]
+            at = at[cells[at] == cells[at + j]]
+            for k in range(0, len(at), PAIRS):
+                a = at[k : k + PAIRS]
+                a = a[(sides[a] == 2) | (sides[a] != sides[a + j])]
+                left.append(ids[a])
+                right.append(ids[a + j])
+                held += len(a)
+                if held >= PAIRS:
+                    yield out(left, right)
+                    left, right, held = [], [], 0
+        if held:
+            yield out(left, right)
+
+    def out(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        old = len(ids)
-        keys = np.concatenate([keys, np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(n, width)])
-        sketches = np.concatenate([sketches, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, half)])
-        ids = np.concatenate([ids, batch.column("id").to_numpy(zero_copy_only=False)])
-        left, right = [], []
-        for j in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-            first = max(old - j, 0)  # pairs with a new row
-            a = np.arange(first, len(ids) - j)
-            a = a[(keys[a, :prefix] == keys[a + j, :prefix]).all(axis=1)]
-            differ = sketches[a] ^ sketches[a + j]
-            same = ((differ >> 4) == 0).sum(axis=1) + ((differ & 15) == 0).sum(axis=1)
-            a = a[(same / SIGNATURE - 1 / 16) * 16 / 15 >= SKETCH_SIMILARITY]
-            left.append(ids[a])
-            right.append(ids[a + j])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        keys, ids, sketches = keys[-NEIGHBOURS:], ids[-NEIGHBOURS:], sketches[-NEIGHBOURS:]
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "id", "side")]
+        held = [np.concatenate(x) for x in zip(held, new)]
+        whole = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last cell may go on
+        yield from pairs(*(x[:whole] for x in held))
+        held = [x[whole:] for x in held]
+    yield from pairs(*held)
+
+
+def candidates(signatures: DataFrame) -> DataFrame:
+    """(a, b), a < b: the classes of signatures(id, signature) that agree in a tree, once each."""
+    trees = signatures.select("id", "signature").mapInArrow(_tree_rows, "key long, id long")
+    some = signatures.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "signature").mapInArrow(_tree_rows, "key long, id long")
+    crowded = settle(some.groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("n")).where(F.col("n") > BLOCK))
+    hint = F.broadcast if crowded.count() <= BROADCAST_ROWS else (lambda d: d)
+    rows = trees.join(hint(crowded), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+    other = rows.select("key", "id", "n", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    cell = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "k"), F.greatest("own", "k")))
+    side = F.when(F.col("own") == F.col("k"), 2).otherwise((F.col("own") > F.col("k")).cast("int"))
+    cells = other.select(cell.alias("cell"), "id", side.alias("side"))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_pairs, "a long, b long").where("a < b").distinct()
+
+
+@F.arrow_udf(T.BinaryType())
+def sketch(signatures: pa.Array) -> pa.Array:
+    """Four bits of every signature value."""
+    low = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, SIGNATURE, 4)[:, :, 3]
+    return pa.array([r.tobytes() for r in (low[:, 0::2] << 4) | (low[:, 1::2] & 15)], pa.binary())
+
+
+@F.arrow_udf(T.BooleanType())
+def maybe_like(left: pa.Array, right: pa.Array) -> pa.Array:
+    a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SIGNATURE // 2) for c in (left, right))
+    differ = a ^ b
+    same = ((differ >> 4) == 0).sum(axis=1) + ((differ & 15) == 0).sum(axis=1)
+    return pa.array((same / SIGNATURE - 1 / 16) * 16 / 15 >= SKETCH_SIMILARITY)
 
 
 def class_pairs(signatures: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of the like classes of records; signatures (id, set_hash, runs, signature)
     with one row for each class."""
-    trees = signatures.select("id", "signature").mapInArrow(_tree_rows, "key binary, id long, sketch binary")
-    order = trees.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    pairs = order.mapInArrow(_neighbours, "a long, b long").where("a < b").distinct()
+    sketches = signatures.select("id", sketch("signature").alias("s"))
+    pairs = candidates(signatures).join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
+    pairs = settle(pairs.where(maybe_like("sa", "sb")).select("a", "b"))
     runs = signatures.select("id", "runs")
     pairs = pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(
         runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b"

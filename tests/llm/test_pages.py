@@ -157,6 +157,25 @@ def test_near_duplicates_brute_force(spark):
     assert all(groups[a] == groups[b] for a, b in want) and groups[39] == 39
 
 
+def test_crowded_near_duplicates(spark):
+    common = [f"c{j}" for j in range(300)]
+    texts = [" ".join([*common[: 7 * (i % 40)], f"n{i}", *common[7 * (i % 40) :]]) for i in range(1300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    words = df.select("page_id", near_duplicates.word_hashes("text").alias("words"))
+    assert near_duplicates.near_duplicate_pairs(words).count() == 1300 * 1299 // 2
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    texts = []
+    for i in range(400):  # 66 runs, of which 44 are common to both: 44 of 88
+        own = [f"p{i}w{j}" for j in range(68)]
+        texts += [" ".join(own), " ".join([*own[:46], *(f"q{i}w{j}" for j in range(22))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    words = df.select("page_id", near_duplicates.word_hashes("text").alias("words"))
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(words).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= 398
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([("FR",), ("it-419",), (" de ",), ("xx",), ("",), (None,)], "lang string")
     assert [r[0] for r in df.select(language.label_code(F.col("lang"))).collect()] == ["fr", "it", "de", None, None, None]
