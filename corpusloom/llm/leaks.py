@@ -7,7 +7,10 @@ passages is distributed: one pass adds up A'(A Omega) over the partitions, the
 driver orthonormalises the (item words x RANK) result.  In the latent space
 every passage is held against the passages of all items; pairs above a cosine
 are candidates.  A longest-common-substring check on the words keeps verbatim
-leaks, a longest-common-subsequence and an answer check keep paraphrases.
+leaks.  Paraphrases are sought beside them, in passages of all words: a
+longest-common-subsequence check on the passage, or on the part of the document
+that is as long as the item and aligned with it, and an answer check on that part
+keep them.
 
 The items are a fixed table: they are read by the driver in blocks of
 BLOCK_ITEMS, so that what is sent to the executors is bounded whatever their
@@ -82,18 +85,22 @@ class Items:
             number.update(int(i) for i, s in zip(item, spans) if s.isdigit())
         self.numbers = np.array(sorted(number), np.int64)
         runs, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        windows, window_owner = [], []
+        windows, window_owner, window_begin = [], [], []
         for k, item in enumerate(self.items):
             if len(item) >= RUN:
                 runs.append(run_hashes(item))
                 owner.append(np.full(len(item) - RUN + 1, k))
-                begin = sorted({*range(0, len(item) - RUN + 1, ITEM_STEP), len(item) - RUN})
-                windows += [item[b : b + RUN] for b in begin]
-                window_owner += [k] * len(begin)
+                for width in (RUN, WIDTH)[: 1 + (len(item) >= WIDTH)]:
+                    begin = sorted({*range(0, len(item) - width + 1, ITEM_STEP), len(item) - width})
+                    windows += [item[b : b + width] for b in begin]
+                    window_owner += [k] * len(begin)
+                    window_begin += begin
         runs, owner = np.concatenate(runs), np.concatenate(owner)
         order = np.argsort(runs, kind="stable")
         self.runs, self.owner = runs[order], owner[order]
-        self.windows, self.window_owner = np.array(windows, np.int64).reshape(-1, RUN), np.array(window_owner, np.int64)
+        #: windows as long as a run, and for paraphrases also as long as a passage
+        self.windows, self.window_owner = windows, np.array(window_owner, np.int64)
+        self.window_begin = np.array(window_begin, np.int64)
 
 
 def run_hashes(ids: np.ndarray) -> np.ndarray:
@@ -151,16 +158,18 @@ def passages(ids: np.ndarray, whole: bool = False) -> list[tuple[int, int]]:
     return out
 
 
-def _windows(batch: pa.RecordBatch, whole: bool) -> tuple[list[np.ndarray], list[int]]:
+def _windows(batch: pa.RecordBatch, whole: bool) -> tuple[list[np.ndarray], list[int], list[tuple[np.ndarray, int]]]:
+    """The passages of a batch, their documents' numbers, and the documents' ids with the passages' places in them."""
     lists = batch.column("ids")
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    parts, docs = [], []
+    parts, docs, places = [], [], []
     for k in range(batch.num_rows):
         ids = values[offsets[k] : offsets[k + 1]]
         for a, b in passages(ids, whole):
             parts.append(ids[a:b])
             docs.append(k)
-    return parts, docs
+            places.append((ids, a))
+    return parts, docs, places
 
 
 def _document_frequency(n: int, whole: bool):
@@ -190,7 +199,7 @@ def _sketch(idf: np.ndarray, omega: np.ndarray, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(omega)
         for batch in batches:
-            parts, _ = _windows(batch, whole)
+            parts = _windows(batch, whole)[0]
             for a in range(0, len(parts), 4096):
                 chunk = parts[a : a + 4096]
                 t = _weights(chunk, idf, omega)
@@ -237,14 +246,35 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def aligned(ids: np.ndarray, at: int, begin: int, length: int) -> np.ndarray:
+    """The part of a document that may hold an item of that length, whose window at ``begin`` was met in the passage at ``at``."""
+    start = at - begin
+    return ids[max(0, start - RUN // 2) : start + length + RUN + RUN // 2]
+
+
+def paraphrase_share(part: np.ndarray, around: np.ndarray, item: np.ndarray, numbers: np.ndarray) -> float:
+    """The share of the passage or of the item that is a common subsequence, the greater one; 0 if a number of the item is missing around."""
+    if not np.isin(numbers, around).all():
+        return 0.0
+    share = 0.0
+    for text in (part, around):
+        least = PARAPHRASE_SHARE * (size := min(len(text), len(item)))
+        if min(np.isin(text, item).sum(), np.isin(item, text).sum()) >= least:  # else the subsequence is shorter
+            share = max(share, common_subsequence(text, item) / size)
+    return share
+
+
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray, whole: bool):
-    targets = _unit(_weights(list(items.windows), idf, basis)).astype(np.float32) if len(items.windows) else np.zeros((0, basis.shape[1]), np.float32)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(items.window_owner) > 0])) if len(targets) else np.zeros(0, np.int64)
-    owners = items.window_owner[first] if len(targets) else np.zeros(0, np.int64)
+    used = [k for k, w in enumerate(items.windows) if whole or len(w) == RUN]
+    owner, window_begin = (np.array(x[used], np.int64) for x in (items.window_owner, items.window_begin))
+    targets = _unit(_weights([items.windows[k] for k in used], idf, basis)).astype(np.float32) if used else np.zeros((0, basis.shape[1]), np.float32)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(owner) > 0])) if used else np.zeros(0, np.int64)
+    owners = owner[first]
+    numbers = [np.intersect1d(items.items[k], items.numbers) for k in owners]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, docs = _windows(batch, whole)
+            parts, docs, places = _windows(batch, whole)
             out: set[tuple[int, int, bool, float]] = set()
             for a in range(0, len(parts), 2048):
                 chunk = parts[a : a + 2048]
@@ -254,7 +284,7 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, whole: bool):
                 place[owners] = np.arange(len(owners))
                 for k, part in enumerate(chunk):
                     doc = docs[a + k]
-                    if not whole or (part >= 0).all():
+                    if not whole:
                         h = run_hashes(part)
                         lo, hi = np.searchsorted(items.runs, h, "left"), np.searchsorted(items.runs, h, "right")
                         for i in np.flatnonzero(hi > lo):  # the check: RUN words in a row, of an item that is a candidate
@@ -264,9 +294,11 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, whole: bool):
                     if whole:
                         for c in np.flatnonzero(best[k] >= PARAPHRASE_COSINE):
                             item = items.items[owners[c]]
-                            share = common_subsequence(part, item) / min(len(part), len(item))
-                            numbers = np.intersect1d(item, items.numbers)
-                            if share >= PARAPHRASE_SHARE and np.isin(numbers, part).all():
+                            last = first[c + 1] if c + 1 < len(first) else len(targets)
+                            begin = window_begin[first[c] + np.argmax(cosine[k, first[c] : last])]
+                            ids, at = places[a + k]
+                            share = paraphrase_share(part, aligned(ids, at, int(begin), len(item)), item, numbers[c])
+                            if share >= PARAPHRASE_SHARE:
                                 out.add((doc, int(items.ids[owners[c]]), False, round(share, 4)))
             rows = sorted(out)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -285,16 +317,17 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, whole: bool):
 
 def leaks(documents: DataFrame, eval_items: DataFrame, paraphrases: bool = False) -> DataFrame:
     """(doc_id, item_id, verbatim, share) of the documents that contain passages of items: RUN words
-    in a row, or (if ``paraphrases``) most of an item's words in order, numbers included."""
+    in a row, or also (if ``paraphrases``) most of a passage's or item's words in order, the item's numbers included."""
     rows = [(r.item_id, r.text) for r in eval_items.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL").orderBy("item_id").collect()]
     found = None
     for a in range(0, max(len(rows), 1), BLOCK_ITEMS):
         items = Items(rows[a : a + BLOCK_ITEMS])
-        known = F.arrow_udf(lambda t, i=items: chars.in_chunks(t, lambda p: known_words(i, p, paraphrases)), T.ArrayType(T.IntegerType()))
-        runs = settle(documents.where("doc_id IS NOT NULL").select("doc_id", known("text").alias("ids")).where("ids IS NOT NULL"))
-        idf, basis = latent_basis(runs, len(items.vocabulary), paraphrases)
-        part = runs.mapInArrow(_search(items, idf, basis, paraphrases), "doc_id long, item_id long, verbatim boolean, share double")
-        found = part if found is None else found.unionByName(part)
+        for whole in (False, True)[: 1 + paraphrases]:
+            known = F.arrow_udf(lambda t, i=items, w=whole: chars.in_chunks(t, lambda p: known_words(i, p, w)), T.ArrayType(T.IntegerType()))
+            runs = settle(documents.where("doc_id IS NOT NULL").select("doc_id", known("text").alias("ids")).where("ids IS NOT NULL"))
+            idf, basis = latent_basis(runs, len(items.vocabulary), whole)
+            part = runs.mapInArrow(_search(items, idf, basis, whole), "doc_id long, item_id long, verbatim boolean, share double")
+            found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), F.max("share").alias("share"))
 
 

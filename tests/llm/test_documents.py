@@ -99,6 +99,24 @@ def test_paraphrase(spark):
     assert got == {0: True, 1: False}
 
 
+def test_paraphrases_keep_all_verbatim_leaks(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    texts = [" ".join([*(f"x{i}" for i in range(k)), *item.split()[9:21], *(f"y{i}" for i in range(50))]) for k in range(30)]
+    e = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.verbatim for r in leaks.leaks(docs(spark, texts), e, paraphrases=True).collect()}
+    assert got == dict.fromkeys(range(30), True)
+
+
+def test_paraphrase_with_numbers_far_apart(spark):
+    words = [f"word{i}" for i in range(60)]
+    item = " ".join(["17", *words, "42"])
+    copy = " ".join(["17", *("or" if i % 8 == 3 else w for i, w in enumerate(words)), "42"])
+    around = " ".join(f"x{i}" for i in range(25))
+    e = spark.createDataFrame([(1, item), (2, "or " * 14)], "item_id long, text string")
+    texts = [f"{around} {copy} {around}", f"{around} {copy.replace('42', '43')} {around}"]
+    assert [tuple(r)[:3] for r in leaks.leaks(docs(spark, texts), e, paraphrases=True).collect()] == [(0, 1, False)]
+
+
 CASES = [
     ("Mr. Smith paid 3.5 pounds. He left.", ["Mr. Smith paid 3.5 pounds.", "He left."]),
     ("They sell tea, etc. The end!", ["They sell tea, etc.", "The end!"]),
