@@ -167,6 +167,18 @@ def nearest_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return best.select("word", F.col("b.entry").alias("nearest"), F.col("b.distance").alias("distance"))
 
 
+def nearest_words_at_any_distance(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, nearest, distance) of every word of words(word), ties to the least; lexicon(entry) is a fixed table.
+
+    Only words without an entry within one edit are held against the whole lexicon."""
+    near = nearest_words(words, lexicon)
+    far = words.select("word").where("word IS NOT NULL").distinct().join(near.select("word"), "word", "left_anti")
+    far = far.repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "word")  # little data, much work
+    pairs = far.crossJoin(F.broadcast(lexicon.select("entry").where("entry IS NOT NULL").distinct()))
+    best = pairs.groupBy("word").agg(F.min(F.struct(F.levenshtein("word", "entry").alias("distance"), "entry")).alias("b"))
+    return near.unionByName(best.select("word", F.col("b.entry").alias("nearest"), F.col("b.distance").alias("distance")))
+
+
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """n rows, the same in every run: those with the least hash of their key."""
     return df.withColumn("_h", F.md5(F.col(key).cast("string"))).orderBy("_h", key).limit(n).drop("_h")

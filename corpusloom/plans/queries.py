@@ -256,6 +256,20 @@ def nearest_lexicon_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return corpus.nearest_words(words, entries)
 
 
+@query()
+def nearest_lexicon_any_distance(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest known word of every word of the corpus, in all scripts and at any distance."""
+    words = corpus.vocabulary(_blocks(spark, d)).select(F.lower("word").alias("word"))
+    return corpus.nearest_words_at_any_distance(words, table(spark, d, "vocabulary").select(F.lower("word").alias("entry")))
+
+
+@query()
+def lexicon_tags_all_words(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of all words of the corpus, in all scripts."""
+    lex = table(spark, d, "vocabulary").select(F.col("word").alias("token"), F.col("leffftags").alias("tag"))
+    return corpus.lexicon_tags(corpus.vocabulary(_blocks(spark, d)).select("word"), corpus.tag_sets(lex)).select("word", "tags")
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 200")
 def sample_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return corpus.hash_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 200)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus, crawl
+from corpusloom.plans import queries
 from corpusloom.sources import tables
 
 SCHEMA = "page_id long, pos int, siteindex int, docelttype string, doceltcmd string, nestinglevel short, text string, cnt long"
@@ -38,6 +39,16 @@ def test_nearest_words(spark):
     assert got == {"hause": ("hause", 0), "a": ("b", 1)}
 
 
+def test_nearest_words_at_any_distance(spark, small):
+    words = spark.createDataFrame([("hause",), ("xyzzy",), ("a",), ("московский",), ("東京都",), (None,)], "word string")
+    entries = spark.createDataFrame([("haus",), ("hause",), ("b",), ("москва",), ("東京",), (None,)], "entry string")
+    got = {r.word: (r.nearest, r.distance) for r in corpus.nearest_words_at_any_distance(words, entries).collect()}
+    assert got == {"hause": ("hause", 0), "a": ("b", 1), "xyzzy": ("b", 5), "московский": ("москва", 5), "東京都": ("東京", 1)}
+    every = {r.word for r in corpus.vocabulary(queries._blocks(spark, small)).collect()}
+    assert {r.word for r in queries.lexicon_tags_all_words(spark, small).collect()} == every
+    assert {r.word for r in queries.nearest_lexicon_any_distance(spark, small).collect()} == {r.word for r in spark.createDataFrame([(w,) for w in every], "w string").selectExpr("lower(w) word").collect()}
+
+
 def test_novelty_counts_texts_once(spark):
     rows = [(0, 1, 0, "ab"), (0, 1, 1, "ab"), (0, 2, 0, "ab"), (0, 2, 1, "cde"), (0, 3, 0, "")]
     df = spark.createDataFrame(rows, "site int, doc long, pos int, text string")
