@@ -7,7 +7,8 @@ scan, however often it occurs in the rest of the corpus, and in scripts without
 spaces every short window around a confusable character, has as candidates what
 it could have been before one or two confusions; confusion probability times
 corpus likelihood (word counts mixed with a character 4-gram model of all words)
-decides.  repaired_blocks decodes each line's candidates by Viterbi.
+decides, for each unit alone: no scores of neighbouring words are counted, so
+that repaired_blocks' Viterbi over a line is a maximum for each word.
 
 Counts are made over all pages that aren't PDFs.  Null texts have no noise;
 repeated rows count once; a scan of one block without a break isn't known as
