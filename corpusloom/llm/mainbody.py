@@ -1,13 +1,14 @@
 """Problem 2: page boilerplate mixed with main content.
 
 Site template removal.  A page of the element stream is a sequence of
-level-1 subtrees (sections, lists, single blocks).  Every subtree, and every
-leaf that can stand for one (a heading, the first block below a heading, the
-label in front of a colon), gets a hash of its normalised content.  Spark
-counts the pages of each host on which a hash comes back; subtrees whose hash
-recurs are deleted together with everything below them.  The rest of the page
-chrome hangs directly at level 1 outside any section, so what remains inside
-the surviving sections is the main body.
+level-1 subtrees (sections, lists, single blocks).  Every leaf that can stand
+for one (a heading, the first block below a heading, the label in front of a
+colon) gets a hash of its normalised content; subtrees as a whole aren't
+hashed.  Spark counts the pages of each host on which a hash comes back; a
+section whose heading (or first leaf) recurs is deleted together with everything
+below it.  What hangs directly at level 1 outside any section is taken as page
+chrome by its position, so what remains inside the surviving sections is the
+main body.
 
 Nulls: rows without page_id or pos are ignored; a null text never is
 boilerplate; a null docelttype is resolved from the neighbouring rows; a null
