@@ -3,10 +3,10 @@
 Spaced scripts: every terminator with what surrounds it is a candidate; a
 lattice of readings (abbreviation, initial, ordinal, decimal, host name,
 ellipsis, quoted speech, end) decides by the token before and the opening word
-after it.  Scripts without spaces: the block is cut into words by the cheapest
-path through a lattice of dictionary words, and the gaps (wide stops, spaces,
-ends of quotations) are classified by the final particles before and the
-opening words after them.  Direct speech belongs to the sentence reporting it.
+after it.  Thai: the words before a gap are cut by the cheapest path through a
+lattice of dictionary words, and the gap is classified by them and by final
+particles.  Chinese and Japanese are split at wide stops outside quotations and
+at line ends only; a space is no boundary there.  Direct speech belongs to the sentence reporting it.
 
 A null or blank text has no sentences; positions are characters from 0, end
 exclusive, without surrounding space.  Very long blocks are read once, in
