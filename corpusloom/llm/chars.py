@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ LETTER, MARK, DIGIT, SPACE, UPPER, SYMBOL = 1, 2, 4, 8, 16, 32
 
 @functools.lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """Class bits of the code points up to U+FFFF; those above share the last entry."""
-    table = np.zeros(0x10000, np.uint8)
-    for i in range(0xFFFF):
+    """Class bits of all code points."""
+    table = np.full(0x110000, SYMBOL, np.uint8)
+    for i in _assigned():
         k = unicodedata.category(chr(i))
         if k[0] == "L":
             table[i] = LETTER | (UPPER if k in ("Lu", "Lt") else 0)
@@ -32,14 +33,21 @@ def classes() -> np.ndarray:
             table[i] = SPACE
         else:
             table[i] = SYMBOL
-    table[0xFFFF] = SYMBOL
+    wide = np.fromiter((chr(i).isalpha() for i in range(0x20000, 0x34000)), bool)
+    table[0x20000:0x34000][wide] = LETTER
     return table
 
 
+def _assigned() -> Iterator[int]:
+    """The planes with scripts, and the variation selectors; the planes of ideographs have letters only."""
+    yield from range(0x20000)
+    yield from range(0xE0100, 0xE01F0)
+
+
 @functools.lru_cache(maxsize=1)
 def lower_table() -> np.ndarray:
-    table = np.arange(0x10000, dtype=np.uint32)
-    for i in range(0xFFFF):
+    table = np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x20000):
         low = chr(i).lower()
         if len(low) == 1:
             table[i] = ord(low)

@@ -45,8 +45,7 @@ CACHE_WORDS = 400_000
 
 def word_spans(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words; characters of scripts without spaces are words of their own."""
-    small = np.minimum(cp, 0xFFFF)
-    inside = (chars.classes()[small] & (chars.LETTER | chars.MARK)) > 0
+    inside = (chars.classes()[cp] & (chars.LETTER | chars.MARK)) > 0
     single = ((cp >= 0x0E00) & (cp <= 0x0E7F)) | ((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x3400) & (cp <= 0x9FFF))
     edge = np.zeros(len(cp) + 1, bool)
     edge[bounds] = True
@@ -129,7 +128,7 @@ def behind(packed: Column, i: int) -> Column:
 
 def batch_lines(model: ByteGRU, key: str, texts: pa.Array) -> pa.Array:
     cp, bounds = chars.code_points(texts)
-    low = chars.lower_table()[np.minimum(cp, 0xFFFF)]
+    low = chars.lower_table()[cp]
     starts, ends = word_spans(cp, bounds)
     l0, l1, row = chars.lines(cp, bounds)
     n, langs = len(l0), len(LANGUAGES)

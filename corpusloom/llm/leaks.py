@@ -1,23 +1,25 @@
 """Problem 9: evaluation texts leaking into training text.
 
-Latent semantic retrieval.  Documents are cut into passages of words known from
-the evaluation items; a word the items don't have can't be part of a verbatim
-leak.  A randomised singular value decomposition of the TF-IDF matrix of all
-passages is distributed: one pass adds up A'(A Omega) over the partitions, the
-driver orthonormalises the (item words x RANK) result.  In the latent space
-every passage is held against the passages of all items; pairs above a cosine
-are candidates.  A longest-common-substring check on the words keeps verbatim
-leaks.  Paraphrases are sought beside them, in passages of all words: a
-longest-common-subsequence check on the passage, or on the part of the document
-that is as long as the item and aligned with it, and an answer check on that part
-keep them.
-
-The items are a fixed table: they are read by the driver in blocks of
-BLOCK_ITEMS, so that what is sent to the executors is bounded whatever their
-number.  Words are runs of letters and digits, without case and accents.  Null
-and empty texts, and texts and items with fewer words than a run, have no leaks;
-copies are documents of their own; an item that shares a passage with another is
-reported as well; rows without doc_id or item_id and extra columns are ignored.
+Latent semantic retrieval.  Documents are cut into passages: of words known from
+the evaluation items (a word the items don't have can't be part of a verbatim
+leak), and for paraphrases of all words.  A randomised singular value
+decomposition of the TF-IDF matrix of all passages is distributed: one pass adds
+up A'(A Omega) over the partitions, which the driver orthonormalises to Q, a
+second one the small matrix (AQ)'(AQ), whose eigenvectors give the singular
+directions.  The passages of the items lie in an index of the latent space:
+clusters with their radius, so that a cluster is skipped only if no passage in
+it can reach the cosine.  What reaches it is a candidate, and only candidates
+are checked: for RUN equal words in a row (verbatim), or for a longest common
+subsequence with the passage, or with the part of the document that is as long as
+the item and aligned with it, and for the item's numbers as answers (paraphrase).
+
+The corpus is read once; all further passes read the settled word numbers.  The
+items are a fixed table: they are read by the driver in blocks of BLOCK_ITEMS, so
+that what is sent to the executors is bounded whatever their number.  Words are
+runs of letters and digits, without case and accents.  Null and empty texts, and
+texts and items with fewer words than a run, have no leaks; copies are documents
+of their own; an item that shares a passage with another is reported as well;
+rows without doc_id or item_id and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +38,16 @@ from corpusloom.llm import chars
 from corpusloom.plans.session import settle
 
 RUN = 12
-WIDTH = 24  # of a passage in words; passages begin every RUN words
-RANK = 64
-#: Cosine from which a passage and an item's passage are compared.
-COSINE = 0.3
-PARAPHRASE_COSINE, PARAPHRASE_SHARE, PARAPHRASE_KNOWN = 0.75, 0.7, 0.8
+#: (words of a passage, words between the begins of passages) of verbatim search and of paraphrases.
+VERBATIM, WHOLE = (16, 5), (24, 12)
+RANK, OVERSAMPLE = 64, 16
+#: Cosines from which a passage and an item's passage are compared.
+COSINE, PARAPHRASE_COSINE = 0.6, 0.75
+PARAPHRASE_SHARE, PARAPHRASE_KNOWN = 0.7, 0.8
 ITEM_STEP = 3
-BLOCK_ITEMS = 2_000
+BLOCK_ITEMS = 20_000
+#: Passages, and pairs, that are worked on at once.
+CHUNK, PAIRS = 4_096, 1_024
 
 
 @functools.lru_cache(maxsize=1)
@@ -60,11 +65,10 @@ def fold_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, each word's text, and the bounds of the texts in words."""
     cp, bounds = chars.code_points(texts)
     fold, kinds = _fold()
-    small = np.minimum(cp, 0xFFFF)
-    keep = (kinds[small] & chars.MARK) == 0
+    keep = (kinds[cp] & chars.MARK) == 0
     at = chars.running(keep)[bounds]
-    text = fold[small[keep]]
-    alnum = (kinds[np.minimum(text, 0xFFFF)] & (chars.LETTER | chars.DIGIT)) > 0
+    text = fold[cp[keep]]
+    alnum = (kinds[text] & (chars.LETTER | chars.DIGIT)) > 0
     starts, ends = chars.runs(alnum, at)
     return chars.span_hashes(text, starts, ends), np.searchsorted(at, starts, side="right") - 1, np.searchsorted(starts, at)
 
@@ -85,22 +89,32 @@ class Items:
             number.update(int(i) for i, s in zip(item, spans) if s.isdigit())
         self.numbers = np.array(sorted(number), np.int64)
         runs, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        windows, window_owner, window_begin = [], [], []
+        self.windows: dict[bool, tuple[list[np.ndarray], np.ndarray, np.ndarray]] = {}
         for k, item in enumerate(self.items):
             if len(item) >= RUN:
                 runs.append(run_hashes(item))
                 owner.append(np.full(len(item) - RUN + 1, k))
-                for width in (RUN, WIDTH)[: 1 + (len(item) >= WIDTH)]:
-                    begin = sorted({*range(0, len(item) - width + 1, ITEM_STEP), len(item) - width})
-                    windows += [item[b : b + width] for b in begin]
-                    window_owner += [k] * len(begin)
-                    window_begin += begin
         runs, owner = np.concatenate(runs), np.concatenate(owner)
         order = np.argsort(runs, kind="stable")
         self.runs, self.owner = runs[order], owner[order]
-        #: windows as long as a run, and for paraphrases also as long as a passage
-        self.windows, self.window_owner = windows, np.array(window_owner, np.int64)
-        self.window_begin = np.array(window_begin, np.int64)
+        for whole in (False, True):  # item passages as long as a run, or also as a document's passage
+            parts, of, at = [], [], []
+            for k, item in enumerate(self.items):
+                for width in sorted({RUN, min(len(item), WHOLE[0])} if whole else {RUN}) if len(item) >= RUN else ():
+                    begin = sorted({*range(0, len(item) - width + 1, ITEM_STEP), len(item) - width})
+                    parts += [item[b : b + width] for b in begin]
+                    of += [k] * len(begin)
+                    at += begin
+            self.windows[whole] = parts, np.array(of, np.int64), np.array(at, np.int64)
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        longest = int(self.size.max(initial=1))
+        self.table = np.full((len(self.items), longest), -2, np.int32)  # the items' words, padded
+        for k, item in enumerate(self.items):
+            self.table[k, : len(item)] = item
+        answers = [np.intersect1d(item, self.numbers) for item in self.items]
+        self.answers = np.full((len(self.items), max([1, *map(len, answers)])), -2, np.int32)
+        for k, x in enumerate(answers):
+            self.answers[k, : len(x)] = x
 
 
 def run_hashes(ids: np.ndarray) -> np.ndarray:
@@ -143,42 +157,58 @@ def known_words(items: Items, texts: pa.Array, whole: bool) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(size == 0))
 
 
-def passages(ids: np.ndarray, whole: bool = False) -> list[tuple[int, int]]:
-    """(begin, end) of the passages of a document's ids."""
-    out = []
+def passages(values: np.ndarray, offsets: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, begin, end) of the passages of documents' ids, which lie one after another; begins and ends are places in ``values``."""
+    values, base = values[offsets[0] : offsets[-1]], int(offsets[0])
+    bounds = offsets.astype(np.int64) - base
+    width, step = WHOLE if whole else VERBATIM
     if whole:
-        for b in range(0, max(len(ids) - RUN, 0) + 1, RUN):
-            part = ids[b : b + WIDTH]
-            if len(part) >= RUN and (part >= 0).mean() >= PARAPHRASE_KNOWN:
-                out.append((b, b + len(part)))
-        return out
-    s, e = chars.runs(ids >= 0, np.array([0, len(ids)]))
-    for a, z in zip(s.tolist(), e.tolist()):
-        out += [(b, min(b + WIDTH, z)) for b in range(a, z - RUN + 1, RUN)]
-    return out
-
-
-def _windows(batch: pa.RecordBatch, whole: bool) -> tuple[list[np.ndarray], list[int], list[tuple[np.ndarray, int]]]:
-    """The passages of a batch, their documents' numbers, and the documents' ids with the passages' places in them."""
-    lists = batch.column("ids")
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    parts, docs, places = [], [], []
-    for k in range(batch.num_rows):
-        ids = values[offsets[k] : offsets[k + 1]]
-        for a, b in passages(ids, whole):
-            parts.append(ids[a:b])
-            docs.append(k)
-            places.append((ids, a))
-    return parts, docs, places
+        s, e = bounds[:-1], bounds[1:]
+    else:
+        s, e = chars.runs(values >= 0, bounds)
+    n = np.where(e - s >= RUN, (e - s - RUN) // step + 1, 0)
+    row = np.repeat(np.arange(len(s)), n)
+    begin = s[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
+    end = np.minimum(begin + width, e[row])
+    if whole:
+        known = chars.running(values >= 0)
+        keep = known[end] - known[begin] >= PARAPHRASE_KNOWN * (end - begin)
+        begin, end = begin[keep], end[keep]
+    return np.searchsorted(bounds, begin, side="right") - 1, begin + base, end + base
+
+
+class Passages:
+    """The passages of a batch: their documents' numbers, their begins there, and their words one after another."""
+
+    def __init__(self, batch: pa.RecordBatch, whole: bool):
+        lists = batch.column("ids")
+        self.offsets, self.values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        self.doc, begin, end = passages(self.values, self.offsets, whole)
+        self.begin = begin - self.offsets[self.doc]
+        self.flat, self.bounds = spread(self.values, begin, end)
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first passage, words, bounds) of CHUNK passages at a time."""
+        for a in range(0, len(self.doc), CHUNK):
+            bounds = self.bounds[a : a + CHUNK + 1]
+            yield a, self.flat[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def spread(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of values one after another, and their bounds."""
+    bounds = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
+    return values[np.repeat(begin - bounds[:-1], end - begin) + np.arange(bounds[-1])], bounds
 
 
 def _document_frequency(n: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total = np.zeros(n + 1, np.int64), 0
         for batch in batches:
-            for part in _windows(batch, whole)[0]:
-                count[np.unique(part[part >= 0])] += 1
-                total += 1
+            for _, flat, bounds in Passages(batch, whole).chunks():
+                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                seen = np.unique(owner[flat >= 0] * (n + 1) + flat[flat >= 0])
+                count += np.bincount(seen % (n + 1), minlength=n + 1)
+                total += len(bounds) - 1
         count[n] = total
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["id", "n"])
@@ -186,131 +216,201 @@ def _document_frequency(n: int, whole: bool):
     return run
 
 
-def _weights(parts: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """(passages, columns): the passages' unit TF-IDF vectors times a matrix over the words."""
-    flat = np.concatenate(parts)
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+def _units(flat: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The words' weights in their passages' unit TF-IDF vectors."""
     w = np.where(flat >= 0, idf[flat], 0.0)
-    norm = np.sqrt(np.maximum(np.add.reduceat(w * w, starts), 1e-12))
-    return np.add.reduceat(matrix[flat] * w[:, None], starts, axis=0) / norm[:, None]
+    norm = np.sqrt(np.maximum(np.add.reduceat(w * w, bounds[:-1]), 1e-12))
+    return w / np.repeat(norm, np.diff(bounds))
+
+
+def _weights(flat: np.ndarray, bounds: np.ndarray, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """(passages, columns): the passages' unit TF-IDF vectors times a matrix over the words."""
+    w = _units(flat, bounds, idf).astype(matrix.dtype)
+    return np.add.reduceat(matrix[flat] * w[:, None], bounds[:-1], axis=0)
 
 
 def _sketch(idf: np.ndarray, omega: np.ndarray, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(omega)
         for batch in batches:
-            parts = _windows(batch, whole)[0]
-            for a in range(0, len(parts), 4096):
-                chunk = parts[a : a + 4096]
-                t = _weights(chunk, idf, omega)
-                flat = np.concatenate(chunk)
-                owner = np.repeat(np.arange(len(chunk)), [len(p) for p in chunk])
-                w = np.where(flat >= 0, idf[flat], 0.0)
-                norm = np.sqrt(np.maximum(np.bincount(owner, weights=w * w), 1e-12))
-                np.add.at(total, flat, t[owner] * (w / norm[owner])[:, None])
+            for _, flat, bounds in Passages(batch, whole).chunks():
+                w = _units(flat, bounds, idf)
+                t = np.add.reduceat(omega[flat] * w[:, None], bounds[:-1], axis=0)
+                order = np.argsort(flat, kind="stable")  # the rows of a word are added up together
+                of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[order]
+                words, first = np.unique(flat[order], return_index=True)
+                total[words] += np.add.reduceat(t[of] * w[order][:, None], first, axis=0)
         at = np.flatnonzero(np.abs(total).sum(axis=1) > 0)
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, i]) for i in range(total.shape[1]))], ["id", *(f"y{i}" for i in range(total.shape[1]))])
 
     return run
 
 
-def latent_basis(runs: DataFrame, words: int, whole: bool = False, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, basis): weights of the item words and an orthonormal basis of the leading latent space
-    of all passages of runs(ids).  What the driver gets is bounded by the words of the items."""
+def _gram(idf: np.ndarray, q: np.ndarray, whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((q.shape[1], q.shape[1]))
+        for batch in batches:
+            for _, flat, bounds in Passages(batch, whole).chunks():
+                x = _weights(flat, bounds, idf, q)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "g"])
+
+    return run
+
+
+def latent_basis(runs: DataFrame, words: int, whole: bool = False, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(idf, basis, singular values): weights of the item words, and the leading right singular vectors
+    of the passages' TF-IDF matrix.  What the driver gets is bounded by the words of the items."""
     frequency = runs.select("ids").mapInArrow(_document_frequency(words, whole), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     df = np.zeros(words + 1)
     for r in frequency.collect():
         df[r.id] = r.n
     idf = np.log((df[words] + 1) / (df[:words] + 1)) + 1
     rank = max(1, min(rank, words))
-    omega = np.random.default_rng(17).standard_normal((max(words, 1), rank))
-    columns = [f"y{i}" for i in range(rank)]
+    omega = np.random.default_rng(17).standard_normal((max(words, 1), min(rank + OVERSAMPLE, max(words, 1))))
+    columns = [f"y{i}" for i in range(omega.shape[1])]
     sums = runs.select("ids").mapInArrow(_sketch(idf, omega, whole), "id long, " + ", ".join(f"{c} double" for c in columns))
     y = np.zeros_like(omega)
     for r in sums.groupBy("id").agg(*(F.sum(c).alias(c) for c in columns)).collect():
         y[r.id] = [r[c] for c in columns]
-    basis, _ = np.linalg.qr(y + 1e-9 * omega)
-    return idf, basis.astype(np.float32)
+    q, _ = np.linalg.qr(y + 1e-9 * omega)
+    gram = np.zeros(q.shape[1] ** 2)
+    for r in runs.select("ids").mapInArrow(_gram(idf, q.astype(np.float32), whole), "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).collect():
+        gram[r["at"]] = r.g
+    values, vectors = np.linalg.eigh(gram.reshape(q.shape[1], -1))
+    lead = np.argsort(-values)[:rank]
+    return idf, (q @ vectors[:, lead]).astype(np.float32), np.sqrt(np.maximum(values[lead], 0))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short lists of words."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        take = np.where(b == x, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], take))
-    return int(row[-1])
-
-
-def aligned(ids: np.ndarray, at: int, begin: int, length: int) -> np.ndarray:
-    """The part of a document that may hold an item of that length, whose window at ``begin`` was met in the passage at ``at``."""
-    start = at - begin
-    return ids[max(0, start - RUN // 2) : start + length + RUN + RUN // 2]
-
-
-def paraphrase_share(part: np.ndarray, around: np.ndarray, item: np.ndarray, numbers: np.ndarray) -> float:
-    """The share of the passage or of the item that is a common subsequence, the greater one; 0 if a number of the item is missing around."""
-    if not np.isin(numbers, around).all():
-        return 0.0
-    share = 0.0
-    for text in (part, around):
-        least = PARAPHRASE_SHARE * (size := min(len(text), len(item)))
-        if min(np.isin(text, item).sum(), np.isin(item, text).sum()) >= least:  # else the subsequence is shorter
-            share = max(share, common_subsequence(text, item) / size)
+class LatentIndex:
+    """Item passages in the latent space, in clusters with their radius.  A cluster is left out for a
+    query only if the angle to its centre less its radius is greater than that of the cosine."""
+
+    def __init__(self, vectors: np.ndarray, rounds: int = 4):
+        n = len(vectors)
+        k = max(1, int(np.sqrt(n) / 2))
+        centres = vectors[np.linspace(0, max(n - 1, 0), k).astype(np.int64)] if n else np.zeros((0, vectors.shape[1]), np.float32)
+        label = np.zeros(n, np.int64)
+        for _ in range(rounds if n else 0):
+            label = np.argmax(vectors @ centres.T, axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, label, vectors)
+            centres = _unit(sums).astype(np.float32)
+        self.centres = centres
+        self.members = [np.flatnonzero(label == c) for c in range(len(centres))]
+        self.vectors = [vectors[m] for m in self.members]
+        self.radius = [float(np.arccos(np.clip((v @ c).min(), -1, 1))) if len(v) else 0.0 for v, c in zip(self.vectors, centres)]
+
+    def search(self, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item passage, cosine) of all pairs from that cosine."""
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        to_centre = queries @ self.centres.T
+        for c, (members, vectors, radius) in enumerate(zip(self.members, self.vectors, self.radius)):
+            reach = np.arccos(cosine) + radius + 1e-3
+            near = np.flatnonzero(to_centre[:, c] >= np.cos(reach)) if reach < np.pi else np.arange(len(queries))
+            if len(near) and len(members):
+                score = queries[near] @ vectors.T
+                i, j = np.nonzero(score >= cosine)
+                out.append((near[i], members[j], score[i, j]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of the rows of two tables of words, padded with different negative numbers."""
+    row = np.zeros((len(a), b.shape[1] + 1), np.int16)
+    for i in range(a.shape[1]):
+        take = np.where(b == a[:, i : i + 1], row[:, :-1] + 1, 0)
+        row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], take), axis=1)
+    return row[:, -1].astype(np.int64)
+
+
+def _table(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of values as rows, padded."""
+    size = end - begin
+    out = np.full((len(size), int(size.max(initial=1))), -3, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = spread(values, begin, end)[0]
+    out[out == -1] = -4  # an unknown word is no padding
+    return out, size
+
+
+def paraphrase_shares(values: np.ndarray, part_at: tuple[np.ndarray, np.ndarray], near_at: tuple[np.ndarray, np.ndarray], items: Items, which: np.ndarray) -> np.ndarray:
+    """For each pair, the share of the passage or of the item that is a common subsequence, the greater one; 0 if a number of the item is missing around."""
+    share = np.zeros(len(which))
+    for a in range(0, len(which), PAIRS):
+        w = which[a : a + PAIRS]
+        item, item_size, answers = items.table[w], items.size[w], items.answers[w]
+        near, near_size = _table(values, *(x[a : a + PAIRS] for x in near_at))
+        part, part_size = _table(values, *(x[a : a + PAIRS] for x in part_at))
+        ok = ((answers == -2) | (answers[:, :, None] == near[:, None, :]).any(axis=2)).all(axis=1)
+        for text, size in ((part, part_size), (near, near_size)):
+            short = np.minimum(size, item_size)
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            same = text[at][:, :, None] == item[at][:, None, :]
+            # the subsequence can't be longer than the words of either that the other has
+            most = np.minimum(same.any(axis=2).sum(axis=1), same.any(axis=1).sum(axis=1))
+            at = at[most >= PARAPHRASE_SHARE * short[at]]
+            if len(at):
+                share[a + at] = np.maximum(share[a + at], common_subsequences(text[at], item[at]) / short[at])
     return share
 
 
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray, whole: bool):
-    used = [k for k, w in enumerate(items.windows) if whole or len(w) == RUN]
-    owner, window_begin = (np.array(x[used], np.int64) for x in (items.window_owner, items.window_begin))
-    targets = _unit(_weights([items.windows[k] for k in used], idf, basis)).astype(np.float32) if used else np.zeros((0, basis.shape[1]), np.float32)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(owner) > 0])) if used else np.zeros(0, np.int64)
-    owners = owner[first]
-    numbers = [np.intersect1d(items.items[k], items.numbers) for k in owners]
+    windows, owner, window_begin = items.windows[whole]
+    bounds_ = np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int64)
+    vectors = _unit(_weights(np.concatenate(windows), bounds_, idf, basis)).astype(np.float32) if windows else np.zeros((0, basis.shape[1]), np.float32)
+    index, n = LatentIndex(vectors), len(items.ids)
+
+    def verbatim(flat: np.ndarray, bounds: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which of the candidate pairs have RUN words in a row in common."""
+        looked = np.unique(passage)
+        if not len(looked):
+            return np.zeros(0, bool)
+        flat, bounds = spread(flat, bounds[looked], bounds[looked + 1])
+        of, h = np.repeat(looked, np.diff(bounds)), run_hashes(flat)
+        of = np.where(of[: len(h)] == of[RUN - 1 :], of[: len(h)], -1)  # runs within a passage
+        h, of = h[of >= 0], of[of >= 0]
+        lo, hi = np.searchsorted(items.runs, h, "left"), np.searchsorted(items.runs, h, "right")
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.isin(passage * n + item, np.repeat(of, size) * n + items.owner[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, docs, places = _windows(batch, whole)
-            out: set[tuple[int, int, bool, float]] = set()
-            for a in range(0, len(parts), 2048):
-                chunk = parts[a : a + 2048]
-                cosine = _unit(_weights(chunk, idf, basis)).astype(np.float32) @ targets.T
-                best = np.maximum.reduceat(cosine, first, axis=1) if len(first) else np.zeros((len(chunk), 0))
-                place = np.full(len(items.ids), -1)
-                place[owners] = np.arange(len(owners))
-                for k, part in enumerate(chunk):
-                    doc = docs[a + k]
-                    if not whole:
-                        h = run_hashes(part)
-                        lo, hi = np.searchsorted(items.runs, h, "left"), np.searchsorted(items.runs, h, "right")
-                        for i in np.flatnonzero(hi > lo):  # the check: RUN words in a row, of an item that is a candidate
-                            for item in items.owner[lo[i] : hi[i]]:
-                                if best[k, place[item]] >= COSINE:
-                                    out.add((doc, int(items.ids[item]), True, 1.0))
-                    if whole:
-                        for c in np.flatnonzero(best[k] >= PARAPHRASE_COSINE):
-                            item = items.items[owners[c]]
-                            last = first[c + 1] if c + 1 < len(first) else len(targets)
-                            begin = window_begin[first[c] + np.argmax(cosine[k, first[c] : last])]
-                            ids, at = places[a + k]
-                            share = paraphrase_share(part, aligned(ids, at, int(begin), len(item)), item, numbers[c])
-                            if share >= PARAPHRASE_SHARE:
-                                out.add((doc, int(items.ids[owners[c]]), False, round(share, 4)))
-            rows = sorted(out)
+            p = Passages(batch, whole)
+            keys, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for a, flat, bounds in p.chunks():
+                query, window, cosine = index.search(_unit(_weights(flat, bounds, idf, basis)), PARAPHRASE_COSINE if whole else COSINE)
+                order = np.lexsort((window, -cosine, owner[window], query))  # of each passage and item the best
+                pair = query[order] * n + owner[window][order]
+                best = order[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else order
+                query, window = query[best], window[best]
+                item, doc = owner[window], p.doc[a + query]
+                if whole:
+                    begin = p.offsets[doc] + p.begin[a + query]
+                    start = begin - window_begin[window]
+                    lo = np.maximum(start - RUN // 2, p.offsets[doc])
+                    hi = np.minimum(p.offsets[doc + 1], start + items.size[item] + RUN + RUN // 2)
+                    share = paraphrase_shares(p.values, (begin, begin + np.diff(bounds)[query]), (lo, np.maximum(lo, hi)), items, item)
+                    found = share >= PARAPHRASE_SHARE
+                else:
+                    found = verbatim(flat, bounds, query, item)
+                    share = found.astype(float)
+                keys.append((doc * n + item)[found])
+                shares.append(share[found])
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            best = np.zeros(len(key))
+            np.maximum.at(best, at, np.concatenate(shares))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(ids[r[0]]) for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.bool_()),
-                    pa.array([r[3] for r in rows], pa.float64()),
-                ],
+                [pa.array(ids[key // n].astype(np.int64)), pa.array(items.ids[key % n]), pa.array(np.full(len(key), not whole)), pa.array(np.round(best, 4))],
                 ["doc_id", "item_id", "verbatim", "share"],
-            )
+            ) if len(key) else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("verbatim", pa.bool_()), ("share", pa.float64())]))
 
     return run
 
@@ -320,13 +420,15 @@ def leaks(documents: DataFrame, eval_items: DataFrame, paraphrases: bool = False
     in a row, or also (if ``paraphrases``) most of a passage's or item's words in order, the item's numbers included."""
     rows = [(r.item_id, r.text) for r in eval_items.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL").orderBy("item_id").collect()]
     found = None
+    tasks = 3 * documents.sparkSession.sparkContext.defaultParallelism  # the ids are small, the work on them isn't
     for a in range(0, max(len(rows), 1), BLOCK_ITEMS):
         items = Items(rows[a : a + BLOCK_ITEMS])
+        known = F.arrow_udf(lambda t, i=items: chars.in_chunks(t, lambda p: known_words(i, p, paraphrases)), T.ArrayType(T.IntegerType()))
+        ids = documents.where("doc_id IS NOT NULL").select("doc_id", known("text").alias("ids")).where("ids IS NOT NULL")
+        ids = settle(ids.repartition(max(tasks, documents.rdd.getNumPartitions()), F.xxhash64("doc_id", "ids")))
+        idf, basis, _ = latent_basis(ids, len(items.vocabulary), paraphrases)
         for whole in (False, True)[: 1 + paraphrases]:
-            known = F.arrow_udf(lambda t, i=items, w=whole: chars.in_chunks(t, lambda p: known_words(i, p, w)), T.ArrayType(T.IntegerType()))
-            runs = settle(documents.where("doc_id IS NOT NULL").select("doc_id", known("text").alias("ids")).where("ids IS NOT NULL"))
-            idf, basis = latent_basis(runs, len(items.vocabulary), whole)
-            part = runs.mapInArrow(_search(items, idf, basis, whole), "doc_id long, item_id long, verbatim boolean, share double")
+            part = ids.mapInArrow(_search(items, idf, basis, whole), "doc_id long, item_id long, verbatim boolean, share double")
             found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), F.max("share").alias("share"))
 

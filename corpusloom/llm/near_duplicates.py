@@ -53,10 +53,9 @@ _B = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
 def batch_words(texts: pa.Array) -> pa.Array:
     """The words (runs of letters and digits, lower case) of every text as 32-bit hashes."""
     cp, bounds = chars.code_points(texts)
-    small = np.minimum(cp, 0xFFFF)
-    inside = (chars.classes()[small] & (chars.LETTER | chars.DIGIT)) > 0
+    inside = (chars.classes()[cp] & (chars.LETTER | chars.DIGIT)) > 0
     starts, ends = chars.runs(inside, bounds)
-    h = chars.span_hashes(chars.lower_table()[small], starts, ends).astype(np.uint32).view(np.int32)
+    h = chars.span_hashes(chars.lower_table()[cp], starts, ends).astype(np.uint32).view(np.int32)
     offsets = np.searchsorted(starts, bounds).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(h))
 

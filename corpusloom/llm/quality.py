@@ -62,7 +62,7 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     A line is prose if it is unbroken text whose sentences end, or has the
     length of a sentence without the separators of a list or table row."""
     cp, bounds = chars.code_points(texts)
-    kinds = chars.classes()[np.minimum(cp, 0xFFFF)]
+    kinds = chars.classes()[cp]
     starts, ends_at, row = chars.lines(cp, bounds)
     per_line = lambda flag: (lambda r: r[ends_at] - r[starts])(chars.running(flag))
     space = (kinds & chars.SPACE) > 0
@@ -91,7 +91,7 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     word_start = np.zeros(len(cp), bool)
     word_start[w0] = True
     words = per_line(word_start)
-    low_cp = chars.lower_table()[np.minimum(cp, 0xFFFF)]
+    low_cp = chars.lower_table()[cp]
     common_at = np.zeros(len(cp), bool)
     short = (w1 - w0) <= 6
     common_at[w0[short]] = np.isin(chars.span_hashes(low_cp, w0[short], w1[short]), _common_hashes())

@@ -45,11 +45,10 @@ _LINES = T.ArrayType(
 def batch_lines(texts: pa.Array) -> pa.Array:
     """The lines with letters of every text: number from 1, leaf of the tree, template."""
     cp, bounds = chars.code_points(texts)
-    small = np.minimum(cp, 0xFFFF)
     starts, ends, row = chars.lines(cp, bounds)
-    keep = (chars.classes()[small] & (chars.LETTER | chars.MARK)) > 0
+    keep = (chars.classes()[cp] & (chars.LETTER | chars.MARK)) > 0
     at = chars.running(keep)
-    letters = chars.lower_table()[small[keep]]
+    letters = chars.lower_table()[cp[keep]]
     s, e = at[starts], at[ends]
     key = chars.span_hashes(letters, s, e).view(np.int64)
     leaf = chars.span_hashes(letters, s, np.minimum(e, s + DEPTH * TOKEN)).view(np.int64)

@@ -42,13 +42,12 @@ _FIELDS = tuple(RULES)
 
 def normal_form(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower case, one space for each run of other characters, trimmed."""
-    small = np.minimum(cp, 0xFFFF)
-    alnum = (chars.classes()[small] & (chars.LETTER | chars.DIGIT)) > 0
+    alnum = (chars.classes()[cp] & (chars.LETTER | chars.DIGIT)) > 0
     before = np.concatenate([[False], alnum[:-1]]) if len(cp) else alnum
     first = np.zeros(len(cp) + 1, bool)
     first[bounds] = True
     keep = alnum | (before & ~first[:-1])
-    out = np.where(alnum, chars.lower_table()[small], 32)[keep]
+    out = np.where(alnum, chars.lower_table()[cp], 32)[keep]
     at = chars.running(keep)[bounds]
     ends = at[1:]
     trailing = (ends > at[:-1]) & (out[np.maximum(ends - 1, 0)] == 32) if len(out) else np.zeros(len(ends), bool)
