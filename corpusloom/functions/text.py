@@ -82,7 +82,7 @@ def unwrapped_json_string(text: Column) -> Column:
 
 def retry_after_seconds(value: Column, now: Column) -> Column:
     """A delay header: a number of seconds, or a date from which they are counted."""
-    date = F.try_to_timestamp(value, F.lit("EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
+    date = F.try_to_timestamp(F.regexp_extract(value, r"^\w{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     return F.coalesce(value.try_cast("double"), F.unix_timestamp(date).cast("double") - F.unix_timestamp(now).cast("double"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.running import running
+from corpusloom.plans.session import settle
 
 MIN_WORDS = 5
 
@@ -58,7 +59,7 @@ def site_word_stats(blocks: DataFrame, sites: DataFrame) -> DataFrame:
     """(website, words_count, percent) of every site, those without words included."""
     n = blocks.groupBy("siteindex").agg(F.sum(tx.words_count(F.col("text"))).alias("n"))
     out = sites.select("siteindex", "website").join(n, "siteindex", "left").withColumn("words_count", F.coalesce("n", F.lit(0)))
-    return out.select("website", "words_count", (F.col("words_count") * 100.0 / F.sum("words_count").over(Window.partitionBy())).alias("percent"))
+    return out.select("website", "words_count", (F.col("words_count") * 100.0 / n.agg(F.sum("n")).scalar()).alias("percent"))
 
 
 def totals(blocks: DataFrame) -> DataFrame:
@@ -147,10 +148,41 @@ def separator_neighbours(text: Column, char: str) -> Column:
         F.when(at > 1, F.concat(F.lit("<<"), nth(at - 1))).alias("before"),
         F.when(at < F.size(t), F.concat(nth(at + 1), F.lit(">>"))).alias("after"),
     )
-    inner = F.struct(F.lit(False).alias("own"), F.substring_index(holder, char, 1).alias("before"), F.substring(holder, F.locate(char, holder) + 1, 10_000).alias("after"))
+    inner = F.struct(F.lit(False).alias("own"), F.substring_index(holder, char, 1).alias("before"), F.substring(holder, F.locate(char, holder) + 1, F.length(holder)).alias("after"))
     return F.when(at > 0, own).when(holder.isNotNull(), inner)
 
 
+def trigram_profiles(texts: DataFrame) -> DataFrame:
+    """(lang, gram, weight) of labelled texts(text, lang): log probabilities of character trigrams, and of an
+    unseen one (gram null), for each language.  A few thousand rows a language, whatever the number of texts."""
+    counts = texts.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.explode(_trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(counts)
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    kinds = counts.select("gram").distinct().count()
+    seen = counts.join(F.broadcast(total), "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * kinds)).alias("weight"))
+    return seen.unionByName(total.select("lang", F.lit(None).cast("string").alias("gram"), F.log(0.5 / (F.col("total") + 0.5 * kinds)).alias("weight")))
+
+
+def _trigrams(text: Column) -> Column:
+    """The trigrams of a text in lower case, with one space for each run of other characters than letters."""
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")), F.lit(" "))
+    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))), lambda g: F.length(g) == 3)
+
+
+def detected_languages(texts: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
+    """(key, lang, confidence) of texts(key, text): the language whose profile gives the text's trigrams the greatest
+    probability, and its posterior; texts without letters have none.  A naive Bayes classifier in joins and sums:
+    only distinct trigrams of a text with their counts are shuffled."""
+    grams = texts.select(key, F.explode(_trigrams(F.col("text"))).alias("gram")).where("trim(gram) <> ''").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    base = profiles.where("gram IS NULL").select("lang", F.col("weight").alias("unseen"))
+    by_gram = profiles.where("gram IS NOT NULL").join(base, "lang").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.col("weight") - F.col("unseen")))).alias("gain"))
+    gains = grams.join(by_gram, "gram").select(key, "n", F.explode("gain").alias("lang", "w")).groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("w")).alias("gain"))
+    totals = grams.groupBy(key).agg(F.sum("n").alias("n")).crossJoin(F.broadcast(base))  # a row for each language
+    scores = totals.join(gains, [key, "lang"], "left").select(key, "lang", (F.col("n") * F.col("unseen") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    best = scores.groupBy(key).agg(F.max_by("lang", F.struct("score", "lang")).alias("lang"), F.max("score").alias("top"), F.collect_list("score").alias("all"))
+    return best.select(key, "lang", (1 / F.aggregate(F.transform("all", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, b: a + b)).alias("confidence"))
+
+
 def nearest_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, nearest, distance) of words(word) within one edit of a word of lexicon(entry), ties to the least.
 
@@ -219,9 +251,11 @@ def unigram_segments(texts: DataFrame, pieces: dict[str, float]) -> DataFrame:
 
 
 def dataset_samples(lines: DataFrame, urls: DataFrame, n: int = 10_000, seed: int = 0) -> DataFrame:
-    """urls(dataset, url) of the listed datasets lines(dataset), at most n of each, drawn by a seeded hash (a sampling operator)."""
+    """urls(dataset, url) of the listed datasets lines(dataset), at most n of each, drawn by a seeded hash (a sampling operator).
+
+    Up to spark.sql.optimizer.windowGroupLimitThreshold, Spark keeps the first n of every partition before it shuffles."""
     chosen = urls.join(lines.select("dataset").distinct(), "dataset", "left_semi")
-    w = Window.partitionBy("dataset").orderBy(F.xxhash64("url", F.lit(seed)), "url")
+    w = Window.partitionBy("dataset").orderBy(F.md5(F.concat(F.col("url"), F.lit(f"#{seed}"))), "url")
     return chosen.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
@@ -242,3 +276,19 @@ def cached_table(df_of, spark, path: str) -> DataFrame:
 def piece_counts(pieces: DataFrame) -> DataFrame:
     """(piece, count) of unigram pieces(piece, logprob): probabilities in millionths."""
     return pieces.select("piece", F.round(F.exp("logprob") * 1e6, 3).alias("count"))
+
+
+def trained_pieces(words: DataFrame, size: int = 8_000, longest: int = 8) -> DataFrame:
+    """(piece, logprob) of a unigram model of words(word, cnt): the pieces of up to ``longest`` characters that save most
+    characters over single ones, and all single characters; their log probability is that of their occurrences."""
+    n = F.length("word")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring("word", i, k))))
+    counts = words.where(n > 0).select(F.explode(spans).alias("piece"), "cnt").groupBy("piece").agg(F.sum("cnt").alias("n"))
+    gain = F.when(F.length("piece") == 1, F.lit(2**62)).otherwise(F.col("n") * (F.length("piece") - 1))
+    kept = settle(counts.orderBy(F.desc(gain), "piece").limit(size))
+    return kept.select("piece", F.log(F.col("n") / kept.agg(F.sum("n")).scalar()).alias("logprob"))
+
+
+def megabytes(size: Column) -> Column:
+    """A size in bytes as text in MB with one decimal."""
+    return F.concat(F.format_string("%.1f", F.round(size / 1048576.0, 1)), F.lit(" MB"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -240,14 +241,14 @@ def new_links(links: DataFrame, known: DataFrame) -> DataFrame:
     return keyed.join(known.select(urls.key64(F.col("url")).alias("key")), "key", "left_anti").drop("key")
 
 
-def frontier_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
+def frontier_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(url, depth) of all pages reachable from roots(url) over edges(source, target), breadth first.
 
-    One round a level; every round is a table in the shared folder, and known pages are left out by an anti join."""
+    One round a level until a level has no new page (or as the crawl's setting allows); every round is a table in the shared folder, and known pages are left out by an anti join."""
     edges = settle(edges.where("source IS NOT NULL AND target IS NOT NULL").distinct())
     level = settle(roots.select("url").distinct().withColumn("depth", F.lit(0)))
     known = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         found = level.join(edges, level["url"] == edges["source"]).select(F.col("target").alias("url")).distinct()
         level = settle(found.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
@@ -365,3 +366,54 @@ def maybe_known(links: DataFrame, filter_bits: DataFrame, n: int = 2_000_001, p:
     need = probes.groupBy("url").agg(F.count(F.lit(1)).alias("need"))
     hit = probes.join(filter_bits, "bit", "left_semi").groupBy("url").agg(F.count(F.lit(1)).alias("hit"))
     return need.join(hit, "url").where("hit = need").select("url")
+
+
+# recorded fetches
+
+
+def followed_redirects(log: DataFrame) -> DataFrame:
+    """(request_id, url, root_replaced, cross_host) of a log(request_id, url, redirected_from, crawl_depth): a redirected
+    root page replaces the root of its crawl; a redirect to another host is to be checked against the scope again."""
+    moved = F.col("redirected_from").isNotNull() & (F.col("redirected_from") != F.col("url"))
+    return log.where(moved).select(
+        "request_id", "url", (F.coalesce("crawl_depth", F.lit(0)) == 0).alias("root_replaced"),
+        (urls.host(F.col("url")) != urls.host(F.col("redirected_from"))).alias("cross_host"),
+    )
+
+
+def page_pipeline(fetched: DataFrame, known: DataFrame, sites: DataFrame, max_depth: int = 100) -> DataFrame:
+    """One round of the page pipeline over recorded fetches: (siteindex, url, crawl_depth) to schedule next.
+
+    fetched(siteindex, url, crawl_depth, status_code, links array<string>): pages answered OK give their links one level
+    deeper, in the scope of the site (its root may have been replaced), without fragments, new to known(url), once each."""
+    links = fetched.where((F.col("status_code") == "OK") & (F.coalesce("crawl_depth", F.lit(0)) < max_depth)).select(
+        "siteindex", (F.coalesce("crawl_depth", F.lit(0)) + 1).alias("crawl_depth"), F.explode("links").alias("url")
+    )
+    links = links.withColumn("url", urls.without_fragment(F.col("url"))).where("url <> ''").join(sites.select("siteindex", "rooturl", "scope"), "siteindex")
+    inside = links.where(F.coalesce(urls.in_scope(F.col("url"), F.col("rooturl"), F.col("scope")), F.lit(False)))
+    first = inside.groupBy("siteindex", "url").agg(F.min("crawl_depth").alias("crawl_depth"))
+    return first.join(known.select("url"), "url", "left_anti").select("siteindex", "url", "crawl_depth")
+
+
+def new_exact(links: DataFrame, known: DataFrame) -> DataFrame:
+    """links(url) that aren't in known(url), each once, by the whole address."""
+    return links.where("url IS NOT NULL").select("url").distinct().join(known.select("url"), "url", "left_anti")
+
+
+def resumed_frontier(frontier: DataFrame, done: DataFrame) -> DataFrame:
+    """The entries of a saved frontier(url, ...) that are still to be fetched when a crawl goes on: not in done(url)."""
+    return frontier.dropDuplicates(["url"]).join(done.select("url").distinct(), "url", "left_anti")
+
+
+def agent_allowed_at_root(rules: DataFrame, agent: str) -> DataFrame:
+    """(host, allowed): may the agent read the root of a host at all?"""
+    mine = agent_rules(rules, agent)
+    return mine.select("host", robots_allowed(F.concat(F.lit("http://"), F.col("host"), F.lit("/")), F.col("patterns")).alias("allowed"))
+
+
+def progress_line(minutes: Column, pages: Column, errors: Column, unique: Column, size: Column) -> Column:
+    """The status line of a crawl."""
+    return F.concat_ws(
+        " | ", F.concat(minutes.cast("string"), F.lit(" min")), F.concat(pages.cast("string"), F.lit(" pages")), F.concat(errors.cast("string"), F.lit(" errors")),
+        F.concat(F.format_string("%d", F.floor(unique * 100)), F.lit(" % unique")), F.concat(F.format_string("%.1f", size / 1048576.0), F.lit(" MB")),
+    )

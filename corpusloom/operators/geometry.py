@@ -5,6 +5,8 @@ NumPy over the boxes of one image, grouped by image."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from corpusloom.plans.session import settle
 
 # Thresholds of the detection stages.
 WORD_MIN_SCORE, WORD_NMS_IOU, CHAR_MIN_SCORE, CHAR_NMS_IOU, MIN_NEIGHBOURS = 0.95, 0.15, 0.25, 0.3, 1
+NEIGHBOUR_IOU = 0.5
 KEEP_SCORE, LEXICON_SCORE, OTHER_SCORE = 0.98, 0.80, 0.90
 
 GEOMETRY_SCHEMA = (
@@ -180,34 +183,102 @@ def polygon_iou(a: np.ndarray, b: np.ndarray) -> float:
     return area / whole if whole > 0 else 0.0
 
 
-def merged_boxes(boxes: np.ndarray, scores: np.ndarray, iou_threshold: float, min_score: float, min_neighbours: int) -> tuple[np.ndarray, np.ndarray]:
-    """Non-maximum suppression that averages each kept box with its neighbours, weighted by score above the minimum.
-
-    A box with too few neighbours is dropped and gives its neighbours back."""
-    order, alive, kept, weights = np.argsort(-scores, kind="stable"), np.ones(len(scores), bool), [], []
+def overlap_matrix(boxes: np.ndarray) -> np.ndarray:
+    """The IoU of all pairs of boxes (8 corner coordinates each): of upright ones by their sides, of others by clipping those whose bounds touch."""
+    p = boxes.reshape(-1, 4, 2)
+    low, high = p.min(axis=1), p.max(axis=1)
+    sides = np.maximum(np.minimum(high[:, None], high[None]) - np.maximum(low[:, None], low[None]), 0)
+    common, area = sides.prod(axis=2), (high - low).prod(axis=1)
+    whole = area[:, None] + area[None] - common
+    out = np.divide(common, whole, out=np.zeros_like(common), where=whole > 0)
+    upright = ((p == low[:, None]) | (p == high[:, None])).all(axis=(1, 2))
+    turned = np.triu((common > 0) & ~(upright[:, None] & upright[None]), 1)
+    for i, j in zip(*np.nonzero(turned)):
+        out[i, j] = out[j, i] = polygon_iou(p[i], p[j])
+    return np.round(out, 9)
+
+
+def merged_boxes(
+    boxes: np.ndarray, scores: np.ndarray, iou_threshold: float, min_neighbours: int = 0, neighbour_threshold: float = NEIGHBOUR_IOU, min_score: float = 0.0, classes: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(boxes, scores, class scores) after non-maximum suppression, best first.
+
+    A kept box takes away all worse ones that overlap it by more than the threshold, and is the mean of itself and
+    its neighbours, those beyond the second threshold, weighted by score above the minimum; class scores likewise.
+    A box with too few neighbours goes itself and gives them back, but not what it took away besides."""
+    overlap, order = overlap_matrix(boxes), np.argsort(-scores, kind="stable")
+    place = np.argsort(order)
+    gone = np.zeros(len(scores), bool)
+    kept: list[tuple[int, np.ndarray]] = []
     for i in order:
-        if not alive[i]:
+        if gone[i]:
             continue
-        near = [j for j in order if alive[j] and (j == i or polygon_iou(boxes[i].reshape(-1, 2), boxes[j].reshape(-1, 2)) > iou_threshold)]
-        if len(near) - 1 < min_neighbours:
-            alive[i] = False
-            continue
-        w = np.maximum(scores[near] - min_score, 1e-6)
-        kept.append((boxes[near] * w[:, None]).sum(axis=0) / w.sum())
-        weights.append(scores[i])
-        alive[near] = False
-    return np.array(kept).reshape(-1, boxes.shape[1] if boxes.ndim == 2 else 8), np.array(weights)
+        later = ~gone & (place > place[i])
+        near = later & (overlap[i] > neighbour_threshold)
+        gone |= later & (overlap[i] > iou_threshold)
+        if near.sum() < min_neighbours:
+            gone[near] = False
+        else:
+            near[i] = True
+            w = scores * near - min_score * near
+            kept.append((i, w / w.sum() if w.sum() > 0 else near / near.sum()))
+    at = np.array([i for i, _ in kept], np.int64)
+    weights = np.array([w for _, w in kept]).reshape(len(kept), len(scores))
+    return weights @ boxes.reshape(len(scores), 8), scores[at], weights @ (classes if classes is not None else np.zeros((len(scores), 0)))
 
 
 def suppressed(detections: DataFrame, iou_threshold: float = WORD_NMS_IOU, min_score: float = WORD_MIN_SCORE, min_neighbours: int = MIN_NEIGHBOURS) -> DataFrame:
-    """(image, box, score) of detections(image, box array<double> of 8, score) after suppression, image by image."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = np.array(pdf["box"].tolist(), float).reshape(-1, 8)
-        kept, scores = merged_boxes(boxes, pdf["score"].to_numpy(), iou_threshold, min_score, min_neighbours)
-        return pd.DataFrame({"image": [pdf["image"].iloc[0]] * len(kept), "box": kept.tolist(), "score": scores})
-
-    return detections.where(F.col("score") > min_score).groupBy("image").applyInPandas(run, "image long, box array<double>, score double")
+    """(image, box, score, classes) of detections(image, box array<double> of 8, score[, classes array<double>]) above a
+    score after suppression, image by image; an image's boxes are bounded by its cells."""
+    if "classes" not in detections.columns:
+        detections = detections.withColumn("classes", F.array().cast("array<double>"))
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        boxes, scores = np.array(pdf["box"].tolist(), float).reshape(-1, 8), pdf["score"].to_numpy(float)
+        classes = np.array(pdf["classes"].tolist(), float).reshape(len(boxes), -1)
+        images = pdf["image"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], images[1:] != images[:-1], [True]]))
+        out: list[tuple] = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            order = a + np.lexsort((*boxes[a:b].T[::-1], -scores[a:b]))  # the same result whatever order the rows come in
+            kept = merged_boxes(boxes[order], scores[order], iou_threshold, min_neighbours, classes=classes[order])
+            out += [(images[a], x.tolist(), float(y), z.tolist()) for x, y, z in zip(*kept)]
+        return pd.DataFrame(out, columns=["image", "box", "score", "classes"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if held is None or held.empty else pd.concat([held, pdf], ignore_index=True)
+            whole = pdf["image"] != pdf["image"].iloc[-1] if len(pdf) else pd.Series([], dtype=bool)  # the last image may go on
+            if whole.any():
+                yield merged(pdf[whole])
+            held = pdf[~whole]
+        if held is not None and len(held):
+            yield merged(held)
+
+    rows = detections.where((F.col("score") > min_score) & F.col("image").isNotNull()).select("image", "box", "score", "classes")
+    rows = rows.repartition("image").sortWithinPartitions("image")  # many small images: no call for each
+    return rows.mapInPandas(run, "image long, box array<double>, score double, classes array<double>")
+
+
+def polygon_overlaps(left: DataFrame, right: DataFrame, cell: int = 64) -> DataFrame:
+    """(image, left_id, right_id, overlap): the IoU of convex boxes(image, id, box array<double> of 8) that overlap at all.
+
+    Only boxes of an image whose bounds share a grid cell meet; each pair is clipped once, in Arrow batches."""
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        side = lambda k: F.transform(F.array(*(F.lit(k + 2 * i) for i in range(4))), lambda i: F.get(F.col("box"), i))
+        span = lambda k: F.sequence(F.floor(F.array_min(side(k)) / cell), F.floor(F.array_max(side(k)) / cell))
+        out = df.select("image", F.col("id").alias(f"{name}_id"), F.col("box").alias(f"{name}_box"), F.explode(span(0)).alias("cx"), span(1).alias("ys"))
+        return out.select("image", f"{name}_id", f"{name}_box", "cx", F.explode("ys").alias("cy"))
+
+    pairs = cells(left, "left").join(cells(right, "right"), ["image", "cx", "cy"]).groupBy("image", "left_id", "right_id").agg(F.first("left_box").alias("a"), F.first("right_box").alias("b"))
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([polygon_iou(np.asarray(x, float).reshape(-1, 2), np.asarray(y, float).reshape(-1, 2)) for x, y in zip(a, b)], dtype=float)
+
+    return pairs.select("image", "left_id", "right_id", score("a", "b").alias("overlap")).where("overlap > 0")
 
 
 def detection_line(box: Column, text: Column) -> Column:
@@ -299,18 +370,6 @@ def dense_boxes(maps: DataFrame, stride: int = 4, min_score: float = WORD_MIN_SC
     return cells.select("image", F.array(*(p.cast("double") for p in points)).alias("box"), F.col("c.scores").cast("double").alias("score"))
 
 
-def merged_with_classes(boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, iou_threshold: float, min_score: float) -> tuple[np.ndarray, ...]:
-    """Suppression that averages the class scores of a box's neighbours as it does their corners."""
-    order, alive, out = np.argsort(-scores, kind="stable"), np.ones(len(scores), bool), []
-    for i in order:
-        if alive[i]:
-            near = [j for j in order if alive[j] and (j == i or polygon_iou(boxes[i].reshape(-1, 2), boxes[j].reshape(-1, 2)) > iou_threshold)]
-            w = np.maximum(scores[near] - min_score, 1e-6)[:, None]
-            out.append(((boxes[near] * w).sum(0) / w.sum(), scores[i], (classes[near] * w).sum(0) / w.sum()))
-            alive[near] = False
-    return tuple(np.array(x) for x in zip(*out)) if out else (np.zeros((0, 8)), np.zeros(0), np.zeros((0, classes.shape[1])))
-
-
 def softened_scores(boxes: np.ndarray, scores: np.ndarray, sigma: float = 0.5, min_score: float = 0.001) -> np.ndarray:
     """Soft suppression: a box's score falls with its overlap with better boxes instead of going at once."""
     scores, left = scores.astype(float).copy(), set(range(len(scores)))
@@ -323,3 +382,29 @@ def softened_scores(boxes: np.ndarray, scores: np.ndarray, sigma: float = 0.5, m
             if scores[j] < min_score:
                 left.discard(j)
     return scores
+
+
+def next_capture(files: DataFrame) -> DataFrame:
+    """(number): the number of the next capture, one above that of the last file name of files(name); 1 if there is none."""
+    return files.agg((F.coalesce(F.substring(F.max("name"), 1, 5).try_cast("int"), F.lit(0)) + 1).alias("number"))
+
+
+PAGE_TREE_SCHEMA = "node_id bigint, parent_id bigint, tagName string, text string, before string, after string, display string, visibility string, opacity double, x int, y int, width int, height int"
+
+
+def page_tree(pages: DataFrame, width: int, height: int) -> DataFrame:
+    """Nodes of recorded pages(page_id, json: an array of PAGE_TREE_SCHEMA objects) with their chain of parents, the text
+    with what ::before and ::after add, and whether they can be seen: display, visibility and opacity of the node and of all
+    above it, a box, and some of it inside the view.  Chains are followed by doubling, a round each."""
+    nodes = pages.select("page_id", F.inline(F.from_json("json", f"array<struct<{PAGE_TREE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")))
+    shown = (F.coalesce("display", F.lit("block")) != "none") & (F.coalesce("opacity", F.lit(1.0)) > 0)
+    box = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("x") < width) & (F.col("y") < height) & (F.col("x") + F.col("width") > 0) & (F.col("y") + F.col("height") > 0)
+    nodes = settle(nodes.withColumn("text", F.concat_ws("", "before", "text", "after")).withColumn("shown", shown).withColumn("own", box & (F.coalesce("visibility", F.lit("visible")) == "visible")))
+    up = nodes.select("page_id", "node_id", F.col("parent_id").alias("to"), F.array("parent_id").alias("chain"), "shown")
+    up = settle(up.withColumn("chain", F.filter("chain", lambda x: x.isNotNull())))
+    while not up.where("to IS NOT NULL").isEmpty():
+        above = up.select("page_id", F.col("node_id").alias("to"), F.col("to").alias("to2"), F.col("chain").alias("chain2"), F.col("shown").alias("shown2"))
+        step = up.join(above, ["page_id", "to"], "left")
+        up = settle(step.select("page_id", "node_id", F.col("to2").alias("to"), F.concat("chain", F.coalesce("chain2", F.array().cast("array<bigint>"))).alias("chain"), (F.col("shown") & F.coalesce("shown2", F.lit(True))).alias("shown")))
+    rows = nodes.drop("shown").join(up.select("page_id", "node_id", "chain", "shown"), ["page_id", "node_id"])
+    return rows.select("page_id", "node_id", "tagName", "text", F.col("chain").alias("parents"), (F.col("shown") & F.col("own")).alias("visible"))

@@ -191,14 +191,6 @@ def word_boundary_filter(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d, "text").where(F.col("text").rlike(r"(^|[^\p{L}\p{N}])(école|budget)($|[^\p{L}\p{N}])")).select("page_id", "pos")
 
 
-@query()
-def separator_before_after(spark: SparkSession, d: str) -> DataFrame:
-    """How the hyphen is cut: own token or not, with its neighbours, most frequent first counted."""
-    s = corpus.separator_neighbours(F.col("text"), "-")
-    rows = corpus.interesting(_once(spark, d, "docelttype", "doceltcmd", "text")).where(F.col("text").contains("-")).select(s.alias("s")).where("s IS NOT NULL")
-    return rows.groupBy("s.own", "s.before", "s.after").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     rf"""SELECT page_id, pos, i::INT AS line, trim(string_split(text, chr(10))[i]) AS sentence_line
          FROM {_T} t, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i) WHERE doceltcmd = 'Text' AND trim(string_split(text, chr(10))[i]) <> ''"""
@@ -278,7 +270,7 @@ def sample_by_hash(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def unigram_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Best unigram paths of the documents over the vocabulary's words, scored by their frequency."""
-    v = table(spark, d, "vocabulary").where("cnt > 0").groupBy("word").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "word").limit(15_000)
+    v = table(spark, d, "vocabulary").where("cnt > 0").groupBy("word").agg(F.sum("cnt").alias("cnt"))
     rows = v.select("word", F.log("cnt").alias("s")).collect()
     top = max((r.s for r in rows), default=0.0)
     return corpus.unigram_segments(table(spark, d, "documents").select("doc_id", "text"), {r.word: r.s - top - 5.0 for r in rows})
@@ -608,11 +600,6 @@ def box_iou_join(spark: SparkSession, d: str) -> DataFrame:
     return geometry.chars_to_words(chars, w.where("pos % 2 = 1").withColumnRenamed("pos", "word_id"))
 
 
-@query()
-def line_segmentation(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.segmented_lines(_words(spark, d))
-
-
 @query(
     f"""SELECT word_id, pos, CASE WHEN x + w - 1 > nx THEN nx - x + 1 ELSE w END AS w
         FROM (SELECT block_id AS word_id, pos, x, w, lead(x) OVER (PARTITION BY block_id ORDER BY pos, x, w) AS nx FROM {_WORDS})"""
@@ -629,16 +616,6 @@ def argmax_decode(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.array_position("embedding", top).alias("cls"), top.cast("double").alias("top"))
 
 
-@query()
-def detections_suppressed(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of the order lines as detections of one image an order, suppressed where they overlap."""
-    w = _words(spark, d)
-    x, y, r, b = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
-    box = F.array(*(c.cast("double") for c in (x, y, r, y, r, b, x, b)))
-    score = 0.9 + (F.col("x") % 10) / 100.0
-    return geometry.suppressed(w.select(F.col("block_id").alias("image"), box.alias("box"), score.alias("score")), min_score=0.5, min_neighbours=0)
-
-
 _FILES = [(f"{i:05d}{part}", i * 7 + 1 if i % 5 else 0, 800, 600 + (i % 3 == 0) * (part == "_boxes.png"), i % 7 == 0) for i in range(40) for part in (".json", "_screen.png", "_boxes.png")][:-1]
 
 
@@ -741,12 +718,13 @@ def frontier_refiltered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT lang AS dataset, uri AS url FROM (SELECT lang, uri, row_number() OVER (PARTITION BY lang ORDER BY uri) AS n FROM (SELECT DISTINCT lang, uri FROM documents WHERE uri IS NOT NULL AND lang IS NOT NULL)) WHERE n >= 1"""
+    """SELECT lang AS dataset, uri AS url FROM (SELECT lang, uri, row_number() OVER (PARTITION BY lang ORDER BY md5(uri || '#0'), uri) AS n
+       FROM (SELECT DISTINCT lang, uri FROM documents WHERE uri IS NOT NULL AND lang IS NOT NULL)) WHERE n <= 100"""
 )
 def dataset_url_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses by dataset (the documents' labels), with a sample size above any list's length."""
+    """At most 100 addresses of each dataset (the documents' labels), drawn by a seeded hash."""
     listed = table(spark, d, "documents").where("uri IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").alias("dataset"), F.col("uri").alias("url")).distinct()
-    return corpus.dataset_samples(listed.select("dataset"), listed, n=2_000_000_000)
+    return corpus.dataset_samples(listed.select("dataset"), listed, n=100)
 
 
 @query("SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN 0 ELSE least(round_even(c_acctbal, 0), 4999) END)::INT AS x FROM customer")
@@ -768,3 +746,6 @@ def links_maybe_known(spark: SparkSession, d: str) -> DataFrame:
     """Requested addresses a Bloom filter of the corpus's pages takes for known."""
     plain = lambda df, c: df.where(F.col(c).isNotNull()).select(urls.without_fragment(F.col(c)).alias("url"))
     return crawl.maybe_known(plain(_requests(spark, d), "url"), crawl.bloom_filter(plain(table(spark, d, "nlpdocs"), "uri")))
+
+
+from corpusloom.plans import more_queries  # noqa: E402, F401  registers its queries beside these

@@ -1,16 +1,18 @@
 """The line-oriented structured text format: element rows <-> lines <-> files.
 
 A file is a document; its lines are properties, delimiters and text blocks.
-Rows are (doc, pos, docelttype, doceltcmd, nestinglevel, text) as in the
+Rows are (doc, pos, docelttype, doceltcmd, nestinglevel, text[, coords]) as in the
 element stream.  Reading and writing are expressions over one document's lines
 or rows; only the grouping of a document's rows shuffles."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.fs as pa_fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -27,6 +29,7 @@ SCHEMA = "doc string, pos int, docelttype string, doceltcmd string, nestinglevel
 def parse_documents(files: DataFrame, strict: bool = True) -> DataFrame:
     """Element rows of files(doc, value): one row for each whole file.
 
+    The Start rows of table cells have coordinates in ``coords``: row,column, with spans row:span,column:span.
     Malformed delimiters raise an error (``strict``) or are dropped; empty lines are skipped.
     Text rows carry the level of the last delimiter, list items of the short form one more."""
     lines = files.select("doc", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).where(F.col("value") != "")
@@ -36,7 +39,7 @@ def parse_documents(files: DataFrame, strict: bool = True) -> DataFrame:
         "doc",
         "line",
         "value",
-        F.when(v.startswith(PROPERTY), F.regexp_extract(v, r"^## NLPTextDocument (\S+) ?(.*)$", 1)).alias("name"),
+        F.when(v.startswith(PROPERTY), F.regexp_extract(v, rf"^{PROPERTY}(\S+) ?(.*)$", 1)).alias("name"),
         F.when(v.startswith("##") & ~v.startswith(PROPERTY), F.coalesce(F.nullif(part(1), F.lit("")), F.lit("?"))).alias("level"),
         part(2).alias("kind"),
         part(3).alias("cmd"),
@@ -50,10 +53,11 @@ def parse_documents(files: DataFrame, strict: bool = True) -> DataFrame:
         lines = lines.where(~bad)
     w = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("at", F.coalesce(F.last(F.col("level").try_cast("int"), ignorenulls=True).over(w), F.lit(1)))
-    row = lambda kind, cmd, level, text: F.struct(
-        kind.alias("docelttype"), cmd.alias("doceltcmd"), level.cast("int").alias("nestinglevel"), unescaped_block(text).alias("text")
-    )
     none = F.lit(None).cast("string")
+
+    def row(kind: Column, cmd: Column, level: Column, text: Column, coords: Column = none) -> Column:
+        return F.struct(kind.alias("docelttype"), cmd.alias("doceltcmd"), level.cast("int").alias("nestinglevel"), unescaped_block(text).alias("text"), coords.alias("coords"))
+
     title = F.nullif(F.trim(F.substring_index("rest", ">>", 1)), F.lit(""))
     items = F.filter(F.transform(F.split(F.regexp_extract("rest", r"^.*?>>(.*)$", 1), r"\|\|"), lambda x: F.trim(x)), lambda x: x != "")
     short = F.concat(
@@ -62,12 +66,13 @@ def parse_documents(files: DataFrame, strict: bool = True) -> DataFrame:
         F.array(row(F.col("kind"), F.lit("End"), F.col("at"), none)),
     )
     started = F.when(F.col("kind").isin("Section", "NavigationList", "List", "Table"), F.nullif(F.col("rest"), F.lit("")))
-    value = F.trim(F.regexp_extract("value", r"^## NLPTextDocument (\S+) ?(.*)$", 2))
+    cell = F.when(F.col("kind").isin("TableHeader", "TableCell"), F.nullif(F.col("rest"), F.lit("")))
+    value = F.trim(F.regexp_extract("value", rf"^{PROPERTY}(\S+) ?(.*)$", 2))
     rows = (
         F.when(F.col("name").isin("Title", "Uri"), F.array(row(F.lit("Document"), F.col("name"), F.lit(1), value)))
-        .when(F.col("name").isNotNull(), F.array().cast("array<struct<docelttype:string,doceltcmd:string,nestinglevel:int,text:string>>"))
+        .when(F.col("name").isNotNull(), F.array().cast("array<struct<docelttype:string,doceltcmd:string,nestinglevel:int,text:string,coords:string>>"))
         .when(F.col("cmd") == "Items", short)
-        .when(F.col("cmd") == "Start", F.array(row(F.col("kind"), F.lit("Start"), F.col("at"), started)))
+        .when(F.col("cmd") == "Start", F.array(row(F.col("kind"), F.lit("Start"), F.col("at"), started, cell)))
         .when(F.col("cmd") == "End", F.array(row(F.col("kind"), F.lit("End"), F.col("at"), none)))
         .otherwise(F.array(row(F.lit("TextBlock"), F.lit("Text"), F.col("at"), F.col("value"))))
     )
@@ -81,8 +86,8 @@ def parse_documents(files: DataFrame, strict: bool = True) -> DataFrame:
 
 def document_metadata(files: DataFrame) -> DataFrame:
     """(doc, title, uri, timestamp, metadata) of files(doc, value)."""
-    value = lambda name: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^## NLPTextDocument {name} (.*)$", 1)), F.lit(""))
-    pairs = F.regexp_extract_all("value", F.lit(r"(?m)^## NLPTextDocument Metadata ([^\r\n]*)$"), F.lit(1))
+    value = lambda name: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{PROPERTY}{name} (.*)$", 1)), F.lit(""))
+    pairs = F.regexp_extract_all("value", F.lit(rf"(?m)^{PROPERTY}Metadata ([^\r\n]*)$"), F.lit(1))
     entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), p.substr(F.locate("=", p) + 1, F.length(p))))
     return files.select("doc", value("Title").alias("title"), value("Uri").alias("uri"), value("Timestamp").alias("timestamp"), F.map_from_entries(entries).alias("metadata"))
 
@@ -102,6 +107,8 @@ def render_documents(rows: DataFrame, compact: bool = True) -> DataFrame:
     one_line = F.replace(F.col("text"), F.lit("\n"), F.lit("\\n"))
     text, kind, cmd, level = one_line, F.col("docelttype"), F.col("doceltcmd"), F.col("nestinglevel").cast("int")
     rows = rows.dropDuplicates(["doc", "pos"])
+    if "coords" not in rows.columns:
+        rows = rows.withColumn("coords", F.lit(None).cast("string"))
     rows = _with_end_titles(_compacted(rows) if compact else rows)
     opens = F.when((cmd == "Start") & kind.isin("List", "NavigationList"), 1).otherwise(0)
     rows = rows.withColumn("_l", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -119,14 +126,14 @@ def render_documents(rows: DataFrame, compact: bool = True) -> DataFrame:
         .when(F.col("_short") & (cmd == "Text"), text)
         .when(F.col("_short"), F.lit(None))
         .when(cmd == "Text", escaped_block(F.col("text")))
-        .when(cmd == "Start", F.concat(header, F.lit("Start "), F.coalesce(text, F.lit(""))))
+        .when(cmd == "Start", F.concat(header, F.lit("Start "), F.coalesce(text, "coords", F.lit(""))))
         .otherwise(F.concat(header, F.lit("End"), F.coalesce(F.concat(F.lit(" <<"), shown, F.lit(">>")), F.lit(""))))
     )
     rows = rows.withColumn("_line", line).withColumn("_group", F.when(F.col("_short"), F.col("_l")).otherwise(-F.col("pos") - 1))
     parts = rows.where(F.col("_line").isNotNull()).groupBy("doc", "_group").agg(
         F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "_line"))).alias("p")
     )
-    one = F.when(F.col("_group") > 0, F.concat(F.col("p")[0]["_line"], F.array_join(F.slice("p._line", 2, 1_000_000), " || "))).otherwise(F.col("p")[0]["_line"])
+    one = F.when(F.col("_group") > 0, F.concat(F.col("p")[0]["_line"], F.array_join(F.slice("p._line", 2, F.greatest(F.size("p"), F.lit(1))), " || "))).otherwise(F.col("p")[0]["_line"])
     lines = parts.select("doc", F.struct("pos", one.alias("line")).alias("l"))
     return lines.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("value"))
 
@@ -168,8 +175,20 @@ def _with_end_titles(rows: DataFrame) -> DataFrame:
 
 
 def write_documents(rows: DataFrame, folder: str) -> None:
-    """One line-oriented text file for each partition of documents, each document a record of its own file name column."""
-    render_documents(rows).write.partitionBy("doc").text(folder)
+    """A file of a document's lines for each document, doc.nlp.txt below the folder (in its sub-folders, if doc has slashes), so
+    that load_documents reads them again.  Each task writes the files of its documents; a repeated task writes the same files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for doc, value in zip(batch.column("doc").to_pylist(), batch.column("value").to_pylist()):
+                path = f"{base}/{doc.lstrip('/')}.nlp.txt"
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(path) as f:
+                    f.write(value.encode())
+            yield batch.select(["doc"])
+
+    render_documents(rows).mapInArrow(write, "doc string").write.format("noop").mode("overwrite").save()
 
 
 class StructuredTextSource(DataSource):
@@ -191,13 +210,14 @@ class _Reader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        return [InputPartition(str(p)) for p in sorted(Path(self.folder).rglob("*.nlp.txt"))]
+        fs, path = pa_fs.FileSystem.from_uri(self.folder)
+        found = fs.get_file_info(pa_fs.FileSelector(path, recursive=True))
+        return [InputPartition(p) for p in sorted(f.path for f in found if f.is_file and f.path.endswith(".nlp.txt"))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8-sig") as f:
-            for pos, row in enumerate(element_rows(partition.value, f)):
+        fs, _ = pa_fs.FileSystem.from_uri(self.folder)
+        with fs.open_input_stream(partition.value) as f, io.TextIOWrapper(f, encoding="utf-8-sig") as lines:
+            for pos, row in enumerate(element_rows(partition.value, lines)):
                 yield (partition.value, pos, *row)
 
 

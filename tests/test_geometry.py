@@ -63,7 +63,7 @@ def test_dense_boxes(spark):
 
 def test_class_scores_and_soft_suppression():
     boxes = np.stack([square(0, 0).ravel(), square(0.1, 0).ravel(), square(9, 9).ravel()])
-    kept, scores, classes = g.merged_with_classes(boxes, np.array([0.9, 0.8, 0.7]), np.eye(3), 0.3, 0.0)
+    kept, scores, classes = g.merged_boxes(boxes, np.array([0.9, 0.8, 0.7]), 0.3, classes=np.eye(3))
     assert len(kept) == 2 and classes[0].sum() == pytest.approx(1.0) and scores[0] == 0.9
     soft = g.softened_scores(boxes, np.array([0.9, 0.8, 0.7]))
     assert soft[0] == 0.9 and soft[1] < 0.3 and soft[2] == pytest.approx(0.7)
