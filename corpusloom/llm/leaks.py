@@ -97,10 +97,11 @@ class Items:
         runs, owner = np.concatenate(runs), np.concatenate(owner)
         order = np.argsort(runs, kind="stable")
         self.runs, self.owner = runs[order], owner[order]
-        for whole in (False, True):  # item passages as long as a run, or also as a document's passage
+        for whole in (False, True):  # item passages as long as a run, or as a document's passage
             parts, of, at = [], [], []
             for k, item in enumerate(self.items):
-                for width in sorted({RUN, min(len(item), WHOLE[0])} if whole else {RUN}) if len(item) >= RUN else ():
+                width = min(len(item), WHOLE[0]) if whole else RUN
+                if len(item) >= RUN:
                     begin = sorted({*range(0, len(item) - width + 1, ITEM_STEP), len(item) - width})
                     parts += [item[b : b + width] for b in begin]
                     of += [k] * len(begin)
@@ -361,10 +362,27 @@ def paraphrase_shares(values: np.ndarray, part_at: tuple[np.ndarray, np.ndarray]
 
 
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray, whole: bool):
-    windows, owner, window_begin = items.windows[whole]
-    bounds_ = np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int64)
-    vectors = _unit(_weights(np.concatenate(windows), bounds_, idf, basis)).astype(np.float32) if windows else np.zeros((0, basis.shape[1]), np.float32)
-    index, n = LatentIndex(vectors), len(items.ids)
+    def lookup(long: bool) -> tuple[LatentIndex, np.ndarray, np.ndarray]:
+        windows, owner, begin = items.windows[long]
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int64)
+        vectors = _unit(_weights(np.concatenate(windows), bounds, idf, basis)).astype(np.float32) if windows else np.zeros((0, basis.shape[1]), np.float32)
+        return LatentIndex(vectors), owner, begin
+
+    short, long, n = lookup(False), lookup(True) if whole else None, len(items.ids)
+
+    def candidates(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, begin of the item's best passage); only whole passages are held against those of their length."""
+        x, size = _unit(_weights(flat, bounds, idf, basis)), np.diff(bounds)
+        found = []
+        for (index, owner, begin), rows in ((short, size < WHOLE[0]), (long, size >= WHOLE[0])) if whole else ((short, size >= 0),):
+            rows = np.flatnonzero(rows)
+            query, window, cosine = index.search(x[rows], PARAPHRASE_COSINE if whole else COSINE)
+            query, item = rows[query], owner[window]
+            order = np.lexsort((window, -cosine, item, query))  # of each passage and item the best
+            pair = query[order] * n + item[order]
+            best = order[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else order
+            found.append((query[best], item[best], begin[window[best]]))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def verbatim(flat: np.ndarray, bounds: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Which of the candidate pairs have RUN words in a row in common."""
@@ -385,15 +403,11 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, whole: bool):
             p = Passages(batch, whole)
             keys, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
             for a, flat, bounds in p.chunks():
-                query, window, cosine = index.search(_unit(_weights(flat, bounds, idf, basis)), PARAPHRASE_COSINE if whole else COSINE)
-                order = np.lexsort((window, -cosine, owner[window], query))  # of each passage and item the best
-                pair = query[order] * n + owner[window][order]
-                best = order[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else order
-                query, window = query[best], window[best]
-                item, doc = owner[window], p.doc[a + query]
+                query, item, item_begin = candidates(flat, bounds)
+                doc = p.doc[a + query]
                 if whole:
                     begin = p.offsets[doc] + p.begin[a + query]
-                    start = begin - window_begin[window]
+                    start = begin - item_begin
                     lo = np.maximum(start - RUN // 2, p.offsets[doc])
                     hi = np.minimum(p.offsets[doc + 1], start + items.size[item] + RUN + RUN // 2)
                     share = paraphrase_shares(p.values, (begin, begin + np.diff(bounds)[query]), (lo, np.maximum(lo, hi)), items, item)

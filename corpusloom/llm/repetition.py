@@ -3,10 +3,13 @@
 Weak supervision.  Five rules measure a document's repetition each in its own
 way and vote for it, against it, or abstain.  Spark counts the patterns of
 votes over all documents (at most 3^5); expectation-maximisation on the pattern
-counts estimates how far each rule can be trusted, and gives every pattern a
-posterior probability.  The rule that measures the share itself is an anchor of
-known accuracy, and no other rule may outweigh it.  Documents above a low
-posterior are then held against the exact share.
+counts estimates the rules' accuracies and gives each pattern a posterior
+probability, which decides: a document is taken from POSTERIOR upwards.  The rule
+that measures the share of characters is what repetition is defined by: where it
+votes, its vote is the label, from which the accuracies of the four others are
+learnt; where it abstains they decide.  Learning without labels was tried and
+drifts to what the four rules, which depend on each other, have in common.  An
+exact check of the share follows, as the rule abstains between its two bounds.
 
 The text is read in lower case with every run of other characters than letters
 and digits as one space.  Null, empty and short texts (under 31 characters) have
@@ -27,7 +30,8 @@ from corpusloom.plans.session import settle
 
 WINDOW = 30
 MIN_SHARE = 0.3
-CANDIDATE = 0.02
+POSTERIOR = 0.5
+SMOOTHING = 1.0
 #: (votes for from, votes against up to) of each rule's measure.
 RULES = {
     "share": (0.3, 0.2),
@@ -36,7 +40,7 @@ RULES = {
     "run_share": (0.25, 0.1),
     "word_share": (0.62, 0.45),
 }
-ANCHOR, MAX_TRUST = "share", 1.0
+LABEL = "share"
 _FIELDS = tuple(RULES)
 
 
@@ -137,19 +141,16 @@ def posteriors(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
         return {}
     count = np.array([patterns[k] for k in keys], float)
     v = np.array([[int(c) for c in k] for k in keys])
-    yes, no, anchor = v == 1, v == 0, _FIELDS.index(ANCHOR)
-    p = np.where(yes[:, anchor], 0.9, np.where(no[:, anchor], 0.02, 0.3))
+    label, rules = v[:, _FIELDS.index(LABEL)], np.delete(v, _FIELDS.index(LABEL), axis=1)
+    yes, no, known = rules == 1, rules == 0, label != 2
+    p = np.where(known, label, (yes.sum(1) + 0.5) / ((yes | no).sum(1) + 1)).astype(float)
     for _ in range(rounds):
-        prior = np.clip((p * count).sum() / count.sum(), 1e-3, 0.5)
         w1, w0 = (p * count)[:, None], ((1 - p) * count)[:, None]
-        hit = ((w1 * yes).sum(0) + 1) / ((w1 * (yes | no)).sum(0) + 2)
-        false = ((w0 * yes).sum(0) + 1) / ((w0 * (yes | no)).sum(0) + 2)
-        up, down = np.log(hit / false), np.log((1 - hit) / (1 - false))
-        trust = np.full(len(_FIELDS), MAX_TRUST)
-        up, down = np.clip(up, 0, trust), np.clip(down, -trust, 0)
-        up[anchor], down[anchor] = 7.0, -7.0
-        odds = np.log(prior / (1 - prior)) + (yes * up + no * down).sum(1)
-        new = 1 / (1 + np.exp(-odds))
+        prior = np.log((w1.sum() + SMOOTHING) / (w0.sum() + SMOOTHING))
+        hit = ((w1 * yes).sum(0) + SMOOTHING) / ((w1 * (yes | no)).sum(0) + 2 * SMOOTHING)
+        false = ((w0 * yes).sum(0) + SMOOTHING) / ((w0 * (yes | no)).sum(0) + 2 * SMOOTHING)
+        odds = prior + (yes * np.log(hit / false) + no * np.log((1 - hit) / (1 - false))).sum(1)
+        new = np.where(known, label, 1 / (1 + np.exp(-odds)))
         if np.abs(new - p).max() < 1e-9:
             break
         p = new
@@ -167,6 +168,6 @@ def repetition(documents: DataFrame) -> DataFrame:
 
 
 def repetitive(documents: DataFrame) -> DataFrame:
-    """(doc_id) of the documents of which MIN_SHARE or more repeats their own earlier text."""
-    found = repetition(documents).where((F.col("posterior") >= CANDIDATE) & (F.col("share") >= MIN_SHARE))
+    """(doc_id) of the documents that are probably repetitive and of which MIN_SHARE or more repeats their own earlier text."""
+    found = repetition(documents).where((F.col("posterior") >= POSTERIOR) & (F.col("share") >= MIN_SHARE))
     return found.select("doc_id").distinct()

@@ -1,6 +1,7 @@
 """The models: gradients, held-out accuracy, expectation-maximisation, character model."""
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from corpusloom.llm import language, repetition
@@ -53,7 +54,16 @@ def test_language_of_held_out_texts():
     assert [language.LANGUAGES[i] if i is not None else None for i in best] == ["en", "fr", "de", "ja", None, None]
 
 
-def test_expectation_maximisation_follows_the_anchor():
+def test_expectation_maximisation():
     p = repetition.posteriors({"00000": 900, "11111": 60, "10000": 5, "22222": 20, "02111": 15})
-    assert p["11111"] > 0.9 and p["10000"] > repetition.CANDIDATE and p["00000"] < 0.01 and p["02111"] < p["11111"]
+    assert p["11111"] > 0.9 and p["10000"] >= repetition.POSTERIOR and p["00000"] < 0.01 and p["02111"] < repetition.POSTERIOR
+    p = repetition.posteriors({"00000": 900, "11111": 60, "10000": 5, "21111": 20, "20000": 15, "22222": 3})
+    assert p["21111"] > 0.9 and p["20000"] < 0.1 and p["20000"] < p["22222"] < p["21111"]
     assert repetition.posteriors({}) == {}
+
+
+@pytest.mark.parametrize("clean", [100, 100_000, 10**9, 10**12])
+@pytest.mark.parametrize("rest", [{}, {"11111": 50}, {"11111": 10**6, "01111": 10**5}, {"02111": 3000, "20000": 10**4}])
+def test_rare_repetition_is_kept(clean, rest):
+    p = repetition.posteriors({"10000": 5, "00000": clean, **rest})
+    assert p["10000"] >= repetition.POSTERIOR and p["00000"] < repetition.POSTERIOR
