@@ -7,8 +7,8 @@ colon) gets a hash of its normalised content; subtrees as a whole aren't
 hashed.  Spark counts the pages of each host on which a hash comes back; a
 section whose heading (or first leaf) recurs is deleted together with everything
 below it.  What hangs directly at level 1 outside any section is taken as page
-chrome by its position, so what remains inside the surviving sections is the
-main body.
+chrome by its position, unless the page has no other text at all; so what
+remains inside the surviving sections is the main body.
 
 Nulls: rows without page_id or pos are ignored; a null text never is
 boilerplate; a null docelttype is resolved from the neighbouring rows; a null
@@ -64,7 +64,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     cased = F.regexp_replace(short, r"(?<=\S\s{1,3})\p{Lu}[\p{L}\p{M}.’']*", "X")
     slots = (
         F.when(short.rlike(r"[,，]\s*[^,，]+$"), F.concat(F.lit("… "), F.regexp_extract(short, r"[,，]\s*([^,，]+)$", 1)))
-        .when(short.rlike(r"^\s*[^:：・\n]{1,40}[:：・]"), F.concat(F.regexp_extract(short, r"^\s*([^:：・\n]{1,40})[:：・]", 1), F.lit(" …")))
+        .when(short.rlike(r"^\s*[^:：・\n]+[:：・]"), F.concat(F.regexp_extract(short, r"^\s*([^:：・\n]+)[:：・]", 1), F.lit(" …")))
         .when(~short.rlike(r"[\p{Lu}\p{Ll}]"), F.regexp_extract(short, r"^\s*(\S+)", 1))
         .otherwise(cased)
     )
@@ -82,7 +82,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
         F.when(F.col("doceltcmd") == "Uri", is_pdf(t)).alias("uri_pdf"),
         F.when(
             (F.col("doceltcmd") == "Text") & ~short.rlike(r"[.!?。！？]\s*$"),
-            norm(F.regexp_extract(short, r"^\s*([\p{L}\p{M} ’']{2,40}?)\s*[:：]", 1)),
+            norm(F.regexp_extract(short, r"^\s*([\p{L}\p{M} ’']{2,}?)\s*[:：]", 1)),
         ).alias("label"),
         *carry,
     )
@@ -117,9 +117,11 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     in_section = F.coalesce(F.col("top.section"), F.lit(False))
     in_list = F.coalesce(F.col("top.list"), F.lit(False))
     level1_text = (F.col("level") == 1) & ~F.col("is_doc") & (F.col("cmd") == "Text")
-    return rows.withColumns(
+    # a page without any text below level 1 but in lists has nothing but its level-1 rows for a body
+    bodied = F.max((F.col("level") > 1) & ~in_list & ~F.col("is_doc") & (F.col("cmd") == "Text") & F.col("has_text")).over(Window.partitionBy("page_id"))
+    return rows.withColumn("bodied", bodied).withColumns(
         {
-            "outside": level1_text | (in_list & ~F.col("is_doc")),
+            "outside": F.col("bodied") & (level1_text | (in_list & ~F.col("is_doc"))),
             "in_section": in_section & ~F.col("is_doc"),
             "top_key": F.when(in_section, F.col("top.key")),
             # keys that may recur: own heading or label; for the first block of a section its leaf and its slots
@@ -129,7 +131,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
             "head_key": F.when((F.col("level") == 1) & ~F.col("is_doc") & F.col("has_text"), _h("head", F.col("n"))),
             "body_key": F.when((F.col("level") == 1) & in_section, F.col("top.key")),
         }
-    ).drop("again", "n", "slots", "label", "long", "title", "top", "first", "uri_pdf")
+    ).drop("again", "bodied", "n", "slots", "label", "long", "title", "top", "first", "uri_pdf")
 
 
 def recurring(rows: DataFrame, pages: DataFrame) -> DataFrame:

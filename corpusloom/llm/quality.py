@@ -1,8 +1,13 @@
 """Problem 1: per-document text quality statistics.
 
 All statistics are row-local sums over the lines of a block, computed over Arrow
-batches in the scan before any shuffle; a page's are their sums over its main body.  Fixed
-thresholds then give a reason for every failed rule.
+batches in the scan before any shuffle; a page's are their sums over its main
+body.  Published rules with their fixed thresholds then give a reason for every
+failed one (``published``).  They are made for long texts in English: four in five
+bodies of these pages that fail one are prose, most of them Thai, which has no
+full stops, or Japanese and Chinese, whose runs of letters aren't words.  A body
+that fails any is therefore held against a second, own set of rules for all
+scripts (``reasons``), of which ``not_prose`` decides.
 
 Nulls, empty texts and pages without any body text give zero statistics and no
 failure; repeated rows count once; extra columns are ignored.
@@ -21,7 +26,12 @@ from pyspark.sql import types as T
 from corpusloom.llm import chars
 from corpusloom.llm.mainbody import main_body
 
-#: Fixed thresholds of the rules.
+# Fixed values of published rules.  Rae et al. 2021, Scaling Language Models (Gopher), table A1: words, their mean length, hash
+# signs and ellipses a word, lines with bullets, lines that end in ellipses, words with a letter, stop words.
+GOPHER = {"words": (50, 100_000), "mean_word": (3, 10), "marks": 0.1, "bullets": 0.9, "ellipses": 0.3, "letter_words": 0.8, "stop_words": 2}
+# Penedo et al. 2024, The FineWeb Datasets, section 3.6: lines that end in punctuation, lines under 30 characters.
+FINEWEB = {"punctuated": 0.12, "short_lines": 0.67, "short": 30}
+#: Fixed thresholds of the own rules.
 MIN_PROSE_SHARE = 0.5
 SHORT_LINE = 60
 MAX_SYMBOL_SHARE = 0.22
@@ -38,7 +48,7 @@ COMMON_WORDS = (
     "el los las y por un una il di che e per non lo в и на не что с по для"
 )
 
-_FIELDS = ("visible", "letters", "symbols", "digits", "broken", "prose", "words", "sentences", "lines", "short", "punctuated", "bullets", "common", "code_lines", "listed")
+_FIELDS = ("visible", "letters", "symbols", "digits", "broken", "prose", "words", "sentences", "lines", "short", "punctuated", "bullets", "common", "code_lines", "listed", "marks", "ellipses", "letter_words", "tiny")
 
 
 def _among(cp: np.ndarray, chars: str) -> np.ndarray:
@@ -91,6 +101,12 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     word_start = np.zeros(len(cp), bool)
     word_start[w0] = True
     words = per_line(word_start)
+    letter_run = chars.running(lm)
+    word_start[w0] = letter_run[w1] > letter_run[w0]
+    letter_words = per_line(word_start)
+    dot, dots = cp == ord("."), cp == ord("…")
+    triple = dot & _shift(dot, -1) & _shift(_shift(dot, -1), -1) & ~_shift(dot, 1)
+    marks = per_line((cp == ord("#")) | dots | triple)
     low_cp = chars.lower_table()[cp]
     common_at = np.zeros(len(cp), bool)
     short = (w1 - w0) <= 6
@@ -104,6 +120,8 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
         columns = columns + np.bincount(at[inside], minlength=len(starts))
     first = np.minimum(starts, max(len(cp) - 1, 0))
     bullet = (visible > 0) & _among(cp, "-•*·▪■–")[first] & (ends_at > starts) if len(cp) else np.zeros(len(starts), bool)
+    final = np.minimum(np.maximum(ends_at - 1, 0), max(len(cp) - 1, 0))
+    ends_so = (ends_at > starts) & (dots | (dot & _shift(dot, 1) & _shift(_shift(dot, 1), 1)))[final] if len(cp) else np.zeros(len(starts), bool)
     thai = per_line((cp >= 0x0E00) & (cp <= 0x0E7F)) * 2 > letters
     cjk = per_line(((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x4E00) & (cp <= 0x9FFF))) * 2 > letters
     clean = (broken <= MAX_BROKEN_SHARE * visible) & (code * 25 <= visible) & (letters >= MIN_LETTER_SHARE * visible)
@@ -116,6 +134,7 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
         "words": words, "sentences": np.where(prose, np.maximum(stops, 1), 0), "lines": full, "short": full & (ends_at - starts < SHORT_LINE),
         "punctuated": full & (stops > 0), "bullets": bullet, "common": common,
         "code_lines": full & ((code * 25 > visible) | (hexed > 0)), "listed": listed,
+        "marks": marks, "ellipses": ends_so, "letter_words": letter_words, "tiny": full & (ends_at - starts < FINEWEB["short"]),
     }
     n = len(bounds) - 1
     return {k: np.bincount(row, weights=v, minlength=n).astype(np.int32) for k, v in by_line.items()}
@@ -169,6 +188,17 @@ def quality_of(body: DataFrame, nlpdocs: DataFrame) -> DataFrame:
         }
     )
     thin = F.col("prose_share") < MIN_PROSE_SHARE
+    published = {
+        "gopher_words": ~F.col("words").between(*GOPHER["words"]),
+        "gopher_mean_word": ~F.col("mean_word").between(*GOPHER["mean_word"]),
+        "gopher_marks": F.col("marks") > GOPHER["marks"] * F.col("words"),
+        "gopher_bullets": F.col("bullet_share") > GOPHER["bullets"],
+        "gopher_ellipses": F.col("ellipses") > GOPHER["ellipses"] * F.col("lines"),
+        "gopher_letter_words": F.col("letter_words") < GOPHER["letter_words"] * F.col("words"),
+        "gopher_stop_words": F.col("common") < GOPHER["stop_words"],
+        "fineweb_punctuated": F.col("punctuated_share") <= FINEWEB["punctuated"],
+        "fineweb_short_lines": F.col("tiny") >= FINEWEB["short_lines"] * F.col("lines"),
+    }
     rules = {
         "not_prose": thin,
         "broken_text": F.col("broken_share") > MAX_BROKEN_SHARE,
@@ -181,10 +211,10 @@ def quality_of(body: DataFrame, nlpdocs: DataFrame) -> DataFrame:
         "no_common_words": thin & (F.col("common_share") < MIN_COMMON_SHARE),
         "long_words": thin & (F.col("mean_word") > MAX_MEAN_WORD),
     }
-    failed = F.filter(F.array(*(F.when((F.col("visible") > 0) & r, F.lit(name)) for name, r in rules.items())), lambda x: x.isNotNull())
-    return df.withColumn("reasons", failed).withColumn("junk", thin & F.arrays_overlap("reasons", F.array(*map(F.lit, JUNK))))
+    failed = lambda rs: F.filter(F.array(*(F.when((F.col("visible") > 0) & r, F.lit(name)) for name, r in rs.items())), lambda x: x.isNotNull())
+    return df.withColumn("published", failed(published)).withColumn("reasons", failed(rules)).withColumn("junk", thin & F.arrays_overlap("reasons", F.array(*map(F.lit, JUNK))))
 
 
 def junk_pages(quality: DataFrame) -> DataFrame:
-    """(page_id) whose main body as a whole isn't prose; never a PDF."""
-    return quality.where(~F.col("pdf") & F.array_contains("reasons", "not_prose")).select("page_id")
+    """(page_id) whose main body as a whole fails a published rule and, by the check, isn't prose; never a PDF."""
+    return quality.where(~F.col("pdf") & (F.size("published") > 0) & F.array_contains("reasons", "not_prose")).select("page_id")

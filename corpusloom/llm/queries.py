@@ -53,14 +53,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of the annotated blocks; the operator itself takes any block."""
     wanted = table(spark, d, "annotated_blocks").select("page_id", "pos").distinct()
     blocks = table(spark, d, "textdf").select("page_id", "pos", "text").where("text IS NOT NULL").join(wanted, ["page_id", "pos"], "left_semi")
-    words = sentences.lattice_dictionary(table(spark, d, "vocabulary"))
-    return sentences.block_sentences(blocks.dropDuplicates(["page_id", "pos"]), words)
+    words, openers = sentences.lattice_dictionary(table(spark, d, "vocabulary")), sentences.opening_words(_text_blocks(spark, d))
+    return sentences.block_sentences(blocks.dropDuplicates(["page_id", "pos"]), words, openers)
+
+
+def _text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "textdf").where("docelttype = 'TextBlock' AND text IS NOT NULL").select("text")
 
 
 def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of every TextBlock."""
-    words = sentences.lattice_dictionary(table(spark, d, "vocabulary"))
-    return sentences.block_sentences(sentences.text_blocks(table(spark, d, "textdf")), words)
+    words, openers = sentences.lattice_dictionary(table(spark, d, "vocabulary")), sentences.opening_words(_text_blocks(spark, d))
+    return sentences.block_sentences(sentences.text_blocks(table(spark, d, "textdf")), words, openers)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

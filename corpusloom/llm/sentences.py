@@ -1,12 +1,14 @@
 """Problem 7: sentence boundaries across languages and scripts.
 
-Spaced scripts: every terminator with what surrounds it is a candidate; a
-lattice of readings (abbreviation, initial, ordinal, decimal, host name,
-ellipsis, quoted speech, end) decides by the token before and the opening word
-after it.  Thai: the words before a gap are cut by the cheapest path through a
-lattice of dictionary words, and the gap is classified by them and by final
-particles.  Chinese and Japanese are split at wide stops outside quotations and
-at line ends only; a space is no boundary there.  Direct speech belongs to the sentence reporting it.
+Spaced scripts: every terminator with what surrounds it is a candidate; its
+reading (abbreviation, initial, ordinal, decimal, host name, ellipsis, quoted
+speech, end) is decided by the token before and the opening word after it, one
+candidate at a time.  Which words open sentences is learnt: those that blocks begin
+with.  Scripts without spaces: the words around a gap are cut by the cheapest path
+through a lattice of dictionary words, and the gap is classified by the last word
+before it (final particles) and, in Chinese and Japanese, the first one after it;
+there wide stops outside quotations and line ends are boundaries as well.  Direct
+speech belongs to the sentence reporting it.
 
 A null or blank text has no sentences; positions are characters from 0, end
 exclusive, without surrounding space.  Very long blocks are read once, in
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.plans.session import settle
+
 # Abbreviations that never end a sentence, by language.
 TITLES = frozenset(
     "mr mrs ms dr prof st no nos sec fig vol approx vs e.g i.e cf "  # en
@@ -38,15 +42,6 @@ CLOSERS = frozenset("etc inc ltd co corp cie usw ecc cía s.a s.l s.p.a s.r.l e.
 LISTS = frozenset("etc usw ecc т.д т.п".split())
 # Months after a German ordinal.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
-# Words that open sentences in the spaced languages.
-OPENERS = frozenset(
-    "the a an in on at it this that every as however sometimes near for according why people because but and when they "
-    "le la les l un une des ce cette on il elle à en pour près chaque parfois cependant pourquoi est d au mais car "
-    "der die das ein eine in im am bei für man es jeden manchmal allerdings warum dort laut und aber "
-    "el los las un una en a para por cada dicen sin según cerca este sería pero y "
-    "il lo gli i una in per a si ogni vicino tuttavia perciò secondo sarebbe quest l ma e "
-    "в для из на по каждый говорят иногда однако весной почему и а но поэтому там г-н г-жа".split()
-)
 _STOPS = ".!?…"
 _QUOTES = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", '"': '"', "‘": "’"}
 _CLOSING = set("»”“」』\"’)]")
@@ -102,7 +97,7 @@ def _token_before(text: str, i: int) -> tuple[str, int]:
 
 
 def _word_after(text: str, i: int) -> str:
-    m = _LETTER.search(text, i, i + 12)
+    m = _LETTER.search(text, i)
     if not m:
         return ""
     j = m.start()
@@ -112,7 +107,7 @@ def _word_after(text: str, i: int) -> str:
     return text[j:k]
 
 
-def spaced_cuts(text: str) -> list[int]:
+def spaced_cuts(text: str, openers: frozenset[str] = frozenset()) -> list[int]:
     """Where sentences end in a text of a spaced script."""
     quoted = _quoted(text)
     flat = not any(c.isupper() for c in text) or not any(c.islower() for c in text)
@@ -145,13 +140,13 @@ def spaced_cuts(text: str) -> list[int]:
             m += 1
         if m >= n:
             break
-        if _ends(text, i, j, k, m, gap, flat, bool(quoted[i])):
+        if _ends(text, i, j, k, m, gap, flat, bool(quoted[i]), openers):
             cuts.append(k)
         i = max(k, j)
     return cuts
 
 
-def _ends(text: str, i: int, j: int, k: int, m: int, gap: bool, flat: bool, speech: bool) -> bool:
+def _ends(text: str, i: int, j: int, k: int, m: int, gap: bool, flat: bool, speech: bool, openers: frozenset[str]) -> bool:
     """Does the terminator text[i:j], with closing marks up to k, before text[m], end a sentence?"""
     nxt = text[m]
     opens = nxt.isupper() or nxt.isdigit() or nxt in "«“„\"¡¿(「[" or not nxt.isalnum() and nxt not in "-—–,;:)»”"
@@ -172,7 +167,7 @@ def _ends(text: str, i: int, j: int, k: int, m: int, gap: bool, flat: bool, spee
     low = token.lower().lstrip(".")
     last = low.rsplit(".", 1)[-1]
     word = _word_after(text, m)
-    opener = word.lower() in OPENERS
+    opener = word.lower() in openers
     if not gap:
         if nxt.isdigit() or not nxt.isupper() or flat:
             return False
@@ -209,16 +204,21 @@ def _flows(text: str) -> bool:
     return any(a[-1] not in ".!?…。！？»”」\"" and b[0].islower() for a, b in zip(parts, parts[1:]))
 
 
-def lattice_words(text: str, words: frozenset[str], longest: int = 16) -> list[tuple[int, int]]:
+@functools.lru_cache(maxsize=8)
+def _longest(words: frozenset[str]) -> int:
+    return max(map(len, words), default=1)
+
+
+def lattice_words(text: str, words: frozenset[str]) -> list[tuple[int, int]]:
     """The cheapest cut into dictionary words; unknown characters cost more than any word."""
-    n = len(text)
+    n, longest = len(text), _longest(words)
     cost = [0.0] + [float("inf")] * n
     back = [0] * (n + 1)
     for i in range(n):
         base = cost[i]
         if base + 3 < cost[i + 1]:
             cost[i + 1], back[i + 1] = base + 3, i
-        for j in range(i + 2, min(n, i + longest) + 1):
+        for j in range(i + 1, min(n, i + longest) + 1):
             if base + 1 < cost[j] and text[i:j] in words:
                 cost[j], back[j] = base + 1, i
     out, j = [], n
@@ -252,8 +252,7 @@ def thai_cuts(text: str, words: frozenset[str]) -> list[int]:
             continue
         if _DIGIT_SIDE.search(text, max(0, i - 8), i):
             continue
-        left = text[max(0, i - 40) : i]
-        left = left[left.rfind(" ") + 1 :]
+        left = text[text.rfind(" ", 0, i) + 1 : i]
         if left.endswith(THAI_SPEECH):
             continue
         if left.endswith(THAI_FINALS) or left[-1] in "”\"!?":
@@ -267,14 +266,43 @@ def thai_cuts(text: str, words: frozenset[str]) -> list[int]:
     return cuts
 
 
-def wide_cuts(text: str) -> list[int]:
-    """Ends of Chinese and Japanese sentences: wide stops outside quotations, and line ends after finished lines."""
+# What Chinese and Japanese sentences end with, and what links the parts of one.
+WIDE_FINALS = frozenset("了 吗 呢 吧 啊 呀 です ます でした ました ません でしょう ください だ だった た ね よ".split())
+WIDE_JOINTS = frozenset("和 与 或 但 而 在 的 是 把 を に が は の で と も から まで より".split())
+
+
+@functools.lru_cache(maxsize=8)
+def _with_particles(words: frozenset[str]) -> frozenset[str]:
+    return words | WIDE_FINALS | WIDE_JOINTS
+
+
+_PART = re.compile(r"[^\s。！？、，]+")
+
+
+def gap_ends(text: str, start: int, i: int, words: frozenset[str]) -> bool:
+    """Does the gap at i, after a part from ``start``, end a Chinese or Japanese sentence?  Only if the last dictionary word in it is a final
+    particle or form and the first one after it can open a sentence."""
+    left, after = text[start:i], _PART.search(text, i)
+    right = after[0] if after and text[i : after.start()].isspace() else ""
+    if not left or not _CJK.match(right):
+        return False
+    words = _with_particles(words)
+    a, b = lattice_words(left, words)[-1]
+    c, d = lattice_words(right, words)[0]
+    return b - a < len(left) and left[a:b] in WIDE_FINALS and right[c:d] not in WIDE_JOINTS and right[c:d] not in WIDE_FINALS
+
+
+def wide_cuts(text: str, words: frozenset[str] = frozenset()) -> list[int]:
+    """Ends of Chinese and Japanese sentences: wide stops outside quotations, line ends after finished lines, and gaps
+    between a final particle and an opening word, as a lattice of dictionary words cuts what is around them."""
     quoted = _quoted(text)
-    cuts, n, i = [], len(text), 0
+    cuts, n, i, part = [], len(text), 0, 0
     while i < n:
         c = text[i]
         if c == "\n" and not quoted[i]:
             cuts.append(i)
+        elif c in " \u3000" and not quoted[i] and i and not text[i - 1].isspace() and gap_ends(text, part, i, words):
+            cuts.append(i)
         elif c in "。！？!?．" or c == "…" and i + 1 < n and text[i + 1].isspace():
             j = i
             while j < n and text[j] in "。！？!?．…":
@@ -287,18 +315,15 @@ def wide_cuts(text: str) -> list[int]:
                 continue
             if k < n:
                 cuts.append(k)
-            i = k
+            i = part = k
             continue
+        if c.isspace() or c in "、，":
+            part = i + 1
         i += 1
     return cuts
 
 
-@functools.lru_cache(maxsize=4096)
-def _known(words: tuple[str, ...]) -> frozenset[str]:
-    return frozenset(words)
-
-
-def sentences(text: str | None, words: frozenset[str] = frozenset()) -> Spans:
+def sentences(text: str | None, words: frozenset[str] = frozenset(), openers: frozenset[str] = frozenset()) -> Spans:
     """The sentences of a block as (start, end)."""
     if not text or not text.strip():
         return []
@@ -307,35 +332,45 @@ def sentences(text: str | None, words: frozenset[str] = frozenset()) -> Spans:
     if thai * 2 > letters:
         cuts = thai_cuts(text, words)
     elif cjk * 2 > letters:
-        cuts = wide_cuts(text)
+        cuts = wide_cuts(text, words)
     else:
-        cuts = spaced_cuts(text)
+        cuts = spaced_cuts(text, openers)
     return _trim(text, cuts)
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
 
 
-def _spans_udf(words: frozenset[str]):
+def _spans_udf(words: frozenset[str], openers: frozenset[str]):
     def cut(texts: pa.Array) -> pa.Array:
-        rows = [[{"start_char": a, "end_char": b} for a, b in sentences(t, words)] for t in texts.to_pylist()]
+        rows = [[{"start_char": a, "end_char": b} for a, b in sentences(t, words, openers)] for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32())])))
 
     return F.arrow_udf(cut, _SPANS)
 
 
-#: The dictionary of the lattice has at most so many words of spaceless scripts, the most frequent ones.
-DICTIONARY = 20_000
+#: A word opens sentences if one block in so many begins with it; so there are at most as many opening words.
+OPENER_SHARE = 1_000
 
 
 def lattice_dictionary(vocabulary: DataFrame) -> frozenset[str]:
-    rows = vocabulary.where(F.col("word").rlike(r"[\x{0E00}-\x{0E7F}]")).groupBy("word").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY)
+    """The words of scripts without spaces of the vocabulary, a table of fixed size."""
+    rows = vocabulary.where(F.col("word").rlike(r"[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]")).select("word").distinct()
     return frozenset(r.word for r in rows.collect())
 
 
-def block_sentences(blocks: DataFrame, words: frozenset[str] = frozenset()) -> DataFrame:
+def opening_words(blocks: DataFrame) -> frozenset[str]:
+    """The words in lower case that one in OPENER_SHARE of the blocks(text) of spaced scripts begins with."""
+    first = F.lower(F.regexp_extract("text", r"^[\s\p{P}]*(\p{L}[\p{L}\p{M}-]*)", 1))
+    counts = blocks.select(first.alias("w")).where(F.col("w") != "").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(counts)
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    return frozenset(r.w for r in counts.where(F.col("n") * OPENER_SHARE >= total).select("w").collect())
+
+
+def block_sentences(blocks: DataFrame, words: frozenset[str] = frozenset(), openers: frozenset[str] = frozenset()) -> DataFrame:
     """(page_id, pos, start_char, end_char) of the sentences of blocks(page_id, pos, text)."""
-    return blocks.select("page_id", "pos", F.inline(_spans_udf(words)("text")))
+    return blocks.select("page_id", "pos", F.inline(_spans_udf(words, openers)("text")))
 
 
 def text_blocks(textdf: DataFrame) -> DataFrame:

@@ -157,6 +157,26 @@ def test_sentence_rows(spark):
     assert [tuple(r) for r in sentences.block_sentences(df).collect()] == [(1, 2, 0, 4), (1, 2, 5, 9)]
 
 
+def test_gaps_of_scripts_without_spaces():
+    cut = lambda text, *words: [text[a:b] for a, b in sentences.sentences(text, frozenset(words))]
+    assert cut("家を見ました 本が好きです") == ["家を見ました", "本が好きです"]
+    assert cut("本はまた 家にある") == ["本はまた", "家にある"] and cut("本はまた 家にある", "また") == ["本はまた 家にある"]
+    assert cut("他走了 天气很好") == ["他走了", "天气很好"] and cut("他走了 和我") == ["他走了 和我"] and cut("北京 天气很好") == ["北京 天气很好"]
+    assert cut("「見ました 本」と言った") == ["「見ました 本」と言った"]
+    long = "家を見ました " * 3000
+    assert len(cut(long)) == 3000
+    thai = "ก" * 60 + "มา สวนปิด"  # the word before the gap is more than forty characters from the part's begin
+    assert cut(thai, "มา") == [thai] and cut("สวน" * 30 + " สวน", "สวน") == ["สวน" * 30, "สวน"]
+
+
+def test_opening_words(spark):
+    df = spark.createDataFrame([("The cat.",)] * 3 + [("« Le chat. »",), ("12",), (None,), ("日本",)], "text string")
+    assert sentences.opening_words(df) == {"the", "le", "日本"}
+    assert sentences.opening_words(df.limit(0)) == frozenset()
+    text = "They met mr. x inc. the end came"
+    assert len(sentences.sentences(text.lower(), openers=frozenset(["the"]))) == 2 and len(sentences.sentences(text.lower())) == 1
+
+
 def test_lattice_takes_the_longest_words():
     words = frozenset(["ตลาด", "โรงเรียน", "โรง"])
     text = "โรงเรียนตลาด"

@@ -68,14 +68,24 @@ def test_boilerplate(site):
     assert PROSE in kept and "Item number one" in kept and "Title 3" in kept
 
 
+def test_a_page_without_sections_keeps_its_text(spark, site):
+    t, docs = site
+    flat = [(90, k, 0, "TextBlock" if k > 2 else "Document", ("Start", "Title", "Uri", "Text", "Text")[k], 1, x, "", "", "") for k, x in enumerate((None, "T", "http://s0/90", PROSE, "More of it."))]
+    t = t.unionByName(spark.createDataFrame(flat, t.schema))
+    assert not [r for r in mainbody.boilerplate_found(t, docs).collect() if r.page_id == 90]
+
+
 def test_quality(site):
     q = {r.page_id: r for r in quality.page_quality(*site).collect()}
     assert {p for p, r in q.items() if "not_prose" in r.reasons} == {3, 4}
     assert q[4].junk and not q[3].junk and q[1].reasons == [] and q[5].visible > 0
+    assert "fineweb_punctuated" in q[3].published and {r.page_id for r in quality.junk_pages(quality.page_quality(*site)).collect()} <= {3, 4}
 
 
 def test_statistics_of_odd_texts():
     s = quality.batch_stats(pa.array([None, "", "  \n", "A b.\nC", "x" * 3_000_000, "Ã© ï»¿ �"]))
+    marks = quality.batch_stats(pa.array(["# a… b...\nc....", "x 1 2", None, "𐐀𐐁 abc"]))
+    assert marks["marks"].tolist() == [4, 0, 0, 0] and marks["ellipses"].tolist() == [2, 0, 0, 0] and marks["letter_words"].tolist() == [3, 1, 0, 2]
     assert s["lines"].tolist() == [0, 0, 0, 2, 1, 1] and s["words"].tolist()[3] == 3 and s["broken"].tolist()[5] > 0
 
 
