@@ -3,12 +3,18 @@
 A PDF page whose blocks keep their line breaks is a scan.  Running headers and
 page numbers are told from the form and place of a block, split words from the
 mark at the line's end.  Misread characters: a noisy channel.  Every word of a
-scan, however often it occurs in the rest of the corpus, and in scripts without
-spaces every short window around a confusable character, has as candidates what
-it could have been before one or two confusions; confusion probability times
-corpus likelihood (word counts mixed with a character 4-gram model of all words)
-decides, for each unit alone: no scores of neighbouring words are counted, so
-that repaired_blocks' Viterbi over a line is a maximum for each word.
+scan, however often it occurs in the rest of the corpus, has as readings what it
+could have been before one or two confusions.  A reading's score is the corpus
+likelihood (word counts mixed with a character 4-gram model of all words) times
+the probability of its confusions, which are estimated from the scans: a first
+round with one probability for all confusions counts how often each is found,
+against the occurrences of what was printed.  All readings within BEAM of the word
+itself stand in the lattice of their block, with transitions from the corpus's
+counts of neighbouring words; Viterbi decodes it, and both what is found and what
+is repaired is read from the decoded block.  Only pairs of words that stand in some
+lattice are counted in the corpus.  In scripts without spaces the windows of
+characters around a confusable one, which hold their neighbours already, are
+compared alone.
 
 Counts are made over all pages that aren't PDFs.  Null texts have no noise;
 repeated rows count once; a scan of one block without a break isn't known as
@@ -24,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm import chars
 from corpusloom.llm.mainbody import is_pdf
 from corpusloom.plans.session import settle
 
@@ -44,15 +52,26 @@ WIDE_CONFUSIONS = (
     ("丁", "了"), ("昀", "的"), ("末", "未"), ("未", "末"), ("己", "已"), ("己", "已"), ("入", "人"), ("人", "入"), ("曰", "日"), ("土", "士"),
     ("ไ", "ใ"), ("ใ", "ไ"), ("ธ", "ร"), ("ร", "ธ"), ("ด", "ค"), ("ค", "ด"), ("ผ", "พ"), ("พ", "ผ"), ("บ", "ป"), ("ป", "บ"), ("ภ", "ถ"), ("ถ", "ภ"),
 )
-CHANNEL = 4.0  # minus the log probability of a confusion
+CHANNEL = 4.0  # minus the log probability of a confusion before any is seen, which counts as much as PRIOR occurrences
+PRIOR = 2_000.0
 MARGIN = 0.7
-MAX_EDITS, MAX_WORD = 2, 28
+#: How far behind the word as written a reading may lie and stay in the lattice.
+BEAM = 8.0
+#: Weight of the transitions, and the occurrences by which they are smoothed.
+TRANSITION, SMOOTH = 0.75, 20.0
+MAX_EDITS = 2
+#: Words with more places of confusion than this (no word of a language has so many) are read with one confusion only.
+MAX_SITES = 60
+#: Lattices are broadcast up to this many words, else joined by shuffle.
+BROADCAST_ROWS = 200_000
 _BINS = 1 << 18
 
 _SPACELESS = "฀-๿぀-ヿ㐀-鿿"
 _WORD = re.compile(rf"(?:(?![{_SPACELESS}])[\w@])+")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-¬\xad‐]\s*\n\s*(?=[^\W\d_])")
 _WIDE = re.compile(rf"(?<=[{_SPACELESS}])\s*\n\s*(?=[{_SPACELESS}])")
+PAIRS = tuple(dict.fromkeys(CONFUSIONS + WIDE_CONFUSIONS))
+_NUMBER = {pair: i for i, pair in enumerate(PAIRS)}
 _TARGETS: dict[str, list[str]] = {}
 for _a, _b in WIDE_CONFUSIONS:
     if _b not in _TARGETS.setdefault(_a, []):
@@ -79,26 +98,24 @@ def units(text: str) -> list[str]:
     return out
 
 
-def candidates(unit: str) -> list[tuple[str, int]]:
-    """What a unit may have been, with the number of confusions."""
+def candidates(unit: str) -> list[tuple[str, tuple[int, ...]]]:
+    """What a unit may have been, with the numbers of the confusions."""
     if unit[:1] == "\x01":
         i = unit.index("\x02") + 1
-        return [(unit[:i] + t + unit[i + 1 :], 1) for t in _TARGETS.get(unit[i], ())]
-    if len(unit) > MAX_WORD:
-        return []
-    sites = [(m, len(a), b) for a, b in CONFUSIONS for m in _places(unit, a)]
-    out: dict[str, int] = {}
-    for at, n, b in sites:
-        out[unit[:at] + b + unit[at + n :]] = 1
-    for i, (at, n, b) in enumerate(sites):
-        for at2, n2, b2 in sites[i + 1 :]:
-            (p, pn, pb), (q, qn, qb) = sorted([(at, n, b), (at2, n2, b2)])
+        return [(unit[:i] + t + unit[i + 1 :], (_NUMBER[unit[i], t],)) for t in _TARGETS.get(unit[i], ())]
+    sites = [(m, len(a), b, _NUMBER[a, b]) for a, b in CONFUSIONS for m in _places(unit, a)]
+    out: dict[str, tuple[int, ...]] = {}
+    for at, n, b, k in sites:
+        out.setdefault(unit[:at] + b + unit[at + n :], (k,))
+    for i, one in enumerate(sites):
+        for two in sites[i + 1 :] if len(sites) <= MAX_SITES else ():
+            (p, pn, pb, pk), (q, qn, qb, qk) = sorted([one, two])
             if p + pn <= q:
-                out.setdefault(unit[:p] + pb + unit[p + pn : q] + qb + unit[q + qn :], 2)
-    odd = [i for i, c in enumerate(unit) if c in "@0123456789"]
+                out.setdefault(unit[:p] + pb + unit[p + pn : q] + qb + unit[q + qn :], (pk, qk))
+    odd = [c for c in unit if c in "@0123456789"]
     if len(odd) > MAX_EDITS:  # many plain digits and signs: all of them at once
-        whole = unit.translate(str.maketrans("0@15", "oals"))
-        out.setdefault(whole, len(odd))
+        plain = {"0": "o", "@": "a", "1": "l", "5": "s"}
+        out.setdefault("".join(plain.get(c, c) for c in unit), tuple(_NUMBER[c, plain.get(c, "o")] if c in plain else _NUMBER["0", "o"] for c in odd))
     out.pop(unit, None)
     return list(out.items())
 
@@ -158,18 +175,23 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def unit_counts(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
-    """(unit, n): occurrences on all pages that aren't PDFs; each partition adds up its own first."""
+def corpus_texts(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+    """(text) of all pages that aren't PDFs."""
     pdf = nlpdocs.where(is_pdf(F.col("uri"))).select("page_id").distinct()
     rows = textdf.where(F.col("text").isNotNull() & (F.col("doceltcmd") != "Uri")).select("page_id", "text").join(pdf, "page_id", "left_anti")
-    return rows.select("text").mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return rows.select("text")
+
+
+def unit_counts(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+    """(unit, n): occurrences on all pages that aren't PDFs; each partition adds up its own first."""
+    return corpus_texts(textdf, nlpdocs).mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _gram_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = np.zeros((5, _BINS), np.float64)
     for batch in batches:
         for unit, n in zip(batch.column("unit").to_pylist(), batch.column("n").to_pylist()):
-            if unit[:1] == "\x01" or n < 2 or len(unit) > MAX_WORD:
+            if unit[:1] == "\x01" or n < 2:
                 continue
             weight, text = np.log2(1 + n), "^^^" + unit + "$"
             for i in range(3, len(text)):
@@ -210,16 +232,16 @@ def row_units(texts: pa.Array) -> pa.Array:
     return pa.array([sorted(set(units(joined(t)))) if t is not None else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("candidate", T.StringType()), T.StructField("edits", T.IntegerType())])))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("candidate", T.StringType()), T.StructField("confusions", T.ArrayType(T.IntegerType()))])))
 def unit_candidates(rows: pa.Array) -> pa.Array:
     return pa.array(
-        [[{"candidate": c, "edits": e} for c, e in candidates(u)] for u in rows.to_pylist()],
-        pa.list_(pa.struct([("candidate", pa.string()), ("edits", pa.int32())])),
+        [[{"candidate": c, "confusions": e} for c, e in candidates(u)] for u in rows.to_pylist()],
+        pa.list_(pa.struct([("candidate", pa.string()), ("confusions", pa.list_(pa.int32()))])),
     )
 
 
 def _score(model: CharModel, total: float):
-    """log P of units: a word's count mixed with the character model; a window's count."""
+    """By how much log P of a reading is more than that of the unit: of a word, its count mixed with the character model; of a window, its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
@@ -235,35 +257,219 @@ def _score(model: CharModel, total: float):
 
         for batch in batches:
             d = batch.to_pydict()
-            gain = [
-                log_p(c, m or 0) - CHANNEL * e - log_p(u, n or 0)
-                for u, c, e, n, m in zip(d["unit"], d["candidate"], d["edits"], d["n"], d["m"])
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("candidate"), pa.array(gain, pa.float64())], ["unit", "candidate", "gain"])
+            gain = [log_p(c, m or 0) - log_p(u, n or 0) for u, c, n, m in zip(d["unit"], d["candidate"], d["n"], d["m"])]
+            columns = ["unit", "k", "candidate", "confusions"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(gain, pa.float64())], [*columns, "gain"])
 
     return run
 
 
-def corrections(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """(unit, candidate, gain): the best reading of every unit of tokens(unit) that was probably misread."""
+def readings(tokens: DataFrame, counts: DataFrame, total: float) -> DataFrame:
+    """(unit, k, candidate, confusions, gain): what the units of tokens(unit), of k occurrences, may have been, with the gain
+    in log likelihood before the confusions are paid for; those that can't reach the lattice are left out."""
     model = char_model(counts)
-    total = float(counts.agg(F.sum("n").alias("n")).collect()[0].n or 1)
-    seen = tokens.distinct().join(counts, "unit", "left")
-    pairs = seen.select("unit", "n", F.inline(unit_candidates("unit")))
+    seen = tokens.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).join(counts, "unit", "left")
+    pairs = seen.select("unit", "k", "n", F.inline(unit_candidates("unit")))
     pairs = pairs.join(counts.select(F.col("unit").alias("candidate"), F.col("n").alias("m")), "candidate", "left")
-    scored = pairs.select("unit", "candidate", "edits", "n", "m").mapInArrow(_score(model, total), "unit string, candidate string, gain double")
-    best = scored.groupBy("unit").agg(F.max(F.struct("gain", "candidate")).alias("b"))
-    return best.where(F.col("b.gain") > MARGIN).select("unit", "b.candidate", "b.gain")
+    scored = pairs.select("unit", "k", "candidate", "confusions", "n", "m").mapInArrow(_score(model, total), "unit string, k long, candidate string, confusions array<int>, gain double")
+    return scored.where(F.col("gain") > -BEAM)
+
+
+def channel_costs(read: DataFrame, tokens: DataFrame) -> list[float]:
+    """Minus the log probability of each of PAIRS: its corrections under one probability for all, against the occurrences
+    of what was printed in the scans.  What the driver gets is a row for each pair."""
+    best = read.groupBy("unit", "k").agg(F.max_by("confusions", F.struct(F.col("gain") - CHANNEL * F.size("confusions"), "candidate")).alias("c"), F.max(F.col("gain") - CHANNEL * F.size("confusions")).alias("g"))
+    found = best.where(F.col("g") > MARGIN).select("k", F.explode("c").alias("pair")).groupBy("pair").agg(F.sum("k").alias("n"))
+    found = {r.pair: r.n for r in found.collect()}
+    units = tokens.where(~F.col("unit").startswith("\x01")).groupBy("unit").agg(F.count(F.lit(1)).alias("k"))
+    printed = sorted({b for _, b in PAIRS})
+    often = lambda b: F.sum(F.col("k") * (F.length("unit") - F.length(F.replace("unit", F.lit(b), F.lit("")))) / len(b))
+    row = units.agg(*(often(b).alias(f"c{i}") for i, b in enumerate(printed))).first()
+    count = {b: row[i] or 0.0 for i, b in enumerate(printed)}
+    prior = PRIOR * float(np.exp(-CHANNEL))
+    costs = [-np.log((found.get(i, 0) + prior) / (max(count[b], found.get(i, 0)) + PRIOR)) for i, (_, b) in enumerate(PAIRS)]
+    return [float(c) if p not in WIDE_CONFUSIONS else CHANNEL for c, p in zip(costs, PAIRS)]  # windows have no single character's count
+
+
+def lattices(read: DataFrame, costs: list[float]) -> DataFrame:
+    """(unit, readings array<struct<gain, candidate>>): what stands beside a unit in a lattice, its confusions paid for."""
+    cost = F.aggregate("confusions", F.lit(0.0), lambda a, i: a + F.get(F.array(*map(F.lit, costs)), i))
+    kept = read.select("unit", "candidate", (F.col("gain") - cost - MARGIN).alias("gain")).where(F.col("gain") > -BEAM)
+    return kept.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("gain", "candidate")), asc=False).alias("readings"))
+
+
+def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order (as units has them, digits included), and the bounds of the texts in words."""
+    cp, bounds = chars.code_points(pc.utf8_normalize(texts.cast(pa.large_string()), "NFC"))
+    inside = ((chars.classes()[cp] & (chars.LETTER | chars.DIGIT)) > 0) | (cp == ord("_")) | (cp == ord("@"))
+    for a, b in ((0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x9FFF)):
+        inside &= (cp < a) | (cp > b)
+    starts, ends = chars.runs(inside, bounds)
+    return chars.span_hashes(chars.lower_table()[cp], starts, ends), np.searchsorted(starts, bounds)
+
+
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (left ^ (left >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + right
+
+
+#: Bits of the sieve that tells which words and pairs are worth counting; what it lets through wrongly is joined away.
+SIEVE_BITS = 1 << 23
+
+
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(SIEVE_BITS, bool)
+    for batch in batches:
+        bits[batch.column("key").to_numpy().view(np.uint64) % np.uint64(SIEVE_BITS)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+
+def neighbour_counts(textdf: DataFrame, nlpdocs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, n) of the needed(key) words and pairs of neighbouring words on all pages that aren't PDFs.
+
+    Tasks are told by a sieve of fixed size what may be needed, and add up their own counts first."""
+    parts = needed.coalesce(16).mapInArrow(_sieve, "bits binary").collect()  # at most 16 rows of a megabyte
+    bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for r in parts:
+        bits |= np.frombuffer(r.bits, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = np.unpackbits(bits).view(bool)
+        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            unique, at = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
+            return unique, np.bincount(at, weights=np.concatenate([held[1], n]), minlength=len(unique)).astype(np.int64)
+
+        for batch in batches:
+            words, bounds = word_keys(batch.column("text"))
+            last = np.zeros(len(words) + 1, bool)
+            last[bounds[1:]] = True  # the next word is another text's
+            pairs = pair_keys(words[:-1], words[1:])[~last[1:-1]] if len(words) else words
+            keys = np.concatenate([words, pairs])
+            keys = keys[inside[keys % np.uint64(SIEVE_BITS)]]
+            held = added(keys, np.ones(len(keys), np.int64))
+            if len(held[0]) > 1_000_000:
+                yield out(held)
+                held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield out(held)
+
+    def out(held: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["key", "n"])
+
+    counted = corpus_texts(textdf, nlpdocs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return needed.join(counted, "key")
+
+
+Lattice = list[list[tuple[str, float]]]
+
+
+def block_lattice(text: str, alternatives: dict[str, list[tuple[str, float]]]) -> tuple[str, list[tuple[int, int]], Lattice]:
+    """The text in one line, the places of its words, and their readings, the word as written first."""
+    line = joined(text)
+    places, lattice = [], []
+    for m in _WORD.finditer(line):
+        w = unicodedata.normalize("NFC", m.group().lower())
+        places.append((m.start(), m.end()))
+        lattice.append([(w, 0.0), *alternatives.get(w, ())])
+    return line, places, lattice
+
+
+def neighbours(lattice: Lattice) -> Iterator[tuple[str, str]]:
+    """The pairs of neighbouring readings of which either has alternatives."""
+    for left, right in zip(lattice, lattice[1:]):
+        if len(left) > 1 or len(right) > 1:
+            for w, _ in left:
+                for v, _ in right:
+                    yield w, v
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    cp, bounds = chars.code_points(pa.array(words, pa.large_string()))
+    return chars.span_hashes(cp, bounds[:-1], bounds[1:])
+
+
+def _alternatives(column: pa.Array) -> list[dict[str, list[tuple[str, float]]]]:
+    return [{x["unit"]: [(r["candidate"], r["gain"]) for r in x["readings"]] for x in row or ()} for row in column.to_pylist()]
+
+
+def _needed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, pos, key) of the words and pairs each block's transitions take."""
+    for batch in batches:
+        pages, places, keys = [], [], [np.zeros(0, np.uint64)]
+        for page, pos, text, alt in zip(batch.column("page_id").to_pylist(), batch.column("pos").to_pylist(), batch.column("text").to_pylist(), _alternatives(batch.column("lattice"))):
+            linked = list(dict.fromkeys(neighbours(block_lattice(text, alt)[2])))
+            if linked:
+                left, right = _hashes([w for w, _ in linked]), _hashes([v for _, v in linked])
+                own = np.unique(np.concatenate([left, right, pair_keys(left, right)]))
+                keys.append(own)
+                pages += [page] * len(own)
+                places += [pos] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(places, pa.int32()), pa.array(np.concatenate(keys).view(np.int64))], ["page_id", "pos", "key"])
+
+
+def transitions(linked: list[tuple[str, str]], n: dict[int, int], total: float) -> dict[tuple[str, str], float]:
+    """By how much more probable each second word is after the first one, as a weighted logarithm, smoothed by its own probability."""
+    if not linked:
+        return {}
+    left, right = _hashes([w for w, _ in linked]), _hashes([v for _, v in linked])
+    count = lambda keys: np.array([n.get(int(k), 0) for k in keys.view(np.int64)], float)
+    own = (count(right) + 0.5) / total
+    given = (count(pair_keys(left, right)) + SMOOTH * own) / (count(left) + SMOOTH)
+    return dict(zip(linked, (TRANSITION * np.clip(np.log(given / own), -6, 6)).tolist()))
+
+
+def decoded(total: float):
+    """(page_id, pos, found, text): is a word of the block misread, and its repaired text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, texts = [], []
+            counts = [{x["key"]: x["n"] for x in row or ()} for row in batch.column("counts").to_pylist()]
+            for text, alt, n in zip(batch.column("text").to_pylist(), _alternatives(batch.column("lattice")), counts):
+                line, places, lattice = block_lattice(text, alt)
+                path = viterbi(lattice, transitions(list(dict.fromkeys(neighbours(lattice))), n, total))
+                parts, at = [], 0
+                for (a, b), w, options in zip(places, path, lattice):
+                    if w != options[0][0]:
+                        old = line[a:b]
+                        w = w.upper() if old.isupper() and len(old) > 1 else w[:1].upper() + w[1:] if old[:1].isupper() else w
+                        parts += [line[at:a], w]
+                        at = b
+                fixed = "".join(parts) + line[at:]
+                for u, options in alt.items():
+                    if u[:1] == "\x01" and options[0][1] > 0:
+                        fixed = fixed.replace(u[1:].replace("\x02", ""), options[0][0][1:].replace("\x02", ""))
+                        parts.append(u)
+                found.append(bool(parts))
+                texts.append(fixed)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("pos"), pa.array(found, pa.bool_()), pa.array(texts, pa.string())], ["page_id", "pos", "found", "text"])
+
+    return run
+
+
+def decode(body: DataFrame, textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+    """(page_id, pos, found, text) of body(page_id, pos, text), the text blocks of scans that have words with other readings."""
+    counts = settle(unit_counts(textdf, nlpdocs))
+    tokens = settle(body.select("page_id", "pos", F.explode(row_units("text")).alias("unit")))
+    total = float(counts.agg(F.sum("n").alias("n")).collect()[0].n or 1)
+    read = settle(readings(tokens.select("unit"), counts, total))
+    lattice = settle(lattices(read, channel_costs(read, tokens)))
+    if lattice.count() <= BROADCAST_ROWS:
+        lattice = F.broadcast(lattice)
+    beside = tokens.join(lattice, "unit").groupBy("page_id", "pos").agg(F.sort_array(F.collect_list(F.struct("unit", "readings"))).alias("lattice"))
+    blocks = settle(body.select("page_id", "pos", "text").join(beside, ["page_id", "pos"]))
+    keys = settle(blocks.mapInArrow(_needed_keys, "page_id long, pos int, key long"))
+    pairs = settle(neighbour_counts(textdf, nlpdocs, keys.select("key").distinct()))
+    own = keys.join(pairs, "key").groupBy("page_id", "pos").agg(F.collect_list(F.struct("key", "n")).alias("counts"))
+    return blocks.join(own, ["page_id", "pos"], "left").select("page_id", "pos", "text", "lattice", "counts").mapInArrow(decoded(total), "page_id long, pos int, found boolean, text string")
 
 
 def scan_noise(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """(page_id, pos, noise) of the rows of scanned pages."""
     rows = settle(scan_rows(textdf, nlpdocs))
-    counts = settle(unit_counts(textdf, nlpdocs))
     body = rows.where("role = 'text'")
-    tokens = settle(body.select("page_id", "pos", F.explode(row_units("text")).alias("unit")))
-    wrong = corrections(tokens.select("unit"), counts)
-    misread = tokens.join(wrong.select("unit"), "unit", "left_semi").select("page_id", "pos").distinct()
+    misread = decode(body, textdf, nlpdocs).where("found")
     split = body.where(F.col("text").rlike("(?<=[\\p{L}\\p{M}])[-¬\\u00AD‐]\\s*\\n\\s*(?=\\p{L})"))
     parts = (
         rows.where("role <> 'text'").select("page_id", "pos", F.col("role").alias("noise")),
@@ -292,35 +498,12 @@ def viterbi(lattice: list[list[tuple[str, float]]], pair: dict[tuple[str, str],
 
 
 @F.arrow_udf(T.StringType())
-def _repair(texts: pa.Array, units_: pa.Array, reads: pa.Array, gains: pa.Array) -> pa.Array:
-    out = []
-    for text, us, rs, gs in zip(texts.to_pylist(), units_.to_pylist(), reads.to_pylist(), gains.to_pylist()):
-        line = joined(text)
-        known = dict(zip(us or (), zip(rs or (), gs or ())))
-        parts, at, lattice, places = [], 0, [], []
-        for m in _WORD.finditer(line):
-            w = unicodedata.normalize("NFC", m.group().lower())
-            lattice.append([(w, 0.0)] + ([known[w]] if w in known else []))
-            places.append((m.start(), m.end()))
-        for (a, b), w in zip(places, viterbi(lattice, {})):
-            old = line[a:b]
-            if w != unicodedata.normalize("NFC", old.lower()):
-                w = w.upper() if old.isupper() and len(old) > 1 else w[:1].upper() + w[1:] if old[:1].isupper() else w
-                parts += [line[at:a], w]
-                at = b
-        text = "".join(parts) + line[at:]
-        for u, (r, _) in known.items():
-            if u[:1] == "\x01":
-                text = text.replace(u[1:].replace("\x02", ""), r[1:].replace("\x02", ""))
-        out.append(text)
-    return pa.array(out, pa.string())
+def joined_text(texts: pa.Array) -> pa.Array:
+    return pa.array([joined(t) if t is not None else None for t in texts.to_pylist()], pa.string())
 
 
 def repaired_blocks(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """(page_id, pos, text) of the blocks of scanned pages as continuous readable text, without headers and page numbers."""
     rows = settle(scan_rows(textdf, nlpdocs).where("role = 'text'"))
-    tokens = settle(rows.select("page_id", "pos", F.explode(row_units("text")).alias("unit")))
-    wrong = corrections(tokens.select("unit"), settle(unit_counts(textdf, nlpdocs)))
-    fixes = tokens.join(wrong, "unit").groupBy("page_id", "pos").agg(F.sort_array(F.collect_list(F.struct("unit", "candidate", "gain"))).alias("f"))
-    rows = rows.join(fixes, ["page_id", "pos"], "left")
-    return rows.select("page_id", "pos", _repair("text", "f.unit", "f.candidate", "f.gain").alias("text"))
+    fixed = decode(rows, textdf, nlpdocs).select("page_id", "pos", F.col("text").alias("fixed"))
+    return rows.join(fixed, ["page_id", "pos"], "left").select("page_id", "pos", F.coalesce("fixed", joined_text("text")).alias("text"))

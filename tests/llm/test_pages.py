@@ -132,8 +132,9 @@ def test_scan_noise(spark):
 
 
 def test_scan_candidates():
-    assert ("museum", 1) in scan_noise.candidates("rnuseum")
-    assert ("bonne année", 2) not in scan_noise.candidates("x") and scan_noise.candidates("x" * 99) == []
+    assert ("museum", (scan_noise.PAIRS.index(("rn", "m")),)) in scan_noise.candidates("rnuseum")
+    assert scan_noise.candidates("x") == scan_noise.candidates("x" * 99) == []
+    assert {len(c) for _, c in scan_noise.candidates("e" * 200)} == {1} and "cafe" in dict(scan_noise.candidates("c@f" + "c"))
     assert scan_noise.viterbi([[("a", 0.0), ("b", 1.0)], [("c", 0.0)]], {("a", "c"): 2.0}) == ["a", "c"]
 
 
@@ -143,7 +144,31 @@ def test_frequent_misreadings(spark):
     words |= {"the": 100_000, "tbe": 10, "house": 400, "horse": 300}
     counts = spark.createDataFrame(list(words.items()), "unit string, n long")
     tokens = spark.createDataFrame([("tbe",), ("the",), ("house",), ("horse",)], "unit string")
-    assert [(r.unit, r.candidate) for r in scan_noise.corrections(tokens, counts).collect()] == [("tbe", "the")]
+    total = float(sum(words.values()))
+    read = scan_noise.readings(tokens, counts, total).cache()
+    costs = scan_noise.channel_costs(read, tokens)
+    assert all(1 < c < 9 for c in costs)
+    best = {r.unit: r.readings[0] for r in scan_noise.lattices(read, [scan_noise.CHANNEL] * len(costs)).collect()}
+    assert {u for u, r in best.items() if r.gain > 0} == {"tbe"} and best["tbe"].candidate == "the"
+
+
+def test_the_line_decides_between_words(spark):
+    """"hall" and "ball" are both words; only their neighbours tell which one was printed."""
+    clean = [("TextBlock", "Text", 1, t) for t in ["the town hall opens. "] * 30 + ["a red ball rolls. "] * 30 + ["the museum and the station open in the village. "] * 30]
+    scan = [
+        ("Section", "Start", 1, "Page 1"), ("TextBlock", "Text", 2, "Ann – 1"), ("TextBlock", "Text", 2, "the town\nball opens"), ("TextBlock", "Text", 2, "a red\nball rolls"),
+        ("TextBlock", "Text", 2, "the tovvn\nhall opens"), ("Section", "End", 1, None),
+    ]
+    t, n = frames(spark, page(1, 0, clean) + page(2, 0, scan, "https://h/2.pdf"), [(2, "https://h/2.pdf")])
+    assert {(r.pos, r.noise) for r in scan_noise.scan_noise(t, n).collect()} == {(4, "header"), (5, "chars"), (7, "chars")}
+    assert {r.pos: r.text for r in scan_noise.repaired_blocks(t, n).collect()} == {5: "the town hall opens", 6: "a red ball rolls", 7: "the town hall opens"}
+
+
+def test_words_and_pairs_are_counted_alike(spark):
+    text = "Café «d’été» c@fe_1 日本 x\nx 2"
+    words, bounds = scan_noise.word_keys(pa.array([text, "", "a"]))
+    want = ["café", "d", "été", "c@fe_1", "x", "x", "2", "a"]
+    assert words.tolist() == scan_noise._hashes(want).tolist() and bounds.tolist() == [0, 7, 7, 8]
 
 
 WORD = re.compile(r"[^\W_]+")
