@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -300,7 +299,8 @@ def lattices(read: DataFrame, costs: list[float]) -> DataFrame:
 
 def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order (as units has them, digits included), and the bounds of the texts in words."""
-    cp, bounds = chars.code_points(pc.utf8_normalize(texts.cast(pa.large_string()), "NFC"))
+    texts = [None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()]
+    cp, bounds = chars.code_points(pa.array(texts, pa.large_string()))
     inside = ((chars.classes()[cp] & (chars.LETTER | chars.DIGIT)) > 0) | (cp == ord("_")) | (cp == ord("@"))
     for a, b in ((0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x9FFF)):
         inside &= (cp < a) | (cp > b)
