@@ -9,7 +9,9 @@ character), with marks for its two ends: a batch has few different words, so
 that each is run through the network once.
 
 A line's scores travel as one integer: for each language, how far it lies
-behind the best, in steps of a quarter, at most 127.  Pages whose body is junk,
+behind the best, in steps of a quarter, at most 127.  That bounds the weight of a
+line in its page on purpose: without it, one long foreign paragraph (of Thai, say,
+whose every character is sure) outvoted the page's own language.  Pages whose body is junk,
 and pages or lines without letters, have no language.  Nulls: a null label is a
 missing one; a null text has no lines; repeated rows count once; empty tables
 give empty results; extra columns are ignored.
@@ -32,8 +34,8 @@ from corpusloom.llm.quality import quality_of, text_stats
 from corpusloom.plans.session import settle
 
 LANGUAGES = ("fr", "en", "de", "es", "it", "ru", "ja", "zh", "th")
-#: The classifier's sample: pages, rows of all, words a language; bytes of a word run at once.
-SAMPLE_PAGES, SAMPLE_ROWS, SAMPLE_WORDS, PIECE = 3_000, 12_000, 8_000, 16
+#: The classifier's sample: pages, rows of all, words a language; bytes of a word run at once in training, and in use.
+SAMPLE_PAGES, SAMPLE_ROWS, SAMPLE_WORDS, PIECE, LONG_PIECE = 3_000, 12_000, 8_000, 16, 256
 TRAIN_STEPS, HIDDEN = 1_000, 32
 LONG_LINE = 40
 #: How far behind a line's best language the page's must lie, in quarters.
@@ -58,15 +60,15 @@ def word_spans(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def byte_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def byte_ids(words: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """The padded bytes of all pieces of the words, ends marked, and each piece's word."""
     pieces, owner = [], []
     for i, w in enumerate(words):
         raw = b"\x02" + w.encode("utf-8", "replace") + b"\x03"
-        for a in range(0, len(raw), PIECE):
-            pieces.append(raw[a : a + PIECE])
+        for a in range(0, len(raw), piece):
+            pieces.append(raw[a : a + piece])
             owner.append(i)
-    ids = np.zeros((len(pieces), PIECE), np.uint8)
+    ids = np.zeros((len(pieces), max([1, *map(len, pieces)])), np.uint8)
     for i, x in enumerate(pieces):
         ids[i, : len(x)] = np.frombuffer(x, np.uint8)
     return ids, np.array(owner, np.int64)
@@ -77,7 +79,7 @@ def word_scores(model: ByteGRU, words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(LANGUAGES)), np.float32)
     for a in range(0, len(words), 4096):
         part = words[a : a + 4096]
-        ids, owner = byte_ids(part)
+        ids, owner = byte_ids(part, LONG_PIECE)
         order = np.argsort((ids != 0).sum(axis=1), kind="stable")
         for b in range(0, len(order), 512):
             pick = order[b : b + 512]
@@ -123,6 +125,7 @@ def pack(scores: np.ndarray) -> np.ndarray:
 
 
 def behind(packed: Column, i: int) -> Column:
+    """How far language i lies behind the best, in quarters."""
     return F.shiftright(packed, 7 * i).bitwiseAND(F.lit(127))
 
 
@@ -242,6 +245,13 @@ def line_language(packed: Column) -> Column:
     return F.coalesce(*(F.when(behind(packed, i) == 0, F.lit(c)) for i, c in enumerate(LANGUAGES)))
 
 
+def line_languages(rows: DataFrame) -> DataFrame:
+    """(page_id, pos, line_no, lang, confidence) of every line with letters of page_lines: its language by itself."""
+    lines = rows.where(~F.col("is_doc") & F.col("has_text")).select("page_id", "pos", F.inline("lines"))
+    odds = sum((F.exp(-_STEP * behind(F.col("packed"), i)) for i in range(1, len(LANGUAGES))), F.exp(-_STEP * behind(F.col("packed"), 0)))
+    return lines.select("page_id", "pos", "line_no", line_language(F.col("packed")).alias("lang"), (1 / odds).alias("confidence"))
+
+
 def language_found(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """(page_id, pos, line_no, lang): pages without their right label, at 0, 0, and long lines in
     another language than their page's."""

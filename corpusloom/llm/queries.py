@@ -24,6 +24,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
 
+def p3_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Templates with a wildcard, such as bylines."""
+    return repeated_lines.slot_templates(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.scan_noise(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
@@ -41,6 +46,11 @@ def p5_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.page_languages(settle(language.page_lines(table(spark, d, "textdf"), docs)), docs)
 
 
+def p5_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every line by itself, with its confidence."""
+    return language.line_languages(language.page_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(near_duplicates.page_words(table(spark, d, "textdf"), table(spark, d, "nlpdocs")))
 
@@ -93,7 +103,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p4_repaired, p5_found, p5_languages, p6_found, p6_groups, p7_found, p7_sentences, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p3_slots, p4_found, p4_repaired, p5_found, p5_languages, p5_lines, p6_found, p6_groups, p7_found, p7_sentences, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
 _FOLDED = r"regexp_extract_all(strip_accents(lower(regexp_replace(text, '\p{M}', '', 'g'))), '[\p{L}\p{N}]+')"
 _GRAMS = "SELECT {0}, array_to_string(list_slice(w, i, i + 11), ' ') AS g FROM (SELECT {0}, " + _FOLDED + " AS w FROM {1} WHERE text IS NOT NULL), unnest(range(1, len(w) - 10)) u(i)"
 ORACLES = {

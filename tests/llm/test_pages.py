@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import regex
@@ -116,6 +117,29 @@ def test_repeated_lines_are_taken_out(spark):
     assert clean[(0, 3)] == "own aaa" and clean[(0, 4)] == "" and clean[(0, 5)] == "42"
 
 
+def test_lines_with_a_slot(spark):
+    names = ["Ann", "Bo", "Cyril", "Dora", "Emil", "Fay", "Gus", "Hal"]
+    rows = [r for i, n in enumerate(names) for r in page(i, 0, [("TextBlock", "Text", 1, f"Written by {n} Smith"), ("TextBlock", "Text", 1, "Same line, always 12"), ("TextBlock", "Text", 1, f"{n * 3} alone {i}")])]
+    t, n = frames(spark, rows)
+    assert {r.pos for r in repeated_lines.repeated_lines(t, n).collect()} == {4}
+    assert [(r.siteindex, r.depth, r.pages, r.page_id, r.pos, r.line_no) for r in repeated_lines.slot_templates(t, n).collect()] == [(0, 2, 8, 0, 3, 1)]
+
+
+def test_score_packing():
+    scores = -np.array([[0, 1.0, 15.9, 17.0, 200.0, 2000.0, 0.1, 0.2, 0.3]])
+    got = [((int(language.pack(scores)[0]) >> (7 * i)) & 127) * 0.25 for i in range(9)]
+    assert got == [0, 1, 16, 17, 31.75, 31.75, 0, 0.25, 0.25]
+
+
+def test_line_languages(spark):
+    from corpusloom.llm.gru import ByteGRU
+
+    t, n = frames(spark, [(1, i, 0, "TextBlock", "Text", 2, x, "", "", "") for i, x in enumerate(["one line\nand two", None, "12"])])
+    model = ByteGRU(len(language.LANGUAGES), hidden=4)
+    got = language.line_languages(language.page_lines(t, n, model)).collect()
+    assert {(r.pos, r.line_no) for r in got} == {(0, 1), (0, 2)} and all(1 / 9 < r.confidence <= 1 for r in got)
+
+
 def test_scan_noise(spark):
     clean = [("TextBlock", "Text", 1, "the council opens the museum and the station in the modern village. ") for _ in range(12)]
     scan = [
