@@ -63,6 +63,8 @@ MAX_EDITS = 2
 MAX_SITES = 60
 #: Lattices are broadcast up to this many words, else joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: The ids of PDF pages are broadcast up to this many (8 bytes each), so that no text moves to be told from them; else joined by shuffle.
+BROADCAST_IDS = 4_000_000
 _BINS = 1 << 18
 
 _SPACELESS = "฀-๿぀-ヿ㐀-鿿"
@@ -174,16 +176,21 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def corpus_texts(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+def pdf_pages(nlpdocs: DataFrame) -> DataFrame:
+    """(page_id) of the PDF pages."""
+    pdf = settle(nlpdocs.where(is_pdf(F.col("uri")) & F.col("page_id").isNotNull()).select("page_id").distinct())
+    return F.broadcast(pdf) if pdf.count() <= BROADCAST_IDS else pdf
+
+
+def corpus_texts(textdf: DataFrame, pdf: DataFrame) -> DataFrame:
     """(text) of all pages that aren't PDFs."""
-    pdf = nlpdocs.where(is_pdf(F.col("uri"))).select("page_id").distinct()
-    rows = textdf.where(F.col("text").isNotNull() & (F.col("doceltcmd") != "Uri")).select("page_id", "text").join(pdf, "page_id", "left_anti")
-    return rows.select("text")
+    rows = textdf.where(F.col("text").isNotNull() & (F.col("doceltcmd") != "Uri")).select("page_id", "text")
+    return rows.join(pdf, "page_id", "left_anti").select("text")
 
 
-def unit_counts(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+def unit_counts(textdf: DataFrame, pdf: DataFrame) -> DataFrame:
     """(unit, n): occurrences on all pages that aren't PDFs; each partition adds up its own first."""
-    return corpus_texts(textdf, nlpdocs).mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return corpus_texts(textdf, pdf).mapInArrow(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _gram_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +215,8 @@ def char_model(counts: DataFrame) -> CharModel:
     return CharModel(flat.reshape(5, _BINS))
 
 
-def scan_rows(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+def scan_rows(textdf: DataFrame, pdf: DataFrame) -> DataFrame:
     """(page_id, pos, text, role) of the text rows of scanned pages, each once: role is header, page_number or text."""
-    pdf = nlpdocs.where(is_pdf(F.col("uri"))).select("page_id").distinct()
     rows = textdf.join(pdf, "page_id", "left_semi").select("page_id", "pos", "docelttype", "doceltcmd", "text")
     w = Window.partitionBy("page_id").orderBy("pos")
     page = Window.partitionBy("page_id")
@@ -324,7 +330,7 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
 
-def neighbour_counts(textdf: DataFrame, nlpdocs: DataFrame, needed: DataFrame) -> DataFrame:
+def neighbour_counts(textdf: DataFrame, pdf: DataFrame, needed: DataFrame) -> DataFrame:
     """(key, n) of the needed(key) words and pairs of neighbouring words on all pages that aren't PDFs.
 
     Tasks are told by a sieve of fixed size what may be needed, and add up their own counts first."""
@@ -357,7 +363,7 @@ def neighbour_counts(textdf: DataFrame, nlpdocs: DataFrame, needed: DataFrame) -
     def out(held: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["key", "n"])
 
-    counted = corpus_texts(textdf, nlpdocs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = corpus_texts(textdf, pdf).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return needed.join(counted, "key")
 
 
@@ -448,9 +454,9 @@ def decoded(total: float):
     return run
 
 
-def decode(body: DataFrame, textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
+def decode(body: DataFrame, textdf: DataFrame, pdf: DataFrame) -> DataFrame:
     """(page_id, pos, found, text) of body(page_id, pos, text), the text blocks of scans that have words with other readings."""
-    counts = settle(unit_counts(textdf, nlpdocs))
+    counts = settle(unit_counts(textdf, pdf))
     tokens = settle(body.select("page_id", "pos", F.explode(row_units("text")).alias("unit")))
     total = float(counts.agg(F.sum("n").alias("n")).collect()[0].n or 1)
     read = settle(readings(tokens.select("unit"), counts, total))
@@ -460,16 +466,17 @@ def decode(body: DataFrame, textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     beside = tokens.join(lattice, "unit").groupBy("page_id", "pos").agg(F.sort_array(F.collect_list(F.struct("unit", "readings"))).alias("lattice"))
     blocks = settle(body.select("page_id", "pos", "text").join(beside, ["page_id", "pos"]))
     keys = settle(blocks.mapInArrow(_needed_keys, "page_id long, pos int, key long"))
-    pairs = settle(neighbour_counts(textdf, nlpdocs, keys.select("key").distinct()))
+    pairs = settle(neighbour_counts(textdf, pdf, keys.select("key").distinct()))
     own = keys.join(pairs, "key").groupBy("page_id", "pos").agg(F.collect_list(F.struct("key", "n")).alias("counts"))
     return blocks.join(own, ["page_id", "pos"], "left").select("page_id", "pos", "text", "lattice", "counts").mapInArrow(decoded(total), "page_id long, pos int, found boolean, text string")
 
 
 def scan_noise(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """(page_id, pos, noise) of the rows of scanned pages."""
-    rows = settle(scan_rows(textdf, nlpdocs))
+    pdf = pdf_pages(nlpdocs)
+    rows = settle(scan_rows(textdf, pdf))
     body = rows.where("role = 'text'")
-    misread = decode(body, textdf, nlpdocs).where("found")
+    misread = decode(body, textdf, pdf).where("found")
     split = body.where(F.col("text").rlike("(?<=[\\p{L}\\p{M}])[-¬\\u00AD‐]\\s*\\n\\s*(?=\\p{L})"))
     parts = (
         rows.where("role <> 'text'").select("page_id", "pos", F.col("role").alias("noise")),
@@ -504,6 +511,7 @@ def joined_text(texts: pa.Array) -> pa.Array:
 
 def repaired_blocks(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """(page_id, pos, text) of the blocks of scanned pages as continuous readable text, without headers and page numbers."""
-    rows = settle(scan_rows(textdf, nlpdocs).where("role = 'text'"))
-    fixed = decode(rows, textdf, nlpdocs).select("page_id", "pos", F.col("text").alias("fixed"))
+    pdf = pdf_pages(nlpdocs)
+    rows = settle(scan_rows(textdf, pdf).where("role = 'text'"))
+    fixed = decode(rows, textdf, pdf).select("page_id", "pos", F.col("text").alias("fixed"))
     return rows.join(fixed, ["page_id", "pos"], "left").select("page_id", "pos", F.coalesce("fixed", joined_text("text")).alias("text"))
