@@ -170,13 +170,15 @@ def main_body(textdf: DataFrame, nlpdocs: DataFrame, carry: tuple[Column, ...] =
     small = rec.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda d: d)
     carried = [c for c in rows.columns if c not in _OWN]
+    # rows without a key (most) have one of their own in a shuffle, so that they aren't all in one task
+    spread = (lambda c: F.col(c)) if small else (lambda c: F.coalesce(F.col(c), F.xxhash64("page_id", "pos", F.lit(c))))
     for key in ("top_key", "leaf_key", "slot_key", "label_key"):
         r = rec.select(F.col("siteindex").alias("_s"), F.col("key").alias("_k"), F.lit(True).alias(f"{key}_rec"))
-        rows = rows.join(hint(r), (rows["siteindex"] == r["_s"]) & (rows[key] == r["_k"]), "left").drop("_s", "_k")
+        rows = rows.withColumn("_j", spread(key)).join(hint(r), (F.col("siteindex") == F.col("_s")) & (F.col("_j") == F.col("_k")), "left").drop("_s", "_k", "_j")
     # a heading that is a template on any host marks the one-line teasers it labels on all hosts
-    heads = rec.where("head").select(F.col("key").alias("label_key"), F.lit(True).alias("anywhere_rec")).distinct()
-    rows = rows.join(hint(heads), "label_key", "left")
-    rec_of = lambda k: F.coalesce(F.col(f"{k}_rec"), F.lit(False))
+    heads = rec.where("head").select(F.col("key").alias("_k"), F.lit(True).alias("anywhere_rec")).distinct()
+    rows = rows.withColumn("_j", spread("label_key")).join(hint(heads), F.col("_j") == F.col("_k"), "left").drop("_j", "_k")
+    rec_of = lambda k: F.coalesce(F.col(f"{k}_rec"), F.lit(False)) & F.col("label_key" if k == "anywhere" else k).isNotNull()
     boiler = F.col("outside") | (
         F.col("in_section") & (rec_of("top_key") | rec_of("label_key") | rec_of("anywhere") | rec_of("leaf_key") | rec_of("slot_key"))
     )

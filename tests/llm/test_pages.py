@@ -69,6 +69,12 @@ def test_boilerplate(site):
     assert PROSE in kept and "Item number one" in kept and "Title 3" in kept
 
 
+def test_boilerplate_by_shuffle(site, monkeypatch):
+    want = sorted(mainbody.boilerplate_found(*site).collect())
+    monkeypatch.setattr(mainbody, "BROADCAST_ROWS", -1)
+    assert sorted(mainbody.boilerplate_found(*site).collect()) == want
+
+
 def test_a_page_without_sections_keeps_its_text(spark, site):
     t, docs = site
     flat = [(90, k, 0, "TextBlock" if k > 2 else "Document", ("Start", "Title", "Uri", "Text", "Text")[k], 1, x, "", "", "") for k, x in enumerate((None, "T", "http://s0/90", PROSE, "More of it."))]
