@@ -121,33 +121,46 @@ def moving_novelty(ratios: DataFrame, window: int = 1000) -> DataFrame:
     return moving_mean(ratios.select("site", "doc", "ratio"), ["site"], [F.col("doc")], "ratio", window, "moving_ratio").select("site", "doc", "moving_ratio")
 
 
-def first_stop(log: DataFrame, sites: DataFrame, max_errors: int = 20, window: int = 1000) -> DataFrame:
+def first_stop(log: DataFrame, sites: DataFrame, max_errors: int = 20, window: int = 1000, max_minutes: int = 0, max_bytes: int = 0) -> DataFrame:
     """The first request of a site at which a stop condition holds, and which.
 
-    Conditions in their order: pages, errors, unique text below the site's minimum."""
+    Conditions in their order: duration in whole minutes since the site's first request (0: none), pages, errors, unique
+    text below the site's minimum, size of what was downloaded (0: none)."""
     order = [F.col("clock"), F.col("request_id")]
-    log = log.select("siteindex", "clock", "request_id", "status_code", "error_message", "unique_text_blocks_pct")
+    log = log.select("siteindex", "clock", "request_id", "status_code", "error_message", "unique_text_blocks_pct", "content_size_bytes")
     rows = moving_mean(log, ["siteindex"], order, "unique_text_blocks_pct", window, "unique_mean").drop("_i")
     ok, bad = F.coalesce(F.col("status_code") == "OK", F.lit(False)).cast("long"), F.col("error_message").isNotNull().cast("long")
-    rows = running(rows, ["siteindex"], order, {"pages": ok, "errors": bad}, seq="seq").join(sites.select("siteindex", "maxpagecount", "minuniquetext"), "siteindex")
+    rows = running(rows, ["siteindex"], order, {"pages": ok, "errors": bad, "bytes": F.col("content_size_bytes")}, seq="seq")
+    begun = log.groupBy("siteindex").agg(F.min("clock").alias("begun"))
+    rows = rows.join(sites.select("siteindex", "maxpagecount", "minuniquetext"), "siteindex").join(begun, "siteindex")
+    minutes = F.floor((F.unix_timestamp("clock") - F.unix_timestamp("begun")) / 60)
     reason = (
-        F.when(F.col("pages") >= F.col("maxpagecount"), "pages")
+        F.when(F.lit(max_minutes > 0) & (minutes >= max_minutes), "duration")
+        .when(F.col("pages") >= F.col("maxpagecount"), "pages")
         .when(F.col("errors") > max_errors, "errors")
         .when((F.col("seq") >= 10) & (F.col("unique_mean") * 100 < F.col("minuniquetext")), "unique")
+        .when(F.lit(max_bytes > 0) & (F.col("bytes") >= max_bytes), "size")
     )
     hits = rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
     first = hits.groupBy("siteindex").agg(F.min(F.struct("seq", "reason", "request_id")).alias("f"))
     return first.select("siteindex", F.col("f.seq").cast("int").alias("seq"), "f.reason", "f.request_id")
 
 
-def should_crawl(url: Column, root: Column, scope: Column, depth: Column, redirects: Column, max_depth: int = 100, max_redirects: int = 7) -> Column:
-    """(allowed, reason) of a page before it is fetched; the first rule that refuses decides."""
+def should_crawl(
+    url: Column, root: Column, scope: Column, depth: Column, redirects: Column, max_depth: int = 100, max_redirects: int = 7,
+    pages: Column | None = None, max_pages: int = 0, domain_pages: Column | None = None, max_domain_pages: int = 0,
+) -> Column:
+    """(allowed, reason) of a page before it is fetched; the first rule that refuses decides.
+
+    ``pages`` and ``domain_pages`` are how many pages were crawled before, in all and of the page's domain; 0 allows any number."""
     no = lambda why: F.struct(F.lit(False).alias("allowed"), F.lit(why).alias("reason"))
     return (
         F.when(url.isNull() | (url == ""), no("no url"))
         .when(F.coalesce(redirects, F.lit(0)) > max_redirects, no("too many redirects"))
         .when(F.coalesce(depth, F.lit(0)) > max_depth, no("too deep"))
         .when(~urls.scheme(url).isin("http", "https"), no("scheme"))
+        .when(F.lit(max_pages > 0) & (F.coalesce(pages if pages is not None else F.lit(0), F.lit(0)) >= max_pages), no("too many pages"))
+        .when(F.lit(max_domain_pages > 0) & (F.coalesce(domain_pages if domain_pages is not None else F.lit(0), F.lit(0)) >= max_domain_pages), no("too many pages of the domain"))
         .when(~F.coalesce(urls.in_scope(url, root, scope), F.lit(False)), no("external"))
         .otherwise(F.struct(F.lit(True).alias("allowed"), F.lit(None).cast("string").alias("reason")))
     )

@@ -369,6 +369,31 @@ def latest_errors(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy("siteindex").agg(F.count(F.lit(1)).alias("errors"), F.max("clock").alias("latest"))
 
 
+@query(
+    f"""WITH x AS (SELECT siteindex, request_id, clock, row_number() OVER w AS seq, sum(coalesce(content_size_bytes, 0)) OVER u AS bytes, min(clock) OVER (PARTITION BY siteindex) AS begun FROM {_R}
+             WINDOW w AS (PARTITION BY siteindex ORDER BY clock NULLS FIRST, request_id), u AS (PARTITION BY siteindex ORDER BY clock NULLS FIRST, request_id ROWS UNBOUNDED PRECEDING)),
+        y AS (SELECT siteindex, seq, CASE WHEN (epoch_us(clock) // 1000000 - epoch_us(begun) // 1000000) // 60 >= 30 THEN 'duration' WHEN bytes >= 300000 THEN 'size' END AS reason FROM x)
+        SELECT siteindex, min(seq)::INT AS seq, arg_min(reason, seq) AS reason FROM y WHERE reason IS NOT NULL GROUP BY siteindex"""
+)
+def stops_by_duration_or_size(spark: SparkSession, d: str) -> DataFrame:
+    """Where crawls of half an hour or 300,000 bytes at most would have ended, without other conditions."""
+    sites = table(spark, d, "websites").select("siteindex", F.lit(None).cast("int").alias("maxpagecount"), F.lit(0).alias("minuniquetext"))
+    return crawl.first_stop(_requests(spark, d), sites, max_errors=2**31 - 1, max_minutes=30, max_bytes=300_000).select("siteindex", "seq", "reason")
+
+
+@query(
+    f"""WITH n AS (SELECT request_id, url, row_number() OVER (PARTITION BY siteindex ORDER BY request_id) - 1 AS before FROM {_R} WHERE regexp_matches(lower(url), '^https?://'))
+        SELECT request_id, CASE WHEN before >= 20 THEN 'too many pages of the domain' END AS reason FROM n"""
+)
+def crawl_capped_by_domain(spark: SparkSession, d: str) -> DataFrame:
+    """Requests beyond the twentieth of their site, by the page predicate with a cap."""
+    from corpusloom.operators.running import running
+
+    rows = running(_requests(spark, d).where(F.lower("url").rlike("^https?://")).select("siteindex", "request_id", "url"), ["siteindex"], [F.col("request_id")], seq="n")
+    verdict = crawl.should_crawl(F.col("url"), F.col("url"), F.lit("subdomain"), F.lit(0), F.lit(0), domain_pages=F.col("n") - 1, max_domain_pages=20)
+    return rows.select("request_id", verdict["reason"].alias("reason"))
+
+
 # sources and sinks
 
 

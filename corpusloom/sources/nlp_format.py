@@ -174,6 +174,12 @@ def _with_end_titles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(end & (F.col("docelttype") != "Document"), last).otherwise(F.col("text")))
 
 
+def file_name(doc: str) -> str:
+    """The file of a document below its folder: without scheme and leading slashes, and never above the folder."""
+    parts = [p for p in doc.partition("://")[2 if "://" in doc else 0].split("/") if p not in ("", ".", "..")]
+    return "/".join(parts or ["_default_"]).removesuffix(".nlp.txt") + ".nlp.txt"
+
+
 def write_documents(rows: DataFrame, folder: str) -> None:
     """A file of a document's lines for each document, doc.nlp.txt below the folder (in its sub-folders, if doc has slashes), so
     that load_documents reads them again.  Each task writes the files of its documents; a repeated task writes the same files."""
@@ -182,7 +188,7 @@ def write_documents(rows: DataFrame, folder: str) -> None:
         fs, base = pa_fs.FileSystem.from_uri(folder)
         for batch in batches:
             for doc, value in zip(batch.column("doc").to_pylist(), batch.column("value").to_pylist()):
-                path = f"{base}/{doc.lstrip('/')}.nlp.txt"
+                path = f"{base}/{file_name(doc)}"
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(path) as f:
                     f.write(value.encode())

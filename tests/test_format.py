@@ -91,3 +91,17 @@ def test_empty_groups_go_but_navigation_stays(spark):
 def test_end_carries_the_title(spark):
     lines = rendered(spark, f"<h1>{'t' * 60}</h1><p>x</p>")
     assert lines[-1] == "## 1 Section End <<" + "t" * 47 + "...>>"
+
+
+def test_file_names():
+    names = {"a/b": "a/b.nlp.txt", "file:///x/y.nlp.txt": "x/y.nlp.txt", "../../etc/x": "etc/x.nlp.txt", "": "_default_.nlp.txt", "/": "_default_.nlp.txt"}
+    assert {d: nlp_format.file_name(d) for d in names} == names
+
+
+def test_written_files_are_read_again(spark, tmp_path):
+    df = spark.createDataFrame([("one", i, *r) for i, r in enumerate(ROWS)] + [("two/x", i, *r) for i, r in enumerate(ROWS[:4])], nlp_format.SCHEMA)
+    nlp_format.write_documents(df, str(tmp_path))
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*.nlp.txt")) == ["one.nlp.txt", "two/x.nlp.txt"]
+    back = nlp_format.load_documents(spark, str(tmp_path))
+    nlp_format.write_documents(back, str(tmp_path / "again"))  # their names now are whole paths
+    assert back.count() == nlp_format.load_documents(spark, str(tmp_path / "again")).count()
