@@ -245,17 +245,16 @@ def line_language(packed: Column) -> Column:
     return F.coalesce(*(F.when(behind(packed, i) == 0, F.lit(c)) for i, c in enumerate(LANGUAGES)))
 
 
-def line_languages(rows: DataFrame) -> DataFrame:
-    """(page_id, pos, line_no, lang, confidence) of every line with letters of page_lines: its language by itself."""
-    lines = rows.where(~F.col("is_doc") & F.col("has_text")).select("page_id", "pos", F.inline("lines"))
-    odds = sum((F.exp(-_STEP * behind(F.col("packed"), i)) for i in range(1, len(LANGUAGES))), F.exp(-_STEP * behind(F.col("packed"), 0)))
-    return lines.select("page_id", "pos", "line_no", line_language(F.col("packed")).alias("lang"), (1 / odds).alias("confidence"))
+def line_confidence(packed: Column) -> Column:
+    """The posterior of a line's best language."""
+    odds = sum((F.exp(-_STEP * behind(packed, i)) for i in range(1, len(LANGUAGES))), F.exp(-_STEP * behind(packed, 0)))
+    return 1 / odds
 
 
-def language_found(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
-    """(page_id, pos, line_no, lang): pages without their right label, at 0, 0, and long lines in
+def language_found(textdf: DataFrame, nlpdocs: DataFrame, model: ByteGRU | None = None) -> DataFrame:
+    """(page_id, pos, line_no, lang, confidence): pages without their right label, at 0, 0, and long lines in
     another language than their page's."""
-    rows = page_lines(textdf, nlpdocs).where(F.col("has_text") & ~F.col("is_doc"))
+    rows = page_lines(textdf, nlpdocs, model).where(F.col("has_text") & ~F.col("is_doc"))
     rows = settle(rows.select("page_id", "pos", "kind", "cmd", "level", "is_doc", "boiler", "st", "lines"))
     pages = settle(page_languages(rows, nlpdocs))
     wrong = pages.where(~label_code(F.col("label")).eqNullSafe(F.col("lang")))
@@ -263,5 +262,5 @@ def language_found(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     lines = rows.where(~F.col("is_doc")).select("page_id", "pos", F.inline("lines")).where(F.col("chars") >= LONG_LINE)
     lines = lines.join(pages.select("page_id", F.col("lang").alias("page_lang")), "page_id")
     far = F.coalesce(*(F.when(F.col("page_lang") == c, behind(F.col("packed"), i)) for i, c in enumerate(LANGUAGES)))
-    foreign = lines.where(far >= MARGIN).select("page_id", "pos", "line_no", line_language(F.col("packed")).alias("lang"))
-    return wrong.select("page_id", zero.alias("pos"), zero.alias("line_no"), "lang").unionByName(foreign)
+    foreign = lines.where(far >= MARGIN).select("page_id", "pos", "line_no", line_language(F.col("packed")).alias("lang"), line_confidence(F.col("packed")).alias("confidence"))
+    return wrong.select("page_id", zero.alias("pos"), zero.alias("line_no"), "lang", "confidence").unionByName(foreign)

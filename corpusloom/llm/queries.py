@@ -38,7 +38,7 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.language_found(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
+    return language.language_found(table(spark, d, "textdf"), table(spark, d, "nlpdocs")).drop("confidence")
 
 
 def p5_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +47,8 @@ def p5_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The language of every line by itself, with its confidence."""
-    return language.line_languages(language.page_lines(table(spark, d, "textdf"), table(spark, d, "nlpdocs")))
+    """The rows of p5_found with their confidence."""
+    return language.language_found(table(spark, d, "textdf"), table(spark, d, "nlpdocs"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -137,13 +137,11 @@ def test_score_packing():
     assert got == [0, 1, 16, 17, 31.75, 31.75, 0, 0.25, 0.25]
 
 
-def test_line_languages(spark):
-    from corpusloom.llm.gru import ByteGRU
-
-    t, n = frames(spark, [(1, i, 0, "TextBlock", "Text", 2, x, "", "", "") for i, x in enumerate(["one line\nand two", None, "12"])])
-    model = ByteGRU(len(language.LANGUAGES), hidden=4)
-    got = language.line_languages(language.page_lines(t, n, model)).collect()
-    assert {(r.pos, r.line_no) for r in got} == {(0, 1), (0, 2)} and all(1 / 9 < r.confidence <= 1 for r in got)
+def test_line_confidence(spark):
+    scores = np.array([[0, -1.0, -2.0, -8, -8, -8, -8, -8, -8], [0] * 9])
+    df = spark.createDataFrame([(int(x),) for x in language.pack(scores)], "packed long").select(language.line_language(F.col("packed")).alias("l"), language.line_confidence(F.col("packed")).alias("c"))
+    got = [tuple(r) for r in df.collect()]
+    assert got[0] == ("fr", pytest.approx(1 / np.exp(scores[0]).sum())) and got[1] == ("fr", pytest.approx(1 / 9))
 
 
 def test_scan_noise(spark):
