@@ -82,8 +82,9 @@ def test_leaks_brute_force(spark):
         None, "", "nothing here", f"Before. {items[0]} After.", items[1].upper().replace("É", "É"), " ".join(items[2].split()[:12]), " ".join(items[2].split()[:11]),
         " ".join(items[2].split()[3:15]) + " tail", f"{items[0]} {items[2]}", items[0].replace(" ", " - "), "word " * 5000 + items[1],
     ]
-    grams = {i: {tuple(w[k : k + 12]) for w in [fold(t)] for k in range(len(w) - 11)} for i, t in enumerate(items)}
-    want = {(d, i) for d, t in enumerate(texts) for i, g in grams.items() if g & {tuple(fold(t)[k : k + 12]) for k in range(len(fold(t)) - 11)}}
+    runs = lambda w: {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
+    grams = {i: runs(fold(t)) for i, t in enumerate(items)}
+    want = {(d, i) for d, g in enumerate(runs(fold(t)) for t in texts) for i, other in grams.items() if g & other}
     e = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
     assert {tuple(r) for r in leaks.verbatim_leaks(docs(spark, texts), e).collect()} == want
     assert leaks.verbatim_leaks(docs(spark, []), e).count() == 0
