@@ -100,6 +100,7 @@ def sign(words: pa.ListArray) -> pa.Array:
         with np.errstate(over="ignore"):
             least = np.empty((len(starts), SIGNATURE), np.uint32)
             cut = np.unique(np.searchsorted(starts, np.arange(0, len(x), CHUNK)))  # parts that stay in the processor's cache
+            cut = cut[cut < len(starts)]  # the last set may go beyond the last multiple of CHUNK
             for p, q in zip(cut, [*cut[1:], len(starts)]):
                 part = x[starts[p] : starts[q] if q < len(starts) else len(x)]
                 for i, (a, b) in enumerate(zip(_A, _B)):

@@ -239,6 +239,20 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= 398
 
 
+def test_signatures_across_chunks():
+    """Sets that end beyond a multiple of CHUNK, longer ones and empty ones have the signatures they have alone."""
+    rng = np.random.default_rng(5)
+    for sizes in ((near_duplicates.CHUNK - 10, 0, 40), (near_duplicates.CHUNK * 2 + 9,), (30, near_duplicates.CHUNK + 50, 2, 60)):
+        lists = [rng.integers(-(2**31), 2**31, n).astype(np.int32) for n in sizes]
+        together = near_duplicates.sign(pa.array(lists, pa.list_(pa.int32()))).to_pylist()
+        for words, got in zip(lists, together):
+            runs = np.array(got["runs"], np.int32).view(np.uint32).astype(np.uint64)
+            assert len(runs) == max(len(words) - near_duplicates.RUN + 1, 0)
+            least = [int(((runs * a + b) >> np.uint64(32)).min()) for a, b in zip(near_duplicates._A, near_duplicates._B)] if len(runs) else None
+            assert got["signature"] == (least and np.array(least, ">u4").tobytes())
+            assert got["set_hash"] == near_duplicates.sign(pa.array([words], pa.list_(pa.int32()))).to_pylist()[0]["set_hash"]
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([("FR",), ("it-419",), (" de ",), ("xx",), ("",), (None,)], "lang string")
     assert [r[0] for r in df.select(language.label_code(F.col("lang"))).collect()] == ["fr", "it", "de", None, None, None]
