@@ -1,14 +1,17 @@
 """Problem 2: page boilerplate mixed with main content.
 
 Site template removal.  A page of the element stream is a sequence of
-level-1 subtrees (sections, lists, single blocks).  Every leaf that can stand
-for one (a heading, the first block below a heading, the label in front of a
-colon) gets a hash of its normalised content; subtrees as a whole aren't
-hashed.  Spark counts the pages of each host on which a hash comes back; a
-section whose heading (or first leaf) recurs is deleted together with everything
-below it.  What hangs directly at level 1 outside any section is taken as page
-chrome by its position, unless the page has no other text at all; so what
-remains inside the surviving sections is the main body.
+level-1 subtrees (sections, lists, single blocks), which nest.  Every row has a
+hash of its level and normalised text (if long, its text in lower case); the hash of a subtree is made of the sum
+of its root's and its children's, whole texts of any length included.  Spark
+counts the different page bodies of each host in which a hash comes back, and a
+subtree that recurs is deleted with everything below it.  For templates that
+change from page to page, leaves that can stand for a section (its heading, the
+first block below a heading, the label in front of a colon) have keys as well; a
+section whose heading (or first leaf) recurs is deleted too.  What hangs directly
+at level 1 outside any section and doesn't recur (trails, teaser lists) is taken
+as page chrome by its position, unless the page has no other text at all; so
+what remains inside the surviving sections is the main body.
 
 Nulls: rows without page_id or pos are ignored; a null text never is
 boilerplate; a null docelttype is resolved from the neighbouring rows; a null
@@ -18,22 +21,30 @@ results.  Extra columns of the inputs are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.session import settle
 
-#: A hash recurs on a host if it is on so many pages and on this share of them.
+#: A hash recurs on a host if it is in so many page bodies, and in as many as this share of its pages.
 MIN_PAGES = 3
 LEAF_SHARE = 0.02
 SLOT_SHARE = 0.05
 #: Leaves beyond this length are running text; a subtree that begins with one isn't a template.
 SHORT = 160
+#: Subtrees rooted at these levels have hashes of their own; what is deeper counts in theirs.
+TREES = (1, 2, 3)
+#: Bits of a row's hash, so that the sum of four million rows doesn't overflow.
+ROW_BITS = 40
 #: The table of recurring hashes is broadcast up to this many rows, else joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
-_OWN = set("page_id pos siteindex kind cmd level has_text is_doc pdf outside in_section top_key label_key leaf_key slot_key head_key body_key".split())
+_PARTS = set("again bodied n slots label long title top first uri_pdf titled sketch".split())
+_OWN = set("page_id pos siteindex kind cmd level has_text is_doc pdf outside in_section top_key label_key leaf_key slot_key head_key body_key body page_title trees".split()) | {f"tree_{k}" for k in TREES}
 
 
 def norm(c: Column) -> Column:
@@ -57,10 +68,12 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     take part in it: what is needed of them is computed in the scan, and so are
     the aliased columns ``carry``."""
     t = F.col("text")
+    content = norm(t)
     # only headings and the first leaves of sections stand for a subtree, only blocks carry labels
     level = F.coalesce(F.col("nestinglevel").cast("int"), F.lit(2))
-    head = F.when((level <= 2) & (F.length(t) <= SHORT), t)
-    short = F.when((level == 2) & ~F.coalesce(F.col("docelttype") == "ListItem", F.lit(False)), head)
+    brief = (level <= 2) & (F.length(t) <= SHORT)
+    short = F.when(brief & (level == 2) & ~F.coalesce(F.col("docelttype") == "ListItem", F.lit(False)), t)
+    element = F.coalesce(F.col("docelttype") != "Document", ~F.col("doceltcmd").isin("Title", "Uri"), F.lit(True))
     cased = F.regexp_replace(short, r"(?<=\S\s{1,3})\p{Lu}[\p{L}\p{M}.’']*", "X")
     slots = (
         F.when(short.rlike(r"[,，]\s*[^,，]+$"), F.concat(F.lit("… "), F.regexp_extract(short, r"[,，]\s*([^,，]+)$", 1)))
@@ -77,8 +90,10 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
         level.alias("level"),
         t.isNotNull().alias("has_text"),
         F.coalesce(F.length(t) > SHORT, F.lit(False)).alias("long"),
-        norm(head).alias("n"),
+        F.when(brief, content).alias("n"),
+        F.when(element & ((F.length(t) > SHORT) | (F.length(content) > 0)), F.shiftrightunsigned(F.xxhash64(level, F.when(F.length(t) > SHORT, F.lower(F.trim(t))).otherwise(content)), 64 - ROW_BITS)).otherwise(0).alias("v"),
         norm(slots).alias("slots"),
+        F.when((F.col("doceltcmd") == "Title") & t.isNotNull(), F.xxhash64(F.lower(F.trim(t)))).alias("titled"),
         F.when(F.col("doceltcmd") == "Uri", is_pdf(t)).alias("uri_pdf"),
         F.when(
             (F.col("doceltcmd") == "Text") & ~short.rlike(r"[.!?。！？]\s*$"),
@@ -118,40 +133,71 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     in_list = F.coalesce(F.col("top.list"), F.lit(False))
     level1_text = (F.col("level") == 1) & ~F.col("is_doc") & (F.col("cmd") == "Text")
     # a page without any text below level 1 but in lists has nothing but its level-1 rows for a body
-    bodied = F.max((F.col("level") > 1) & ~in_list & ~F.col("is_doc") & (F.col("cmd") == "Text") & F.col("has_text")).over(Window.partitionBy("page_id"))
-    return rows.withColumn("bodied", bodied).withColumns(
-        {
-            "outside": F.col("bodied") & (level1_text | (in_list & ~F.col("is_doc"))),
-            "in_section": in_section & ~F.col("is_doc"),
-            "top_key": F.when(in_section, F.col("top.key")),
-            # keys that may recur: own heading or label; for the first block of a section its leaf and its slots
-            "label_key": F.when(in_section & (F.col("level") == 2), _h("head", F.col("label"))),
-            "leaf_key": F.when(F.col("first"), _h("first", F.col("n"))),
-            "slot_key": F.when(F.col("first"), _h("slots", F.col("slots"))),
-            "head_key": F.when((F.col("level") == 1) & ~F.col("is_doc") & F.col("has_text"), _h("head", F.col("n"))),
-            "body_key": F.when((F.col("level") == 1) & in_section, F.col("top.key")),
-        }
-    ).drop("again", "bodied", "n", "slots", "label", "long", "title", "top", "first", "uri_pdf")
+    whole = Window.partitionBy("page_id")
+    bodied = F.max((F.col("level") > 1) & ~in_list & ~F.col("is_doc") & (F.col("cmd") == "Text") & F.col("has_text")).over(whole)
+    # copies of a page have its title, exact ones its running text as well
+    page_title = F.coalesce(F.min("titled").over(whole), F.xxhash64("page_id"))
+    sketch = F.min(F.when(F.col("long") & (F.col("level") > 1) & (F.col("v") > 0), F.col("v"))).over(whole)
+    rows = rows.withColumns({"bodied": bodied, "page_title": page_title, "sketch": sketch, "before": F.sum("v").over(upto) - F.col("v")})
+    # a subtree's sum is what has run up at its end less what had at its beginning; the lowest bit tells roots that have a hash
+    opens = ~F.col("is_doc") & F.coalesce(F.col("cmd") != "End", F.lit(True))
+    holds = (F.col("cmd") == "Start") & F.coalesce(F.col("kind").isin("Section", "List", "NavigationList"), F.lit(True))
+    roots = {}
+    for k in TREES:  # blocks, items and cells below level 1 are no templates alone: bodies have equal ones
+        rooted = (F.col("level") == k) & (F.lit(True) if k == 1 else holds)
+        roots[f"root_{k}"] = F.last(F.when(opens & (F.col("level") <= k), F.col("before") * 2 + rooted.cast("int")), ignorenulls=True).over(upto)
+    rows = rows.withColumns(roots).where(F.col("has_text") | opens | (F.col("level") == 1))
+    rows = rows.select(
+        *(c for c in rows.columns if c not in _PARTS),
+        F.xxhash64("page_title", F.coalesce("sketch", "page_id")).alias("body"),
+        (F.col("bodied") & (level1_text | (in_list & ~F.col("is_doc")))).alias("outside"),
+        (in_section & ~F.col("is_doc")).alias("in_section"),
+        F.when(in_section, F.col("top.key")).alias("top_key"),
+        # keys that may recur: own heading or label; for the first block of a section its leaf and its slots
+        F.when(in_section & (F.col("level") == 2), _h("head", F.col("label"))).alias("label_key"),
+        F.when(F.col("first"), _h("first", F.col("n"))).alias("leaf_key"),
+        F.when(F.col("first"), _h("slots", F.col("slots"))).alias("slot_key"),
+        F.when((F.col("level") == 1) & ~F.col("is_doc") & F.col("has_text"), _h("head", F.col("n"))).alias("head_key"),
+        F.when((F.col("level") == 1) & in_section, F.col("top.key")).alias("body_key"),
+    )
+    down = Window.partitionBy("page_id").orderBy(F.col("pos").desc())
+    later = down.rowsBetween(Window.unboundedPreceding, -1)
+    ends = {f"end_{k}": F.last(F.when(opens & (F.col("level") <= k), F.col("before")), ignorenulls=True).over(later) for k in TREES}
+    rows = rows.withColumns({**ends, "total": F.first(F.col("before") + F.col("v")).over(down.rowsBetween(Window.unboundedPreceding, 0))})
+    trees, named = {}, []
+    for k in TREES:
+        at = F.shiftright(f"root_{k}", 1)
+        held = F.coalesce(F.col(f"end_{k}"), F.col("total")) - at
+        trees[f"tree_{k}"] = F.when((F.col(f"root_{k}") % 2 == 1) & ~F.col("is_doc") & (held > 0), F.xxhash64(F.lit("tree"), held))
+        # the first row with content names the subtrees that begin with it
+        named.append(F.when((F.col("v") > 0) & (F.col("before") == at), trees[f"tree_{k}"]))
+    gone = ["v", "before", "total", *(f"{x}_{k}" for x in ("root", "end") for k in TREES)]
+    return rows.withColumns({**trees, "trees": F.array_compact(F.array(*named))}).drop(*gone)
 
 
 def recurring(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """(siteindex, key, head): the subtree hashes that come back on too many pages of their host."""
+    """(siteindex, key, head): the hashes that come back in too many page bodies of their host."""
     names = ("leaf_key", "slot_key", "head_key", "body_key", "label_key")
     keys = F.filter(
         F.array(*(F.struct(F.col(k).alias("key"), F.lit(k == "leaf_key").alias("leaf"), F.lit(k == "head_key").alias("head")) for k in names)),
         lambda x: x["key"].isNotNull(),
     )
+    keys = F.concat(keys, F.transform("trees", lambda k: F.struct(k.alias("key"), F.lit(False).alias("leaf"), F.lit(False).alias("head"))))
     one = (
         rows.where(F.size(keys) > 0)
-        .select("page_id", "siteindex", F.explode(keys).alias("x"))
-        .groupBy("page_id", "siteindex", "x.key")
+        .select("body", "page_title", "siteindex", F.explode(keys).alias("x"))
+        .groupBy("body", "page_title", "siteindex", "x.key")
         .agg(F.max("x.leaf").alias("leaf"), F.max("x.head").alias("head"))
     )
     counts = (
         one.groupBy("siteindex", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("leaf").alias("leaf"), F.max("head").alias("head"))
-        .where(F.col("n") >= MIN_PAGES)
+        .agg(F.count(F.lit(1)).alias("bodies"), F.countDistinct("page_title").alias("titles"), F.max("leaf").alias("leaf"), F.max("head").alias("head"))
+        .where(F.col("bodies") >= MIN_PAGES)
     )
+    # pages of one title are like copies, unless most pages of the host have the same few titles
+    own = rows.where(F.col("cmd") == "Title").groupBy("siteindex").agg((F.countDistinct("page_title") * 2 >= F.countDistinct("page_id")).alias("own"))
+    counts = counts.join(own, "siteindex", "left").withColumn("n", F.when(F.col("own"), F.col("titles")).otherwise(F.col("bodies")))
+    counts = counts.where(F.col("n") >= MIN_PAGES)
     total = pages.groupBy("siteindex").agg(F.countDistinct("page_id").alias("pages"))
     share = F.when(F.col("leaf"), F.lit(LEAF_SHARE)).otherwise(F.lit(SLOT_SHARE))
     return counts.join(total, "siteindex").where(F.col("n") >= share * F.col("pages")).select("siteindex", "key", "head")
@@ -172,14 +218,15 @@ def main_body(textdf: DataFrame, nlpdocs: DataFrame, carry: tuple[Column, ...] =
     carried = [c for c in rows.columns if c not in _OWN]
     # rows without a key (most) have one of their own in a shuffle, so that they aren't all in one task
     spread = (lambda c: F.col(c)) if small else (lambda c: F.coalesce(F.col(c), F.xxhash64("page_id", "pos", F.lit(c))))
-    for key in ("top_key", "leaf_key", "slot_key", "label_key"):
+    trees = [f"tree_{k}" for k in TREES]
+    for key in ("top_key", "leaf_key", "slot_key", "label_key", *trees):
         r = rec.select(F.col("siteindex").alias("_s"), F.col("key").alias("_k"), F.lit(True).alias(f"{key}_rec"))
         rows = rows.withColumn("_j", spread(key)).join(hint(r), (F.col("siteindex") == F.col("_s")) & (F.col("_j") == F.col("_k")), "left").drop("_s", "_k", "_j")
     # a heading that is a template on any host marks the one-line teasers it labels on all hosts
     heads = rec.where("head").select(F.col("key").alias("_k"), F.lit(True).alias("anywhere_rec")).distinct()
     rows = rows.withColumn("_j", spread("label_key")).join(hint(heads), F.col("_j") == F.col("_k"), "left").drop("_j", "_k")
     rec_of = lambda k: F.coalesce(F.col(f"{k}_rec"), F.lit(False)) & F.col("label_key" if k == "anywhere" else k).isNotNull()
-    boiler = F.col("outside") | (
+    boiler = F.col("outside") | reduce(or_, map(rec_of, trees)) | (
         F.col("in_section") & (rec_of("top_key") | rec_of("label_key") | rec_of("anywhere") | rec_of("leaf_key") | rec_of("slot_key"))
     )
     keep = ["page_id", "pos", "siteindex", "kind", "cmd", "level", "has_text", "is_doc", "pdf"]

@@ -82,6 +82,40 @@ def test_a_page_without_sections_keeps_its_text(spark, site):
     assert not [r for r in mainbody.boilerplate_found(t, docs).collect() if r.page_id == 90]
 
 
+def own_page(i, title, parts):
+    rows = page(i, 0, [("Section", "Start", 1, title), ("TextBlock", "Text", 2, f"{title} {PROSE}"), ("Section", "End", 1, None), *parts])
+    return [(*r[:6], title, *r[7:]) if r[4] == "Title" else r for r in rows]
+
+
+TOPICS = ("apple", "bridge", "candle", "desert", "engine", "forest", "garden", "harbour")
+
+
+def test_whole_subtrees_recur(spark):
+    """A subtree that is equal on many pages goes, whatever its first row is, at any depth; one of which a row differs stays."""
+    notice = "All contents of this site are protected, and whoever copies them needs our leave in writing. " * 2
+    def parts(word):
+        return [
+            ("Section", "Start", 1, None), ("TextBlock", "Text", 2, notice), ("TextBlock", "Text", 2, "Ask the office."), ("Section", "End", 1, None),
+            ("Section", "Start", 1, None), ("TextBlock", "Text", 2, f"{PROSE} {word}"),
+            ("Section", "Start", 2, None), ("TextBlock", "Text", 3, notice.upper()), ("TextBlock", "Text", 3, "Ask us."), ("Section", "End", 2, None),
+            ("List", "Start", 2, None), ("ListItem", "Text", 3, "red paint"), ("ListItem", "Text", 3, f"paint of {word}"), ("List", "End", 2, None),
+            ("Section", "End", 1, None),
+        ]
+    t, docs = frames(spark, [r for i, w in enumerate(TOPICS) for r in own_page(i, w, parts(w))])
+    found = {(r.page_id, r.pos) for r in mainbody.boilerplate_found(t, docs).collect()}
+    gone = {r.text for r in t.collect() if (r.page_id, r.pos) in found}
+    assert gone == {notice, notice.upper(), "Ask the office.", "Ask us."} and len(found) == 4 * len(TOPICS)
+
+
+def test_like_pages_are_no_template(spark):
+    """The sections that three edited copies of a page share are theirs."""
+    shared = [("Section", "Start", 1, "How to paint"), ("TextBlock", "Text", 2, "Take a brush."), ("Section", "End", 1, None)]
+    rows = [r for i, w in enumerate(TOPICS) for r in own_page(i, w, [])]
+    for i in (20, 21, 22):
+        rows += own_page(i, "paint", [*shared, ("Section", "Start", 1, None), ("TextBlock", "Text", 2, f"{PROSE} {TOPICS[i - 20]}"), ("Section", "End", 1, None)])
+    assert mainbody.boilerplate_found(*frames(spark, rows)).count() == 0
+
+
 def test_quality(site):
     q = {r.page_id: r for r in quality.page_quality(*site).collect()}
     assert {p for p, r in q.items() if "not_prose" in r.reasons} == {3, 4}
