@@ -43,7 +43,7 @@ ROW_BITS = 40
 BROADCAST_ROWS = 200_000
 
 
-_PARTS = set("again bodied n slots label long title top first uri_pdf titled sketch".split())
+_PARTS = set("again n slots label long title top first uri_pdf titled".split())
 _OWN = set("page_id pos siteindex kind cmd level has_text is_doc pdf outside in_section top_key label_key leaf_key slot_key head_key body_key body page_title trees".split()) | {f"tree_{k}" for k in TREES}
 
 
@@ -64,11 +64,11 @@ def _h(tag: str, c: Column) -> Column:
 def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
     """Every row once, with its level-1 subtree and the hashes that stand for it.
 
-    One shuffle by page and one sort serve all window expressions.  Texts don't
+    One shuffle by page and two sorts serve all window expressions.  Texts don't
     take part in it: what is needed of them is computed in the scan, and so are
     the aliased columns ``carry``."""
     t = F.col("text")
-    content = norm(t)
+    content = F.col("_content")
     # only headings and the first leaves of sections stand for a subtree, only blocks carry labels
     level = F.coalesce(F.col("nestinglevel").cast("int"), F.lit(2))
     brief = (level <= 2) & (F.length(t) <= SHORT)
@@ -81,7 +81,8 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
         .when(~short.rlike(r"[\p{Lu}\p{Ll}]"), F.regexp_extract(short, r"^\s*(\S+)", 1))
         .otherwise(cased)
     )
-    rows = textdf.where(F.col("page_id").isNotNull() & F.col("pos").isNotNull()).select(
+    rows = textdf.where(F.col("page_id").isNotNull() & F.col("pos").isNotNull())
+    rows = rows.withColumn("_content", F.when(F.length(t) <= SHORT, norm(t))).select(
         "page_id",
         "pos",
         "siteindex",
@@ -91,7 +92,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
         t.isNotNull().alias("has_text"),
         F.coalesce(F.length(t) > SHORT, F.lit(False)).alias("long"),
         F.when(brief, content).alias("n"),
-        F.when(element & ((F.length(t) > SHORT) | (F.length(content) > 0)), F.shiftrightunsigned(F.xxhash64(level, F.when(F.length(t) > SHORT, F.lower(F.trim(t))).otherwise(content)), 64 - ROW_BITS)).otherwise(0).alias("v"),
+        F.when(element & ((F.length(t) > SHORT) | (F.length(content) > 0)), F.shiftrightunsigned(F.xxhash64(level, F.coalesce(content, F.lower(F.trim(t)))), 64 - ROW_BITS)).otherwise(0).alias("v"),
         norm(slots).alias("slots"),
         F.when((F.col("doceltcmd") == "Title") & t.isNotNull(), F.xxhash64(F.lower(F.trim(t)))).alias("titled"),
         F.when(F.col("doceltcmd") == "Uri", is_pdf(t)).alias("uri_pdf"),
@@ -122,10 +123,12 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     rows = (
         rows.withColumn("again", F.coalesce(F.lag("pos").over(w) == F.col("pos"), F.lit(False)))
         .withColumn("is_doc", doc)
+        .withColumn("v", F.when(F.col("again"), 0).otherwise(F.col("v")))
         .withColumn("title", F.last(F.when(F.col("cmd") == "Title", F.col("n")), ignorenulls=True).over(upto))
         .withColumn("top", top)
         .withColumn("first", F.coalesce(first & (F.col("level") == 2) & (F.col("cmd") == "Text"), F.lit(False)))
         .withColumn("top", F.last("top", ignorenulls=True).over(upto))
+        .withColumn("before", F.sum("v").over(upto) - F.col("v"))
         .withColumn("pdf", F.coalesce(F.last("uri_pdf", ignorenulls=True).over(upto), F.lit(False)))
         .where(~F.col("again"))
     )
@@ -133,12 +136,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     in_list = F.coalesce(F.col("top.list"), F.lit(False))
     level1_text = (F.col("level") == 1) & ~F.col("is_doc") & (F.col("cmd") == "Text")
     # a page without any text below level 1 but in lists has nothing but its level-1 rows for a body
-    whole = Window.partitionBy("page_id")
-    bodied = F.max((F.col("level") > 1) & ~in_list & ~F.col("is_doc") & (F.col("cmd") == "Text") & F.col("has_text")).over(whole)
-    # copies of a page have its title, exact ones its running text as well
-    page_title = F.coalesce(F.min("titled").over(whole), F.xxhash64("page_id"))
-    sketch = F.min(F.when(F.col("long") & (F.col("level") > 1) & (F.col("v") > 0), F.col("v"))).over(whole)
-    rows = rows.withColumns({"bodied": bodied, "page_title": page_title, "sketch": sketch, "before": F.sum("v").over(upto) - F.col("v")})
+    bodied = (F.col("level") > 1) & ~in_list & ~F.col("is_doc") & (F.col("cmd") == "Text") & F.col("has_text")
     # a subtree's sum is what has run up at its end less what had at its beginning; the lowest bit tells roots that have a hash
     opens = ~F.col("is_doc") & F.coalesce(F.col("cmd") != "End", F.lit(True))
     holds = (F.col("cmd") == "Start") & F.coalesce(F.col("kind").isin("Section", "List", "NavigationList"), F.lit(True))
@@ -149,8 +147,10 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     rows = rows.withColumns(roots).where(F.col("has_text") | opens | (F.col("level") == 1))
     rows = rows.select(
         *(c for c in rows.columns if c not in _PARTS),
-        F.xxhash64("page_title", F.coalesce("sketch", "page_id")).alias("body"),
-        (F.col("bodied") & (level1_text | (in_list & ~F.col("is_doc")))).alias("outside"),
+        "titled",
+        F.when(F.col("long") & (F.col("level") > 1) & (F.col("v") > 0), F.col("v")).alias("sketch"),
+        bodied.alias("bodied"),
+        (level1_text | (in_list & ~F.col("is_doc"))).alias("outside"),
         (in_section & ~F.col("is_doc")).alias("in_section"),
         F.when(in_section, F.col("top.key")).alias("top_key"),
         # keys that may recur: own heading or label; for the first block of a section its leaf and its slots
@@ -163,7 +163,16 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
     down = Window.partitionBy("page_id").orderBy(F.col("pos").desc())
     later = down.rowsBetween(Window.unboundedPreceding, -1)
     ends = {f"end_{k}": F.last(F.when(opens & (F.col("level") <= k), F.col("before")), ignorenulls=True).over(later) for k in TREES}
-    rows = rows.withColumns({**ends, "total": F.first(F.col("before") + F.col("v")).over(down.rowsBetween(Window.unboundedPreceding, 0))})
+    page = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_page = {
+        "total": F.max(F.col("before") + F.col("v")).over(page),
+        "bodied": F.max("bodied").over(page),
+        # copies of a page have its title, exact ones its running text as well
+        "titled": F.min("titled").over(page),
+        "sketch": F.min("sketch").over(page),
+    }
+    rows = rows.withColumns({**ends, **of_page}).withColumn("page_title", F.coalesce("titled", F.xxhash64("page_id")))
+    rows = rows.withColumns({"body": F.xxhash64("page_title", F.coalesce("sketch", "page_id")), "outside": F.col("bodied") & F.col("outside")})
     trees, named = {}, []
     for k in TREES:
         at = F.shiftright(f"root_{k}", 1)
@@ -171,7 +180,7 @@ def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame
         trees[f"tree_{k}"] = F.when((F.col(f"root_{k}") % 2 == 1) & ~F.col("is_doc") & (held > 0), F.xxhash64(F.lit("tree"), held))
         # the first row with content names the subtrees that begin with it
         named.append(F.when((F.col("v") > 0) & (F.col("before") == at), trees[f"tree_{k}"]))
-    gone = ["v", "before", "total", *(f"{x}_{k}" for x in ("root", "end") for k in TREES)]
+    gone = ["v", "before", "total", "bodied", "titled", "sketch", *(f"{x}_{k}" for x in ("root", "end") for k in TREES)]
     return rows.withColumns({**trees, "trees": F.array_compact(F.array(*named))}).drop(*gone)
 
 
