@@ -21,10 +21,13 @@ results.  Extra columns of the inputs are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans.session import settle
@@ -42,8 +45,6 @@ ROW_BITS = 40
 #: The table of recurring hashes is broadcast up to this many rows, else joined by shuffle.
 BROADCAST_ROWS = 200_000
 
-
-_PARTS = set("again n slots label long title top first uri_pdf titled".split())
 _OWN = set("page_id pos siteindex kind cmd level has_text is_doc pdf outside in_section top_key label_key leaf_key slot_key head_key body_key body page_title trees".split()) | {f"tree_{k}" for k in TREES}
 
 
@@ -61,127 +62,218 @@ def _h(tag: str, c: Column) -> Column:
     return F.when(F.length(c) > 0, F.xxhash64(F.lit(tag), c))
 
 
-def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """Every row once, with its level-1 subtree and the hashes that stand for it.
-
-    One shuffle by page and two sorts serve all window expressions.  Texts don't
-    take part in it: what is needed of them is computed in the scan, and so are
-    the aliased columns ``carry``."""
-    t = F.col("text")
-    content = F.col("_content")
-    # only headings and the first leaves of sections stand for a subtree, only blocks carry labels
-    level = F.coalesce(F.col("nestinglevel").cast("int"), F.lit(2))
-    brief = (level <= 2) & (F.length(t) <= SHORT)
-    short = F.when(brief & (level == 2) & ~F.coalesce(F.col("docelttype") == "ListItem", F.lit(False)), t)
-    element = F.coalesce(F.col("docelttype") != "Document", ~F.col("doceltcmd").isin("Title", "Uri"), F.lit(True))
+def _slots(short: Column) -> Column:
+    """A short text without what changes from page to page."""
     cased = F.regexp_replace(short, r"(?<=\S\s{1,3})\p{Lu}[\p{L}\p{M}.’']*", "X")
-    slots = (
+    return (
         F.when(short.rlike(r"[,，]\s*[^,，]+$"), F.concat(F.lit("… "), F.regexp_extract(short, r"[,，]\s*([^,，]+)$", 1)))
         .when(short.rlike(r"^\s*[^:：・\n]+[:：・]"), F.concat(F.regexp_extract(short, r"^\s*([^:：・\n]+)[:：・]", 1), F.lit(" …")))
         .when(~short.rlike(r"[\p{Lu}\p{Ll}]"), F.regexp_extract(short, r"^\s*(\S+)", 1))
         .otherwise(cased)
     )
-    rows = textdf.where(F.col("page_id").isNotNull() & F.col("pos").isNotNull())
-    rows = rows.withColumn("_content", F.when(F.length(t) <= SHORT, norm(t))).select(
-        "page_id",
-        "pos",
-        "siteindex",
-        F.col("docelttype").alias("kind"),
-        F.col("doceltcmd").alias("cmd"),
-        level.alias("level"),
-        t.isNotNull().alias("has_text"),
-        F.coalesce(F.length(t) > SHORT, F.lit(False)).alias("long"),
-        F.when(brief, content).alias("n"),
-        F.when(element & ((F.length(t) > SHORT) | (F.length(content) > 0)), F.shiftrightunsigned(F.xxhash64(level, F.coalesce(content, F.lower(F.trim(t)))), 64 - ROW_BITS)).otherwise(0).alias("v"),
-        norm(slots).alias("slots"),
-        F.when((F.col("doceltcmd") == "Title") & t.isNotNull(), F.xxhash64(F.lower(F.trim(t)))).alias("titled"),
-        F.when(F.col("doceltcmd") == "Uri", is_pdf(t)).alias("uri_pdf"),
-        F.when(
-            (F.col("doceltcmd") == "Text") & ~short.rlike(r"[.!?。！？]\s*$"),
-            norm(F.regexp_extract(short, r"^\s*([\p{L}\p{M} ’']{2,}?)\s*[:：]", 1)),
-        ).alias("label"),
-        *carry,
-    )
-    w = Window.partitionBy("page_id").orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    doc = F.coalesce(F.col("kind") == "Document", F.lit(False))
-    child_list = F.coalesce(F.lead("kind").over(w) == "ListItem", F.lit(False))
-    listy = F.coalesce(F.col("kind").isin("List", "NavigationList"), child_list)
-    top = F.when(
-        F.col("level") == 1,
-        F.struct(
-            F.col("pos").alias("at"),
-            ((F.col("cmd") == "Start") & ~doc & ~listy).alias("section"),
-            ((F.col("cmd") == "Start") & ~doc & listy).alias("list"),
-            F.when(
-                ~F.coalesce(F.lead("long").over(w), F.lit(False)) & ~F.coalesce(F.col("title").startswith(F.col("n")), F.lit(False)),
-                F.coalesce(F.when(F.col("has_text"), _h("head", F.col("n"))), _h("leaf", F.lead("n").over(w))),
-            ).alias("key"),
-        ),
-    )
-    first = (F.lag("level").over(w) == 1) & (F.lag("cmd").over(w) == "Start") & F.lag("has_text").over(w)
-    rows = (
-        rows.withColumn("again", F.coalesce(F.lag("pos").over(w) == F.col("pos"), F.lit(False)))
-        .withColumn("is_doc", doc)
-        .withColumn("v", F.when(F.col("again"), 0).otherwise(F.col("v")))
-        .withColumn("title", F.last(F.when(F.col("cmd") == "Title", F.col("n")), ignorenulls=True).over(upto))
-        .withColumn("top", top)
-        .withColumn("first", F.coalesce(first & (F.col("level") == 2) & (F.col("cmd") == "Text"), F.lit(False)))
-        .withColumn("top", F.last("top", ignorenulls=True).over(upto))
-        .withColumn("before", F.sum("v").over(upto) - F.col("v"))
-        .withColumn("pdf", F.coalesce(F.last("uri_pdf", ignorenulls=True).over(upto), F.lit(False)))
-        .where(~F.col("again"))
-    )
-    in_section = F.coalesce(F.col("top.section"), F.lit(False))
-    in_list = F.coalesce(F.col("top.list"), F.lit(False))
-    level1_text = (F.col("level") == 1) & ~F.col("is_doc") & (F.col("cmd") == "Text")
+
+
+#: Kinds and commands of the format by number; 0 is null, and all that have no name here come last.
+_KINDS = ("Document", "Section", "List", "NavigationList", "ListItem", "Table", "TableHeader", "TableCell", "TextBlock")
+_CMDS = ("Start", "End", "Text", "Title", "Uri")
+_DOCUMENT, _SECTION, _LIST, _NAVIGATION, _ITEM = range(1, 6)
+_START, _END, _TEXT, _TITLE, _URI = range(1, 6)
+_OTHER = "other"
+#: Numbers of a row on their way into the walk over the pages and out of it; the bits of its code below its level, and of its marks.
+#: They travel as one array, as every column takes Spark's Arrow writer about as long as its sorting does.
+_IN = ("page_id", "pos", "siteindex", "code", "v", "name", "titled")
+_OUT = ("page_id", "pos", "siteindex", "code", "marks", "name", "top_name", "titled", "sketch", *(f"held_{k}" for k in TREES))
+_CODE = {c: 7 + i for i, c in enumerate(("long", "has_text", "uri", "uri_pdf", "titled", "name", "siteindex", "heading"))}
+_LEVEL = 16
+_MARKS = {c: i for i, c in enumerate(("pdf", "in_section", "in_list", "bodied", "first", "top_head", "top_name", "titled", "sketch", *(f"held_{k}" for k in TREES), *(f"begins_{k}" for k in TREES)))}
+
+
+def _number(c: Column, names: tuple[str, ...], other: int) -> Column:
+    return F.coalesce(*(F.when(c == x, F.lit(i + 1)) for i, x in enumerate(names)), F.when(c.isNotNull(), F.lit(other)), F.lit(0))
+
+
+def _named(number: Column, names: tuple[str, ...]) -> Column:
+    return F.when(number > 0, F.coalesce(*(F.when(number == i + 1, F.lit(x)) for i, x in enumerate(names)), F.lit(_OTHER)))
+
+
+def _walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of whole pages, in order: the rows with text and the openings of sections that have a key, each once, with what their page and neighbours tell of them."""
+    numbers = batch.column("_numbers").flatten().to_numpy().reshape(batch.num_rows, len(_IN))
+    once = np.ones(len(numbers), bool)
+    once[1:] = (numbers[1:, :2] != numbers[:-1, :2]).any(axis=1)
+    if not once.all():
+        batch, numbers = batch.filter(pa.array(once)), numbers[once]
+    page, _, _, code, v, name, titled = (np.ascontiguousarray(c) for c in numbers.T)
+    n = len(page)
+    begins = np.ones(n, bool)
+    begins[1:] = page[1:] != page[:-1]
+    here, starts = np.arange(n), np.flatnonzero(begins)
+    sizes = np.diff(starts, append=n)
+    start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    kind, cmd, level = code & 15, (code >> 4) & 7, code >> _LEVEL
+    long, has_text, uri, uri_pdf, is_titled, named, _, heading = (((code >> i) & 1).astype(bool) for i in _CODE.values())
+
+    def last(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The page's last row with the flag up to each row, and whether there is one."""
+        at = np.maximum.accumulate(np.where(flag, here, -1))
+        return at, at >= start
+
+    def later(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The page's first row with the flag after each row, and whether there is one."""
+        at = np.append(np.minimum.accumulate(np.where(flag, here, n)[::-1])[::-1][1:], n)
+        return np.minimum(at, n - 1), at < end
+
+    def least(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least known value of each row's page, and whether there is one."""
+        lowest = np.minimum.reduceat(np.where(known, values, np.iinfo(np.int64).max), starts)
+        return np.repeat(lowest, sizes), np.repeat(np.logical_or.reduceat(known, starts), sizes)
+
+    follows, after, back = here + 1 < end, np.minimum(here + 1, n - 1), np.maximum(here - 1, 0)
+    doc = kind == _DOCUMENT
+    one, opener = level == 1, (cmd == _START) & ~doc
+    listy = np.where(kind > 0, (kind == _LIST) | (kind == _NAVIGATION), follows & (kind[after] == _ITEM))
+    section, listed = one & opener & ~listy, one & opener & listy
+    # a section's name: its heading, else its first leaf; none if running text follows or it begins the page's title
+    keyed = section & ~(follows & long[after]) & (named | (follows & named[after]))
+    title, has_title = last((cmd == _TITLE) & heading)
+    asked = np.flatnonzero(keyed & has_title & heading)
+    if len(asked):
+        brief = batch.column("_brief")
+        begun = zip(brief.take(pa.array(title[asked])).to_pylist(), brief.take(pa.array(asked)).to_pylist())
+        keyed[asked] = [not whole.startswith(x) for whole, x in begun]
+    top, under = last(one)
+    at_uri, has_uri = last(uri)
+    in_list = under & listed[top]
+    out = {"code": code, "name": name, "top_name": np.where(named, name, name[after])[top]}
+    marks = {"pdf": has_uri & uri_pdf[at_uri], "in_section": under & section[top], "in_list": in_list, "top_head": named[top], "top_name": under & keyed[top]}
+    marks["first"] = ~begins & (level[back] == 1) & (cmd[back] == _START) & has_text[back] & (level == 2) & (cmd == _TEXT)
     # a page without any text below level 1 but in lists has nothing but its level-1 rows for a body
-    bodied = (F.col("level") > 1) & ~in_list & ~F.col("is_doc") & (F.col("cmd") == "Text") & F.col("has_text")
-    # a subtree's sum is what has run up at its end less what had at its beginning; the lowest bit tells roots that have a hash
-    opens = ~F.col("is_doc") & F.coalesce(F.col("cmd") != "End", F.lit(True))
-    holds = (F.col("cmd") == "Start") & F.coalesce(F.col("kind").isin("Section", "List", "NavigationList"), F.lit(True))
-    roots = {}
+    bodied = (level > 1) & ~in_list & ~doc & (cmd == _TEXT) & has_text
+    marks["bodied"] = np.repeat(np.logical_or.reduceat(bodied, starts), sizes)
+    # copies of a page have its title, exact ones its running text as well
+    out["titled"], marks["titled"] = least(titled, is_titled)
+    out["sketch"], marks["sketch"] = least(v, long & (level > 1) & (v > 0))
+    # a subtree's sum is what has run up at its end less what had at its beginning
+    before = np.cumsum(v) - v
+    before -= before[start]
+    total = np.repeat(np.add.reduceat(v, starts), sizes)
+    opens = ~doc & (cmd != _END)
+    holds = (kind == 0) | (kind == _SECTION) | (kind == _LIST) | (kind == _NAVIGATION)
     for k in TREES:  # blocks, items and cells below level 1 are no templates alone: bodies have equal ones
-        rooted = (F.col("level") == k) & (F.lit(True) if k == 1 else holds)
-        roots[f"root_{k}"] = F.last(F.when(opens & (F.col("level") <= k), F.col("before") * 2 + rooted.cast("int")), ignorenulls=True).over(upto)
-    rows = rows.withColumns(roots).where(F.col("has_text") | opens | (F.col("level") == 1))
-    rows = rows.select(
-        *(c for c in rows.columns if c not in _PARTS),
-        "titled",
-        F.when(F.col("long") & (F.col("level") > 1) & (F.col("v") > 0), F.col("v")).alias("sketch"),
-        bodied.alias("bodied"),
-        (level1_text | (in_list & ~F.col("is_doc"))).alias("outside"),
-        (in_section & ~F.col("is_doc")).alias("in_section"),
-        F.when(in_section, F.col("top.key")).alias("top_key"),
+        below = opens & (level <= k)
+        rooted = (level == k) & (holds & (cmd == _START) if k > 1 else True)
+        unsure = (level == k) & holds & (cmd == 0) if k > 1 else False
+        root, in_tree = last(below & ~unsure)
+        close, closed = later(below)
+        out[f"held_{k}"] = held = np.where(closed, before[close], total) - before[root]
+        marks[f"held_{k}"] = tree = in_tree & rooted[root] & ~doc & (held > 0)
+        # the first row with content names the subtrees that begin with it
+        marks[f"begins_{k}"] = tree & (v > 0) & (before == before[root])
+    keep = has_text | (one & marks["top_name"])
+    out |= {c: numbers[:, i] for i, c in enumerate(_IN[:3])} | {"marks": sum(marks[c].astype(np.int64) << i for c, i in _MARKS.items())}
+    flat = np.stack([out[c][keep] for c in _OUT], axis=1)
+    batch = batch.filter(pa.array(keep))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(_OUT)), pa.array(flat.ravel()))
+    return pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], batch.schema.names)
+
+
+def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every page in one piece through _walk."""
+    held: list[pa.RecordBatch] = []
+    going = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        page = batch.column("_numbers").flatten().to_numpy()[:: len(_IN)]
+        whole = int(np.argmax(page == page[-1]))  # the last page may go on
+        if held and (whole or page[-1] != going):
+            yield _walk(pa.concat_batches([*held, batch.slice(0, whole)]))
+            held = []
+        elif whole:
+            yield _walk(batch.slice(0, whole))
+        held.append(batch.slice(whole))
+        going = page[-1]
+    if held:
+        yield _walk(pa.concat_batches(held))
+
+
+def element_rows(textdf: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """Every row with text and every opening of a section that has a key, once, with its level-1 subtree and the hashes that stand for it.
+
+    One shuffle by page, one sort and one walk over the sorted pages serve all.  Long
+    texts don't take part in it: what is needed of them is computed in the scan, and so
+    are the aliased columns ``carry``."""
+    t = F.col("text")
+    content = F.col("_content")
+    # only headings and the first leaves of sections stand for a subtree, only blocks carry labels
+    level = F.coalesce(F.col("nestinglevel").cast("int"), F.lit(2))
+    kind, cmd = F.col("docelttype"), F.col("doceltcmd")
+    is_short = F.length(t) <= SHORT
+    brief = (level <= 2) & is_short
+    element = F.coalesce(kind != "Document", ~cmd.isin("Title", "Uri"), F.lit(True))
+    block = (level == 2) & (cmd == "Text") & ~F.coalesce(kind == "ListItem", F.lit(False))
+    heading = is_short & ((level == 1) | ((level == 2) & (cmd == "Title")))
+    flags = {
+        "long": F.length(t) > SHORT, "has_text": t.isNotNull(), "uri": cmd == "Uri", "uri_pdf": is_pdf(t), "titled": (cmd == "Title") & t.isNotNull(),
+        "name": brief & (F.length(content) > 0), "siteindex": F.col("siteindex").isNotNull(), "heading": heading,
+    }
+    code = level.cast("long") * (1 << _LEVEL) + _number(kind, _KINDS, 15) + _number(cmd, _CMDS, 7) * 16
+    numbers = {
+        "code": code + sum(F.when(c, F.lit(1 << _CODE[x])).otherwise(0) for x, c in flags.items()),
+        "v": F.when(element & ((F.length(t) > SHORT) | (F.length(content) > 0)), F.shiftrightunsigned(F.xxhash64(level, F.coalesce(content, F.lower(F.trim(t)))), 64 - ROW_BITS)).otherwise(0),
+        "name": F.when(flags["name"], F.xxhash64(content)).otherwise(0),
+        "titled": F.when(flags["titled"], F.xxhash64(F.lower(F.trim(t)))).otherwise(0),
+    }
+    rows = textdf.where(F.col("page_id").isNotNull() & F.col("pos").isNotNull())
+    types = {c: rows.schema[c].dataType for c in _IN[:3]}
+    rows = rows.withColumn("_content", F.when(is_short, norm(t))).select(
+        *types, *(c.alias(x) for x, c in numbers.items()), F.when(block & is_short, t).when(heading, content).cast("binary").alias("_brief"), *carry
+    )
+    rows = rows.repartition("page_id").sortWithinPartitions("page_id", "pos")
+    kept = [f for f in rows.schema if f.name not in _IN and f.name != "_brief"]
+    records = [f.name for f in kept if f.dataType.typeName() == "struct" and len({x.dataType for x in f.dataType}) == 1]  # numbers of one type
+    packed = [F.when(F.col(c).isNotNull(), F.array(*(F.col(c)[x] for x in rows.schema[c].dataType.names))).alias(c) if c in records else F.col(c) for c in (f.name for f in kept)]
+    rows = rows.select(F.array(*(F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in _IN)).alias("_numbers"), "_brief", *packed)
+    rows = rows.mapInArrow(walked, rows.schema)
+    unpacked = lambda f: F.when(F.col(f.name).isNotNull(), F.struct(*(F.col(f.name)[i].alias(x.name) for i, x in enumerate(f.dataType)))).alias(f.name)
+    carried = [unpacked(f) if f.name in records else F.col(f.name) for f in kept]
+
+    of = {c: F.col("_numbers")[i] for i, c in enumerate(_OUT)}
+    mark = {c: F.col("_marks").bitwiseAND(F.lit(1 << i)) > 0 for c, i in _MARKS.items()}
+    told = {c: F.col("_code").bitwiseAND(F.lit(1 << i)) > 0 for c, i in _CODE.items()}
+    rows = rows.withColumns({"_code": of["code"], "_marks": of["marks"]})
+    level, number = F.shiftright("_code", _LEVEL).cast("int"), F.col("_code").bitwiseAND(F.lit(15))
+    kind, cmd = _named(number, _KINDS), _named(F.shiftright("_code", 4).bitwiseAND(F.lit(7)), _CMDS)
+    is_doc, in_section = number == _DOCUMENT, mark["in_section"]
+    short = F.when((level == 2) & (cmd == "Text") & (number != _ITEM), F.col("_brief").cast("string"))
+    label = F.when(~short.rlike(r"[.!?。！？]\s*$"), norm(F.regexp_extract(short, r"^\s*([\p{L}\p{M} ’']{2,}?)\s*[:：]", 1)))
+    key = lambda tag, c: F.xxhash64(F.lit(tag), c)
+    top_key = F.when(in_section & mark["top_name"], F.when(mark["top_head"], key("head", of["top_name"])).otherwise(key("leaf", of["top_name"])))
+    page_title = F.when(mark["titled"], of["titled"]).otherwise(F.xxhash64(of["page_id"]))
+    trees = {k: F.when(mark[f"held_{k}"], key("tree", of[f"held_{k}"])) for k in TREES}
+    return rows.select(
+        *((F.when(told[c], of[c]) if c == "siteindex" else of[c]).cast(k).alias(c) for c, k in types.items()),
+        kind.alias("kind"),
+        cmd.alias("cmd"),
+        level.alias("level"),
+        told["has_text"].alias("has_text"),
+        is_doc.alias("is_doc"),
+        mark["pdf"].alias("pdf"),
+        (mark["bodied"] & (((level == 1) & ~is_doc & (cmd == "Text")) | (mark["in_list"] & ~is_doc))).alias("outside"),
+        (in_section & ~is_doc).alias("in_section"),
+        top_key.alias("top_key"),
         # keys that may recur: own heading or label; for the first block of a section its leaf and its slots
-        F.when(in_section & (F.col("level") == 2), _h("head", F.col("label"))).alias("label_key"),
-        F.when(F.col("first"), _h("first", F.col("n"))).alias("leaf_key"),
-        F.when(F.col("first"), _h("slots", F.col("slots"))).alias("slot_key"),
-        F.when((F.col("level") == 1) & ~F.col("is_doc") & F.col("has_text"), _h("head", F.col("n"))).alias("head_key"),
-        F.when((F.col("level") == 1) & in_section, F.col("top.key")).alias("body_key"),
+        F.when(in_section & (F.length(label) > 0), key("head", F.xxhash64(label))).alias("label_key"),
+        F.when(mark["first"] & told["name"], key("first", of["name"])).alias("leaf_key"),
+        F.when(mark["first"], _h("slots", norm(_slots(short)))).alias("slot_key"),
+        F.when((level == 1) & ~is_doc & told["name"], key("head", of["name"])).alias("head_key"),
+        F.when(level == 1, top_key).alias("body_key"),
+        page_title.alias("page_title"),
+        F.xxhash64(page_title, F.when(mark["sketch"], of["sketch"]).otherwise(of["page_id"])).alias("body"),
+        *(c.alias(f"tree_{k}") for k, c in trees.items()),
+        F.array_compact(F.array(*(F.when(mark[f"begins_{k}"], c) for k, c in trees.items()))).alias("trees"),
+        *carried,
     )
-    down = Window.partitionBy("page_id").orderBy(F.col("pos").desc())
-    later = down.rowsBetween(Window.unboundedPreceding, -1)
-    ends = {f"end_{k}": F.last(F.when(opens & (F.col("level") <= k), F.col("before")), ignorenulls=True).over(later) for k in TREES}
-    page = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    of_page = {
-        "total": F.max(F.col("before") + F.col("v")).over(page),
-        "bodied": F.max("bodied").over(page),
-        # copies of a page have its title, exact ones its running text as well
-        "titled": F.min("titled").over(page),
-        "sketch": F.min("sketch").over(page),
-    }
-    rows = rows.withColumns({**ends, **of_page}).withColumn("page_title", F.coalesce("titled", F.xxhash64("page_id")))
-    rows = rows.withColumns({"body": F.xxhash64("page_title", F.coalesce("sketch", "page_id")), "outside": F.col("bodied") & F.col("outside")})
-    trees, named = {}, []
-    for k in TREES:
-        at = F.shiftright(f"root_{k}", 1)
-        held = F.coalesce(F.col(f"end_{k}"), F.col("total")) - at
-        trees[f"tree_{k}"] = F.when((F.col(f"root_{k}") % 2 == 1) & ~F.col("is_doc") & (held > 0), F.xxhash64(F.lit("tree"), held))
-        # the first row with content names the subtrees that begin with it
-        named.append(F.when((F.col("v") > 0) & (F.col("before") == at), trees[f"tree_{k}"]))
-    gone = ["v", "before", "total", "bodied", "titled", "sketch", *(f"{x}_{k}" for x in ("root", "end") for k in TREES)]
-    return rows.withColumns({**trees, "trees": F.array_compact(F.array(*named))}).drop(*gone)
 
 
 def recurring(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -214,13 +306,13 @@ def recurring(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 def main_body(textdf: DataFrame, nlpdocs: DataFrame, carry: tuple[Column, ...] = ()) -> DataFrame:
     """Rows of textdf with text, each once, and the openings of sections: page_id, pos,
-    siteindex, kind, cmd, level, has_text, is_doc, pdf, boiler and the columns ``carry``.
+    siteindex, kind, cmd, level, has_text, is_doc, pdf, boiler and the columns ``carry``. A kind
+    or cmd without a name in _KINDS or _CMDS is "other".
 
     ``boiler`` is true on rows outside the main body of their web page, headings
     of deleted subtrees included.  Rows of PDF pages (those whose Uri row ends in
     ``.pdf``) are always body."""
-    rows = element_rows(textdf, carry)
-    rows = settle(rows.where(F.col("has_text") | F.col("body_key").isNotNull()))
+    rows = settle(element_rows(textdf, carry))
     rec = settle(recurring(rows, nlpdocs))
     small = rec.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda d: d)

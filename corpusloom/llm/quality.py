@@ -51,10 +51,16 @@ COMMON_WORDS = (
 _FIELDS = ("visible", "letters", "symbols", "digits", "broken", "prose", "words", "sentences", "lines", "short", "punctuated", "bullets", "common", "code_lines", "listed", "marks", "ellipses", "letter_words", "tiny")
 
 
-def _among(cp: np.ndarray, chars: str) -> np.ndarray:
-    table = np.zeros(0x10000, bool)
-    table[[ord(c) for c in chars]] = True
-    return table[np.minimum(cp, 0xFFFF)]
+#: Characters that the statistics ask for, a bit for each set.
+_SETS = {"stop": ".!?…", "closer": ")]»”’\"'", "wide_stop": "。！？", "unit": "%€$£", "wrong": "ÃÂÐÑãäåæçèéïâ", "code": "{}<>\\^~_=#@$[]", "column": ";|\t", "bullet": "-•*·▪■–"}
+
+
+@functools.lru_cache(maxsize=1)
+def _set_bits() -> np.ndarray:
+    table = np.zeros(0x10000, np.uint8)
+    for i, members in enumerate(_SETS.values()):
+        table[[ord(c) for c in members]] |= np.uint8(1 << i)
+    return table
 
 
 def _shift(flag: np.ndarray, by: int) -> np.ndarray:
@@ -74,7 +80,12 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     cp, bounds = chars.code_points(texts)
     kinds = chars.classes()[cp]
     starts, ends_at, row = chars.lines(cp, bounds)
-    per_line = lambda flag: (lambda r: r[ends_at] - r[starts])(chars.running(flag))
+    line_of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(cp)))
+    # most flags are rare: their places are counted, where running sums would pass over all characters; none is ever at a line's end
+    at_line = lambda places: np.bincount(line_of[places], minlength=len(starts))
+    per_line = lambda flag: at_line(np.flatnonzero(flag))
+    sets = _set_bits()[np.minimum(cp, 0xFFFF)]
+    among = {k: (sets & np.uint8(1 << i)) > 0 for i, k in enumerate(_SETS)}
     space = (kinds & chars.SPACE) > 0
     lm = (kinds & (chars.LETTER | chars.MARK)) > 0
     alnum = lm | ((kinds & chars.DIGIT) > 0)
@@ -83,43 +94,36 @@ def batch_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     last = edge[1:]
     visible_run = chars.running(~space)
     visible = visible_run[ends_at] - visible_run[starts]
-    letters, digits = per_line(lm), per_line((kinds & chars.DIGIT) > 0)
+    letter_run = chars.running(lm)
+    letters, digits = letter_run[ends_at] - letter_run[starts], per_line((kinds & chars.DIGIT) > 0)
     symbols = per_line((kinds & chars.SYMBOL) > 0)
-    stop, closer = _among(cp, ".!?…"), _among(cp, ")]»”’\"'")
-    wide_stop = _among(cp, "。！？")
-    after_word = _shift(alnum | closer | stop | _among(cp, "%€$£"), 1)
+    stop, closer = among["stop"], among["closer"]
+    after_word = _shift(alnum | closer | stop | among["unit"], 1)
     before_gap = last | _shift(space | closer, -1)
-    sentence = (stop & after_word & before_gap) | wide_stop
+    sentence = (stop & after_word & before_gap) | among["wide_stop"]
     stops = per_line(sentence)
     low = (cp >= 0x80) & (cp <= 0xBF)
-    broken = per_line((cp == 0xFFFD) | ((cp >= 0x80) & (cp <= 0x9F)) | (_among(cp, "ÃÂÐÑãäåæçèéïâ") & _shift(low, -1)))
+    broken = per_line((cp == 0xFFFD) | ((cp >= 0x80) & (cp <= 0x9F)) | (among["wrong"] & _shift(low, -1)))
     hexed = per_line((cp == ord("0")) & _shift(cp == ord("x"), -1))
-    code = per_line(_among(cp, "{}<>\\^~_=#@$[]")) + hexed
+    code = per_line(among["code"]) + hexed
     listed = per_line((cp == ord(",")) & _shift(space, -1))
     commas = per_line(cp == ord(","))
     w0, w1 = chars.runs(alnum, bounds)
-    word_start = np.zeros(len(cp), bool)
-    word_start[w0] = True
-    words = per_line(word_start)
-    letter_run = chars.running(lm)
-    word_start[w0] = letter_run[w1] > letter_run[w0]
-    letter_words = per_line(word_start)
+    words, letter_words = at_line(w0), at_line(w0[letter_run[w1] > letter_run[w0]])
     dot, dots = cp == ord("."), cp == ord("…")
     triple = dot & _shift(dot, -1) & _shift(_shift(dot, -1), -1) & ~_shift(dot, 1)
     marks = per_line((cp == ord("#")) | dots | triple)
     low_cp = chars.lower_table()[cp]
-    common_at = np.zeros(len(cp), bool)
     short = (w1 - w0) <= 6
-    common_at[w0[short]] = np.isin(chars.span_hashes(low_cp, w0[short], w1[short]), _common_hashes())
-    common = per_line(common_at)
-    columns = per_line(_among(cp, ";|\t"))
+    common = at_line(w0[short][np.isin(chars.span_hashes(low_cp, w0[short], w1[short]), _common_hashes())])
+    columns = per_line(among["column"])
     gap = np.flatnonzero(space & _shift(space, -1) & ~_shift(space, 1) & (cp != 10))
     if len(gap):  # two spaces with text on both sides of them in the line
         at = np.searchsorted(starts, gap, side="right") - 1
         inside = (gap > starts[at]) & (visible_run[ends_at[at]] > visible_run[np.minimum(gap + 1, len(cp))])
         columns = columns + np.bincount(at[inside], minlength=len(starts))
     first = np.minimum(starts, max(len(cp) - 1, 0))
-    bullet = (visible > 0) & _among(cp, "-•*·▪■–")[first] & (ends_at > starts) if len(cp) else np.zeros(len(starts), bool)
+    bullet = (visible > 0) & among["bullet"][first] & (ends_at > starts) if len(cp) else np.zeros(len(starts), bool)
     final = np.minimum(np.maximum(ends_at - 1, 0), max(len(cp) - 1, 0))
     ends_so = (ends_at > starts) & (dots | (dot & _shift(dot, 1) & _shift(_shift(dot, 1), 1)))[final] if len(cp) else np.zeros(len(starts), bool)
     thai = per_line((cp >= 0x0E00) & (cp <= 0x0E7F)) * 2 > letters

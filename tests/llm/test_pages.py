@@ -75,6 +75,31 @@ def test_boilerplate_by_shuffle(site, monkeypatch):
     assert sorted(mainbody.boilerplate_found(*site).collect()) == want
 
 
+def test_pages_are_walked_once(site):
+    plan = mainbody.element_rows(site[0])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_repeated_rows_part_no_neighbours(spark):
+    pages = {
+        i: [("Section", "Start", 1, None), ("TextBlock", "Text", 2, "Read also"), ("TextBlock", "Text", 2, f"{PROSE} Part {'abcde'[i]}"), ("Section", "End", 1, None), ("Section", "Start", 1, None), ("TextBlock", "Text", 2, PROSE[i:]), ("Section", "End", 1, None)]
+        for i in range(5)
+    }
+    rows = [r for i, parts in pages.items() for r in page(i, 0, parts)]
+    once, twice = (sorted(mainbody.boilerplate_found(*frames(spark, x)).collect()) for x in (rows, rows + rows))
+    assert [(r.page_id, r.pos) for r in once] == [(i, pos) for i in range(5) for pos in (4, 5)] and twice == once
+
+
+def test_pages_in_pieces(spark, site):
+    want = sorted(mainbody.boilerplate_found(*site).collect())
+    for n in (1, 3, 20):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            assert sorted(mainbody.boilerplate_found(*site).collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_a_page_without_sections_keeps_its_text(spark, site):
     t, docs = site
     flat = [(90, k, 0, "TextBlock" if k > 2 else "Document", ("Start", "Title", "Uri", "Text", "Text")[k], 1, x, "", "", "") for k, x in enumerate((None, "T", "http://s0/90", PROSE, "More of it."))]
