@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,29 @@ def word_hashes(texts: pa.Array) -> pa.Array:
     return chars.in_chunks(texts, batch_words)
 
 
+@F.arrow_udf(T.BinaryType())
+def word_bytes(texts: pa.Array) -> pa.Array:
+    """The same as bytes, four a word, which Spark moves in one piece."""
+
+    def work(part: pa.Array) -> pa.Array:
+        words = batch_words(part)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(words.offsets.to_numpy().astype(np.int64) * 4), words.values.buffers()[1]])
+
+    return chars.in_chunks(texts, work).cast(pa.binary())
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def joined_words(parts: pa.Array) -> pa.Array:
+    """The words of every list of such bytes."""
+    parts = parts.cast(pa.list_(pa.large_binary()))
+    sizes = pc.fill_null(pc.binary_length(parts.flatten()), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]) // 4
+    each = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    offsets = ends[np.concatenate([[0], np.cumsum(each)])]
+    words = np.frombuffer(b"".join(x for x in parts.flatten().to_pylist() if x), "<i4")
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words))
+
+
 _SIGNED = T.StructType(
     [
         T.StructField("set_hash", T.LongType()),
@@ -88,7 +112,8 @@ def sign(words: pa.ListArray) -> pa.Array:
     row = np.repeat(np.arange(n), np.diff(offsets))[: len(x)]
     at = np.arange(len(x)) + offsets[0]
     whole = at + RUN <= offsets[1:][row] if len(x) else np.zeros(0, bool)
-    pairs = np.unique((row[whole].astype(np.uint64) << np.uint64(32)) | x[whole].astype(np.uint64))
+    pairs = np.sort((row[whole].astype(np.uint64) << np.uint64(32)) | x[whole].astype(np.uint64))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]  # np.unique hashes: 1.03 s against 0.014 for 1.7 million
     row, x = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
     size = np.bincount(row, minlength=n)
     full = size > 0
@@ -103,11 +128,11 @@ def sign(words: pa.ListArray) -> pa.Array:
             cut = cut[cut < len(starts)]  # the last set may go beyond the last multiple of CHUNK
             for p, q in zip(cut, [*cut[1:], len(starts)]):
                 part = x[starts[p] : starts[q] if q < len(starts) else len(x)]
+                h, sets = np.empty_like(part), starts[p:q] - starts[p]
                 for i, (a, b) in enumerate(zip(_A, _B)):
-                    h = part * a
+                    np.multiply(part, a, out=h)
                     h += b
-                    h >>= np.uint64(32)
-                    least[p:q, i] = np.minimum.reduceat(h, starts[p:q] - starts[p])
+                    least[p:q, i] = np.minimum.reduceat(h, sets) >> np.uint64(32)
             y = (x + np.uint64(0x1234567)) * np.uint64(0x9E3779B97F4A7C15)
             y = (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             hashes[full] = np.add.reduceat(y ^ (y >> np.uint64(32)), starts).view(np.int64)
@@ -125,10 +150,10 @@ def signed(words: pa.Array) -> pa.Array:
 
 def page_words(textdf: DataFrame, nlpdocs: DataFrame) -> DataFrame:
     """(page_id, words): the word hashes of each page's main body in reading order."""
-    rows = main_body(textdf, nlpdocs, (word_hashes("text").alias("words"),))
+    rows = main_body(textdf, nlpdocs, (word_bytes("text").alias("words"),))
     rows = rows.where(~F.col("boiler") & ~F.col("is_doc") & F.col("has_text"))
     texts = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("rows"))
-    return texts.select("page_id", F.flatten(F.col("rows.words")).alias("words"))
+    return texts.select("page_id", joined_words(F.col("rows.words")).alias("words"))
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

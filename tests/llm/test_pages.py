@@ -312,6 +312,24 @@ def test_signatures_across_chunks():
             assert got["set_hash"] == near_duplicates.sign(pa.array([words], pa.list_(pa.int32()))).to_pylist()[0]["set_hash"]
 
 
+def test_runs_are_sorted_and_not_hashed(monkeypatch):
+    words = pa.array([np.arange(i, i + 300).tolist() * 2 for i in range(50)] + [[], [1, 2]], pa.list_(pa.int32()))
+    whole, sizes = np.unique, []
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: (sizes.append(len(x)), whole(x, *a, **k))[1])
+    runs = near_duplicates.sign(words).field("runs")
+    assert [len(set(r)) == len(r) for r in runs.to_pylist()] == [True] * 52 and [len(r) for r in runs[-3:].to_pylist()] == [300, 0, 0]
+    assert max(sizes, default=0) <= len(words)
+
+
+def test_words_travel_as_bytes(spark):
+    texts = [(1, 1, "The old town, and the river."), (1, 2, None), (1, 3, ""), (1, 4, "a b c"), (2, 1, "..."), (3, 1, None), (4, 1, "สวัสดี 12 x" * 50)]
+    df = spark.createDataFrame(texts, "page_id long, pos int, text string").coalesce(1)
+    rows = df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", near_duplicates.word_bytes("text").alias("w")))).alias("r"))
+    got = {r.page_id: r.words for r in rows.select("page_id", near_duplicates.joined_words(F.col("r.w")).alias("words")).collect()}
+    hashes = {(r.page_id, r.pos): r.w or [] for r in df.select("page_id", "pos", near_duplicates.word_hashes("text").alias("w")).collect()}
+    assert got == {i: [w for (p, _), ws in sorted(hashes.items()) if p == i for w in ws] for i in (1, 2, 3, 4)} and len(got[1]) == 9
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([("FR",), ("it-419",), (" de ",), ("xx",), ("",), (None,)], "lang string")
     assert [r[0] for r in df.select(language.label_code(F.col("lang"))).collect()] == ["fr", "it", "de", None, None, None]
